@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, neardup, substring_dedup, toxicity
+from . import byte_bpe, decontaminate, neardup, quality, substring_dedup, token_count, token_files, toxicity
 from .frames import read
 
 
@@ -18,6 +19,22 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.report(read(spark, sf_dir, "documents"))
 
 
+def op5_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.report(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.report(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.report(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(read(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -27,7 +44,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_substring_dedup, op4_minhash, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_toxicity, op3_substring_dedup, op4_minhash, op5_token_count, op7_token_files, op8_byte_bpe, op9_quality, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
