@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, neardup, quality, substring_dedup, token_count, token_files, toxicity
+from . import byte_bpe, decontaminate, licenses, neardup, pii, quality, substring_dedup, token_count, token_files, toxicity
 from .frames import read
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(read(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove(read(spark, sf_dir, "documents"))
 
@@ -23,6 +27,10 @@ def op5_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.report(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(read(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.report(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -44,7 +52,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_substring_dedup, op4_minhash, op5_token_count, op7_token_files, op8_byte_bpe, op9_quality, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_toxicity, op2_licenses, op3_substring_dedup, op4_minhash, op5_token_count, op6_pii, op7_token_files, op8_byte_bpe, op9_quality, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
