@@ -198,22 +198,8 @@ def _shared(docs: DataFrame, path: str, pattern: str):
     return docs.sparkSession.sparkContext.broadcast((key, ranks, pattern))  # as large as the vocabulary
 
 
-def encode(docs: DataFrame, path: str, pattern: str, most: int = 1 << 20) -> DataFrame:
-    """doc_id, ids, of every whole text."""
-    shared = _shared(docs, path, pattern)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(*shared.value)
-        for batch in batches:
-            for part in text.slices(batch, most=most):
-                ids, n = encoder.encode(part.column(1))
-                yield pa.record_batch({"doc_id": part.column(0), "ids": pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(ids.astype(np.int32)))})
-
-    return frames.doc_texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
-
-
-def report(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Per document: n_tokens, SHA-256 of the decimal ids joined by commas, and of the bytes that decoding the ids gives.
+def report(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+    """Per document: n_tokens, SHA-256 of the decimal ids joined by commas, and of the bytes that decoding the ids gives; with_ids: the ids too.
 
     Null and empty texts have no ids and the hashes of the empty string; repeated rows are answered each for itself."""
     shared = _shared(docs, path, pattern)
@@ -228,6 +214,7 @@ def report(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 shown = list(map(decimal.__getitem__, ids.tolist()))
                 first, raw = np.append(0, np.cumsum(n)).tolist(), decoded.tobytes()
                 off = offsets.tolist()
+                more = {"ids": pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids.astype(np.int32)))} if with_ids else {}
                 yield pa.record_batch(
                     {
                         "doc_id": part.column(0),
@@ -235,6 +222,7 @@ def report(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                         "ids_sha256": [hashlib.sha256(",".join(shown[a:b]).encode()).hexdigest() for a, b in zip(first[:-1], first[1:], strict=True)],
                         "decoded_sha256": [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(off[:-1], off[1:], strict=True)],
                     }
+                    | more
                 )
 
-    return frames.doc_texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return frames.doc_texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

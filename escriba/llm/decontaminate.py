@@ -220,6 +220,12 @@ def report(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFra
     )
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The rows of docs, all columns, that aren't contaminated by the report's rule."""
+    gone = report(docs, benchmark, width).where("contaminated").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(frames.maybe_broadcast(frames.cut(gone), 16), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+
+
 def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[str, str | None]], width: int = WIDTH) -> list[tuple]:
     """The report by plain comparison, for tests."""
     import re
