@@ -1,15 +1,313 @@
-"""Every registered query of the document engine, with its oracle."""
+"""Every registered query of the document engine, with the SQL that it is held against (DuckDB)."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .config import Options
+from .functions import fields, naming
+from .functions.corrections import correct, correct_tokens, rewrite, sql_correct, sql_rewrite, sql_tokens
+from .functions.regex import sql_collapse, sql_strip
+from .operators import image, rasters
+from .plans import analysis, drivers, fixtures, recognition, reports
+from .plans.fixtures import duckdb, table
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
+
+
+def _add(name: str, query: Query, oracle: str | None = None) -> None:
+    _QUERIES[name] = query
+    if oracle is not None:
+        _ORACLES[name] = oracle
+
+
+LEGAL = duckdb(fixtures.LEGAL_DOCS)
+CORRECTED = f"(select doc_id, {sql_correct('text')} as text from {LEGAL} legal)"
+
+
+def _legal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, fixtures.LEGAL_DOCS)
+
+
+def _corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _legal(spark, sf_dir).select("doc_id", correct(F.col("text")).alias("text"))
+
+
+# --- text rules
+
+_add("correct_tokens", lambda s, d: _legal(s, d).select("doc_id", correct_tokens(F.col("text")).alias("text")), f"select doc_id, {sql_tokens('text')} as text from {LEGAL} l")
+for _name, _rules in {
+    "rewrite_case_numbers": ("R1", "R2", "R3", "R4"),
+    "rewrite_resolution": ("R5", "R6", "R7", "R8"),
+    "rewrite_dates": ("R9", "R10"),
+    "rewrite_plates": ("R11", "R12"),
+    "rewrite_articles": ("R13", "R14"),
+    "cleanup_whitespace": ("R15", "R16", "N1", "N2", "N3"),
+}.items():
+    _add(_name, lambda s, d, r=_rules: _legal(s, d).select("doc_id", rewrite(F.col("text"), *r).alias("text")), f"select doc_id, {sql_rewrite('text', *_rules)} as text from {LEGAL} l")
+_add("rewrite_plates_documents", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", rewrite(F.col("text"), "R11", "R12").alias("text")), f"select doc_id, {sql_rewrite('text', 'R11', 'R12')} as text from documents")
+_add("correct_full", _corrected, f"select * from {CORRECTED} c")
+
+# --- fields
+
+for _field in fields.PATTERNS:
+    _add(f"extract_{_field}", lambda s, d, f=_field: _corrected(s, d).select("doc_id", fields.extract(F.col("text"), f).alias("value")), f"select doc_id, {fields.sql_extract('text', _field)} as value from {CORRECTED} c")
+_add("extract_raw_carpeta", lambda s, d: _legal(s, d).select("doc_id", fields.extract(F.col("text"), "carpeta_fiscal").alias("value")), f"select doc_id, {fields.sql_extract('text', 'carpeta_fiscal')} as value from {LEGAL} l")
+WIDE = f"(select doc_id, {', '.join(f'{fields.sql_extract("text", f)} as {f}' for f in fields.PATTERNS)} from {CORRECTED} c)"
+
+
+def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _corrected(spark, sf_dir).select("doc_id", *fields.extract_columns(F.col("text")))
+
+
+LONG = "(" + " union all ".join(f"select doc_id, '{f}' as field, {f} as value from wide where {f} is not null" for f in fields.PATTERNS) + ")"
+_add("extract_fields_wide", _wide, f"select * from {WIDE} w")
+_add("extract_fields_map", lambda s, d: _wide(s, d).select("doc_id", F.explode(fields.as_map()).alias("field", "value")), f"with wide as {WIDE} select * from {LONG} l")
+_add("field_coverage", lambda s, d: _wide(s, d).select(F.explode(fields.as_map()).alias("field", "value")).groupBy("field").agg(F.count("*").alias("n"), F.countDistinct("value").alias("n_distinct")), f"with wide as {WIDE} select field, count(*) as n, count(distinct value) as n_distinct from {LONG} l group by field")
+_add(
+    "long_dates",
+    lambda s, d: _corrected(s, d).select("doc_id", fields.long_date(F.col("text")).alias("fecha_completa")),
+    f"select doc_id, case when regexp_matches(text, '(?i)[0-9]{{1,2}} +de +[\\p{{L}}\\p{{N}}_]+ +del? +[0-9]{{4}}') then regexp_extract(text, '(?i)([0-9]{{1,2}}) +de', 1) || ' de ' || lower(regexp_extract(text, '(?i)[0-9]{{1,2}} +de +([\\p{{L}}\\p{{N}}_]+) +del? +[0-9]{{4}}', 1)) || ' del ' || regexp_extract(text, '(?i)[0-9]{{1,2}} +de +[\\p{{L}}\\p{{N}}_]+ +del? +([0-9]{{4}})', 1) end as fecha_completa from {CORRECTED} c",
+)
+
+# --- names and requests
+
+UPLOADS = duckdb(fixtures.UPLOADS)
+EXT = "case when contains(filename, '.') then lower(regexp_extract(filename, '\\.([^.]*)$', 1)) end"
+OK = f"coalesce({EXT} in ({', '.join(repr(e) for e in naming.EXTENSIONS)}), false)"
+SAFE = "regexp_replace(regexp_replace(array_to_string(list_filter(regexp_split_to_array(translate(regexp_replace(translate(filename, 'áéíóúüñÁÉÍÓÚÜÑ', 'aeiouunAEIOUUN'), '[^\\x00-\\x7F]', '', 'g'), '/\\', '  '), '\\s+'), lambda w: w <> ''), '_'), '[^A-Za-z0-9_.-]', '', 'g'), '^[._]+|[._]+$', '', 'g')"
+STEM = "case when regexp_matches(filename, '[^.]\\.[^.]*$') then regexp_replace(filename, '\\.[^.]*$', '') else filename end"
+LANG = "case when language in ('spa', 'eng', 'spa+eng') then language else 'spa' end"
+_add(
+    "file_names",
+    lambda s, d: table(s, d, fixtures.UPLOADS).select("doc_id", naming.allowed(F.col("filename")).alias("allowed"), naming.is_pdf(F.col("filename")).alias("is_pdf"), naming.safe_name(F.col("filename")).alias("safe_name"), naming.stem(F.col("filename")).alias("stem"), naming.size_mb(F.col("length")).alias("size_mb"), naming.language(F.col("language")).alias("language")),
+    f"select doc_id, {OK} as allowed, lower(filename) like '%.pdf' as is_pdf, {SAFE} as safe_name, {STEM} as stem, length / 1048576 as size_mb, {LANG} as language from {UPLOADS} u",
+)
+_add(
+    "request_errors",
+    lambda s, d: table(s, d, fixtures.UPLOADS).select("doc_id", naming.request_error(F.col("doc_id") % 17 != 0, F.when(F.col("doc_id") % 13 == 0, F.lit("")).otherwise(F.col("filename")), F.col("length")).alias("error")),
+    f"select doc_id, case when doc_id % 17 = 0 then '{naming.NO_PART}' when doc_id % 13 = 0 then '{naming.NO_NAME}' when not {OK} then '{naming.BAD_FORMAT}' when length > {naming.MAX_BYTES} then 'Archivo muy grande: ' || format('{{:.1f}}', length / 1048576) || 'MB' end as error from {UPLOADS} u",
+)
+
+# --- routing
+
+
+def _analysis_sql(pages: str) -> str:
+    clean = sql_strip(sql_collapse("text"))
+    whole = f"(select doc_id, count(*) as page_count, coalesce(sum(case when page <= 3 then image_count end), 0) as images, coalesce(string_agg(case when page <= 3 then {clean} || ' ' end, '' order by page), '') as whole from {pages} p group by doc_id)"
+    sized = f"(select *, length({sql_strip('whole')}) as text_length, images > 0 as has_images from {whole} w)"
+    rated = f"(select *, text_length / greatest(1, page_count) as text_density from {sized} s)"
+    routed = f"(select *, case when text_length >= 800 and not has_images then 'text_extraction' when text_length >= 200 and text_density > 100 then 'hybrid' else 'ocr' end as processing_recommendation from {rated} r)"
+    return f"(select doc_id, text_length > 50 as has_text, has_images, cast(text_length as int) as text_length, page_count, cast(text_density as double) as text_density, processing_recommendation, case processing_recommendation when 'text_extraction' then 0.9::double when 'hybrid' then 0.7::double else 0.8::double end as confidence, {sql_strip('left(whole, 500)')} as sample_text from {routed} x)"
+
+
+SINGLE = _analysis_sql(duckdb(fixtures.SINGLE_DOCS))
+_add("analyze_pages", lambda s, d: analysis.analyze(table(s, d, fixtures.DOC_PAGES)), f"select * from {_analysis_sql(duckdb(fixtures.DOC_PAGES))} a")
+_add("analyze_single", lambda s, d: analysis.analyze(table(s, d, fixtures.SINGLE_DOCS)), f"select * from {SINGLE} a")
+_add(
+    "analyze_files",
+    lambda s, d: analysis.analyze_files(table(s, d, fixtures.UPLOADS), table(s, d, fixtures.SINGLE_DOCS).where("doc_id % 10 <> 0")).na.fill(-1, ["text_length", "page_count", "text_density"]),
+    f"""select u.doc_id, filename, case when not pdf then false else coalesce(has_text, false) end as has_text, case when not pdf then true else coalesce(has_images, false) end as has_images,
+    case when pdf then coalesce(text_length, 0) else -1 end as text_length, case when pdf then coalesce(page_count, 0) else -1 end as page_count, case when pdf then coalesce(text_density, 0) else -1 end as text_density,
+    case when pdf then coalesce(processing_recommendation, 'ocr') else 'ocr' end as processing_recommendation, case when pdf then coalesce(confidence, 0) else 0.8 end as confidence, case when pdf then coalesce(sample_text, '') end as sample_text, u.length / 1048576 as file_size_mb
+    from (select *, lower(filename) like '%.pdf' as pdf from {UPLOADS} x) u left join (select * from {SINGLE} y where doc_id % 10 <> 0) a on a.doc_id = u.doc_id""",
+)
+ROUTE_SQL = f"(select u.doc_id, case when lower(filename) like '%.pdf' and not force_ocr then processing_recommendation else 'ocr' end as way from {UPLOADS} u join {SINGLE} a on a.doc_id = u.doc_id)"
+
+
+def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = analysis.analyze(table(spark, sf_dir, fixtures.SINGLE_DOCS)).select("doc_id", "processing_recommendation")
+    return table(spark, sf_dir, fixtures.UPLOADS).join(known, "doc_id").select("doc_id", analysis.route(F.col("filename"), F.col("force_ocr"), F.col("processing_recommendation")).alias("way"))
+
+
+_add("route", _routed, f"select * from {ROUTE_SQL} r")
+_add("routing_summary", lambda s, d: _routed(s, d).groupBy("way").agg(F.count("*").alias("n")), f"select way, count(*) as n from {ROUTE_SQL} r group by way")
+
+# --- recognition
+
+WORDS, PASSES, FILES = duckdb(fixtures.OCR_WORDS), duckdb(fixtures.OCR_PASSES), duckdb(fixtures.OCR_FILES)
+PASS_SQL = f"(select doc_id, page, pass_no, coalesce(avg(case when trunc(conf) > 0 then trunc(conf) end), 0) as avg_confidence from {WORDS} w group by all)"
+BEST_SQL = f"""(select p.doc_id, p.page, case when coalesce(text, '') <> '' then text else default_text end as text, case when coalesce(text, '') <> '' then avg_confidence else 50 end as confidence
+ from (select doc_id, page, min(default_text) as default_text from {PASSES} x group by all) p left join (select a.doc_id, a.page, a.text, b.avg_confidence from {PASSES} a join {PASS_SQL} b using (doc_id, page, pass_no) where avg_confidence > 0 qualify row_number() over (partition by doc_id, page order by avg_confidence desc, pass_no) = 1) c using (doc_id, page))"""
+RESULT_SQL = f"(select doc_id, page, {sql_correct('text')} as text, cast(confidence as double) as confidence, case when page % 4 = 0 then 'ilegible' end as error from {BEST_SQL} b)"
+EVERY_SQL = f"(select f.doc_id, total_pages, f.page, coalesce(r.text, '{recognition.MISSING}') as text, coalesce(r.confidence, 0) as confidence, error, r.doc_id is not null as recognised from (select doc_id, total_pages, cast(unnest(range(1, total_pages + 1)) as int) as page from {FILES} x) f left join {RESULT_SQL} r on r.doc_id = f.doc_id and r.page = f.page)"
+COUNT_SQL = f"(select doc_id, count(*) as total_pages, count_if(confidence > 60 and recognised) as processed_pages, count(*) - count_if(confidence > 60 and recognised) as low_confidence_pages, round(coalesce(sum(case when confidence > 60 and recognised then confidence end), 0) / greatest(1, count_if(confidence > 60 and recognised)), 2) as confidence from {EVERY_SQL} e group by doc_id)"
+
+
+def _sep(page: str, pages: str) -> str:
+    return f"chr(10) || chr(10) || '--- Página ' || {page} || ' de ' || {pages} || ' ---' || chr(10) || chr(10)"
+
+
+TEXT_SQL = f"(select doc_id, string_agg({_sep('page', 'total_pages')} || text || case when coalesce(error, '') <> '' then chr(10) || '[ERROR: ' || error || ']' else '' end, '' order by page) as text from {EVERY_SQL} e group by doc_id)"
+
+
+def _passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recognition.pass_confidence(table(spark, sf_dir, fixtures.OCR_WORDS), "doc_id", "page", "pass_no")
+
+
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = drivers.recognise(table(spark, sf_dir, fixtures.OCR_PASSES), table(spark, sf_dir, fixtures.OCR_WORDS))
+    return found.withColumn("error", F.when(F.col("page") % 4 == 0, F.lit("ilegible")))
+
+
+def _every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recognition.every_page(table(spark, sf_dir, fixtures.OCR_FILES), _results(spark, sf_dir))
+
+
+_add("pass_confidence", _passes, f"select * from {PASS_SQL} p")
+_add("best_pass", lambda s, d: recognition.best_pass(table(s, d, fixtures.OCR_PASSES).join(_passes(s, d), ["doc_id", "page", "pass_no"]), "doc_id", "page"), f"select doc_id, page, text, cast(confidence as double) as confidence from {BEST_SQL} b")
+_add("page_lookup_default", _every, f"select * from {EVERY_SQL} e")
+_add("document_confidence", lambda s, d: recognition.document_confidence(_every(s, d)), f"select * from {COUNT_SQL} c")
+_add("assemble_document", lambda s, d: recognition.assemble(_every(s, d)), f"select * from {TEXT_SQL} t")
+
+# --- whole documents
+
+
+def _fields_sql(source: str) -> str:
+    return f"(select *, {', '.join(f'{fields.sql_extract("text", f)} as {f}' for f in fields.PATTERNS)} from {source} fs)"
+
+
+def _pairs_sql(alias: str = "") -> str:
+    return "list_filter([" + ", ".join(f"{{'k': '{f}', 'v': {f}}}" for f in fields.PATTERNS) + "], lambda p: p.v is not null)"
+
+
+def _keys():
+    return F.array_join(F.transform(F.map_entries("key_values"), lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("found")
+
+
+_KEYS_SQL = f"array_to_string(list_transform({_pairs_sql()}, lambda p: p.k || '=' || p.v), ';')"
+LEGAL_PAGES = duckdb(fixtures.LEGAL_PAGES)
+READ_SQL = f"""(select doc_id, count(*) as total_pages, coalesce(string_agg(case when error is not null then {_sep('page', 'n')} || '[Error extrayendo texto de la página ' || page || ']' when {sql_strip('text')} = '' then '' else {_sep('page', 'n')} || {sql_correct('text')} end, '' order by page), '') as text
+ from (select *, count(*) over (partition by doc_id) as n from {LEGAL_PAGES} lp) p group by doc_id)"""
+SCAN_SQL = f"(select t.doc_id, total_pages, processed_pages, low_confidence_pages, c.confidence, t.text from {TEXT_SQL} t join {COUNT_SQL} c on c.doc_id = t.doc_id)"
+_SHOWN = ["doc_id", "success", "processing_method", "confidence", "total_pages", "processed_pages", "low_confidence_pages"]
+
+
+def _read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drivers.process_text(table(spark, sf_dir, fixtures.LEGAL_PAGES))
+
+
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drivers.process_scanned(table(spark, sf_dir, fixtures.OCR_FILES), _results(spark, sf_dir))
+
+
+READ_ROWS = f"select doc_id, true as success, 'text_extraction_enhanced' as processing_method, 95.0::double as confidence, total_pages, null::bigint as processed_pages, null::bigint as low_confidence_pages, {_KEYS_SQL} as found, text from {_fields_sql(READ_SQL)} r"
+SCAN_ROWS = f"select doc_id, true as success, 'advanced_ocr' as processing_method, confidence, total_pages, processed_pages, low_confidence_pages, {_KEYS_SQL} as found, text from {_fields_sql(SCAN_SQL)} r union all select doc_id, false, null, 0, 0, null, null, null, '{drivers.NO_PAGES}' from {FILES} f where total_pages <= 0"
+_add("process_text", lambda s, d: _read(s, d).select(*_SHOWN[:5], _keys(), "text"), f"select doc_id, success, processing_method, confidence, total_pages, found, text from ({READ_ROWS}) r")
+_add("process_scanned", lambda s, d: _scanned(s, d).na.fill(-1, ["processed_pages", "low_confidence_pages"]).select(*_SHOWN, _keys(), "text"), f"select * replace (coalesce(processed_pages, -1) as processed_pages, coalesce(low_confidence_pages, -1) as low_confidence_pages) from ({SCAN_ROWS}) r")
+
+
+def _named(done: DataFrame) -> DataFrame:
+    return done.withColumns({"filename": F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".pdf")), "language": F.lit("spa"), "file_size_mb": F.lit(1.5)})
+
+
+_add(
+    "json_response",
+    lambda s, d: reports.json_response(_named(_scanned(s, d)), with_text=False).select("doc_id", F.get_json_object("response", "$.success").alias("success"), F.get_json_object("response", "$.pages_processed").alias("pages"), F.get_json_object("response", "$.extracted_fields.carpeta_fiscal").alias("carpeta"), F.get_json_object("response", "$.text").alias("text"), F.get_json_object("response", "$.error").alias("error")),
+    f"select doc_id, case when success then 'true' else 'false' end as success, case when success then cast(total_pages as varchar) end as pages, nullif(regexp_extract(found, 'carpeta_fiscal=([^;]*)', 1), '') as carpeta, null::varchar as text, case when not success then text end as error from ({SCAN_ROWS}) x",
+)
+MD_FIELDS = "case when len(pairs) > 0 then chr(10) || '## Campos Extraídos' || chr(10) || chr(10) || array_to_string(list_transform(pairs, lambda p: '- **' || array_to_string(list_transform(string_split(p.k, '_'), lambda w: upper(w[1]) || w[2:]), ' ') || '**: ' || p.v), chr(10)) || chr(10) else '' end"
+_add(
+    "markdown_report",
+    lambda s, d: reports.markdown_report(_named(_read(s, d))),
+    f"""select doc_id, '# Procesamiento OCR - doc_' || doc_id || '.pdf' || chr(10) || chr(10) || '## Información del Procesamiento' || chr(10) || '- **Archivo**: doc_' || doc_id || '.pdf' || chr(10) || '- **Método**: text_extraction_enhanced' || chr(10) || '- **Páginas**: ' || total_pages || chr(10) || '- **Confianza**: 95.0%' || chr(10) || '- **Idioma**: spa' || chr(10) || '- **Tamaño**: 1.5MB' || chr(10)
+    || {MD_FIELDS} || chr(10) || '## Contenido Extraído' || chr(10) || chr(10) || '```' || chr(10) || text || chr(10) || '```' || chr(10) || chr(10) || '---' as report from (select *, {_pairs_sql()} as pairs from {_fields_sql(READ_SQL)} r) x""",
+)
+_add(
+    "batch_summary",
+    lambda s, d: reports.batch_summary(_named(_scanned(s, d)).withColumn("batch", F.col("doc_id") % 3), "batch").select("batch", "total_files", "successful", "failed", F.array_join(F.transform("results", lambda r: F.concat_ws(":", r["filename"], r["pages"], F.coalesce(r["error"], F.lit("-")))), ",").alias("results")),
+    f"select doc_id % 3 as batch, count(*) as total_files, count_if(success) as successful, count_if(not success) as failed, string_agg('doc_' || doc_id || '.pdf:' || total_pages || ':' || case when success then '-' else 'Processing failed' end, ',' order by doc_id) as results from ({SCAN_ROWS}) x group by 1",
+)
+_add("sidecar", lambda s, d: reports.sidecar(_named(_scanned(s, d))).select("doc_id", F.get_json_object("record", "$.method").alias("method"), F.get_json_object("record", "$.pages").alias("pages")), f"select doc_id, coalesce(processing_method, 'ocr') as method, cast(total_pages as varchar) as pages from ({SCAN_ROWS}) x")
+
+
+def _process(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every upload on its way; those that need recognition have no recogniser here, so their pages are missing."""
+    pages = table(spark, sf_dir, fixtures.SINGLE_DOCS).withColumn("error", F.lit(None).cast("string"))
+    nothing = spark.createDataFrame([], "doc_id long, page int, text string, confidence double, error string")
+    return drivers.process(table(spark, sf_dir, fixtures.UPLOADS), pages, nothing)
+
+
+_add(
+    "process_uploads",
+    lambda s, d: _process(s, d).select("doc_id", "filename", "language", "file_size_mb", "success", "processing_method", "confidence", "total_pages", F.length("text").alias("n_chars")),
+    f"""select u.doc_id, {SAFE} as filename, {LANG} as language, round(u.length / 1048576, 2) as file_size_mb, true as success, case when way = 'text_extraction' then 'text_extraction_enhanced' else 'advanced_ocr' end as processing_method, case when way = 'text_extraction' then 95.0::double else 0 end as confidence, 1::bigint as total_pages,
+    length({_sep('1', '1')} || case when way = 'text_extraction' then {sql_correct('t.text')} else '{recognition.MISSING}' end) as n_chars from {UPLOADS} u join {ROUTE_SQL} r on r.doc_id = u.doc_id join documents t on t.doc_id = u.doc_id""",
+)
+
+# --- rasters
+
+POINTS = f"({fixtures.RASTERS_DUCKDB})"
+BGR = "(select img, y, x, v as b, (v * 7 + 13) % 256 as g, (v * 3 + 101) % 256 as r from points)"
+
+
+def _pixels(f: Callable) -> Query:
+    return lambda s, d: rasters.as_points(rasters.map_pixels(fixtures.rasters(s, d), f))
+
+
+def _bgr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.rasters(spark, sf_dir).withColumn("pixels", F.flatten(F.transform("pixels", lambda v: F.array(v, (v * 7 + 13) % 256, (v * 3 + 101) % 256))))
+
+
+MEAN_SQL = "(select p.img, p.y, p.x, case when any_value(p.v) > round(sum(q.v) / 121.0) - 2 then 255 else 0 end as v from points p, range(-5, 6) dy(dy), range(-5, 6) dx(dx), points q where q.img = p.img and q.y = greatest(0, least(7, p.y + dy.dy)) and q.x = greatest(0, least(7, p.x + dx.dx)) group by p.img, p.y, p.x)"
+OTSU_LEVEL = """(select img, t from (select img, t, case when w0 > 0 and w1 > 0 then power(cast(s0 * n - w0 * s as double), 2) / cast(w0 * w1 as double) else 0 end as score from (
+ select h.img, t, n, s, sum(case when v <= t then c else 0 end) as w0, sum(case when v > t then c else 0 end) as w1, sum(case when v <= t then c * v else 0 end) as s0 from (select img, v, count(*) as c from points group by all) h join (select img, count(*) as n, sum(v) as s from points group by img) z on z.img = h.img, range(0, 256) r(t) group by h.img, t, n, s) u) w qualify row_number() over (partition by img order by score desc, t) = 1)"""
+OTSU_SQL = f"(select p.img, y, x, case when v > t then 255 else 0 end as v from points p join {OTSU_LEVEL} o on o.img = p.img)"
+
+
+def _extreme_sql(source: str, name: str, low: int, high: int) -> str:
+    return f"(select p.img, p.y, p.x, {name}(q.v) as v from {source} p join {source} q on q.img = p.img and q.y between p.y + {low} and p.y + {high} and q.x between p.x + {low} and p.x + {high} group by p.img, p.y, p.x)"
+
+
+MORPH_SQL = f"with points as {POINTS}, o as {OTSU_SQL}, a as {_extreme_sql('o', 'min', -1, 0)}, b as {_extreme_sql('a', 'max', -1, 0)}, c as {_extreme_sql('b', 'max', -1, 1)}, d as {_extreme_sql('c', 'min', -1, 1)} select img, y, x, v from d"
+_add("grayscale", lambda s, d: rasters.as_points(rasters.map_pixels(_bgr(s, d), image.grayscale)), f"with points as {POINTS} select img, y, x, cast((b * 1868 + g * 9617 + r * 4899 + 8192) >> 14 as int) as v from {BGR} c")
+_add("otsu", _pixels(image.otsu), f"with points as {POINTS} select img, y, x, v from {OTSU_SQL} o")
+_add("adaptive_mean", _pixels(image.adaptive_mean), f"with points as {POINTS} select img, y, x, v from {MEAN_SQL} m")
+_add("combine_max", _pixels(lambda g: image.combine_max(image.adaptive_mean(g), image.otsu(g))), f"with points as {POINTS} select m.img, m.y, m.x, greatest(m.v, o.v) as v from {MEAN_SQL} m join {OTSU_SQL} o on o.img = m.img and o.y = m.y and o.x = m.x")
+_add("morphology", _pixels(lambda g: image.morphology(image.otsu(g))), MORPH_SQL)
+for _name, _f in {"clahe": image.clahe, "sharpen": lambda g: image.sharpen(g, 1.0, 0.3), "denoise": image.denoise, "adaptive_gaussian": image.adaptive_gaussian, "threshold": image.threshold, "resize": lambda g: image.resize(g, 2.5), "edges": lambda g: image.edges(image.otsu(g)), "rotate": lambda g: image.rotate(g, 10.0)}.items():
+    _add(f"raster_{_name}", _pixels(_f))
+_add("enhance", lambda s, d: rasters.map_pixels(_bgr(s, d), image.enhance).select("img", "height", "width", F.aggregate("pixels", F.lit(0), lambda a, v: a + v).alias("total")))
+_add(
+    "scale_choice",
+    lambda s, d: s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", rasters.scale_choice((F.col("o_orderkey") % 97) * 40, (F.col("o_custkey") % 89) * 40).alias("scale")),
+    "select o_orderkey, case when (o_orderkey % 97) * 40 * ((o_custkey % 89) * 40) < 1000000 then 2.5::double when (o_orderkey % 97) * 40 * ((o_custkey % 89) * 40) > 8000000 then 0.7::double else 1.2::double end as scale from orders",
+)
+_theta = lambda e: (e.cast("double") + 0.6) * (3.14159265358979 / 1.2)
+SKEW_SQL = "(select vec_id, coalesce(median(a), 0) as angle from (select vec_id, case when pos <= 50 and a between -30 and 30 then a end as a from (select vec_id, pos, degrees((cast(embedding[pos] as double) + 0.6) * (3.14159265358979 / 1.2)) - 90 as a from (select vec_id, embedding, unnest(range(1, 65)) as pos from embeddings) e) f) g group by vec_id)"
+
+
+def _skew(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", rasters.skew(F.transform("embedding", _theta)).alias("angle"))
+
+
+_add("skew_median", lambda s, d: _skew(s, d).select("vec_id", F.round("angle", 6).alias("angle")), f"select vec_id, round(angle, 6) as angle from {SKEW_SQL} s")
+_add("deskew_decision", lambda s, d: _skew(s, d).select("vec_id", rasters.needs_deskew(F.col("angle")).alias("deskew")), f"select vec_id, abs(angle) > 1 as deskew from {SKEW_SQL} s")
+_add(
+    "osd_rotation",
+    lambda s, d: s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.concat(F.lit("Page: 1\nRotate: "), ((F.col("o_orderkey") % 5) * 90).cast("string"), F.lit("\n")).alias("osd")).select("o_orderkey", rasters.osd_rotation(F.col("osd")).alias("rotation"), rasters.needs_rotation(F.col("osd")).alias("rotate")),
+    "select o_orderkey, cast((o_orderkey % 5) * 90 as int) as rotation, (o_orderkey % 5) * 90 % 360 <> 0 as rotate from orders",
+)
+_add("service_health", lambda s, d: reports.health(s).drop("timestamp"))
+_add("service_description", lambda s, d: reports.describe(s))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correct legal documents and extract their fields."""
+    return _wide(spark, sf_dir)
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
+
+
+__all__ = ["Options", "flagship", "oracle_sql", "queries"]
