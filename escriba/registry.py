@@ -57,7 +57,8 @@ _add("correct_full", _corrected, f"select * from {CORRECTED} c")
 
 for _field in fields.PATTERNS:
     _add(f"extract_{_field}", lambda s, d, f=_field: _corrected(s, d).select("doc_id", fields.extract(F.col("text"), f).alias("value")), f"select doc_id, {fields.sql_extract('text', _field)} as value from {CORRECTED} c")
-_add("extract_raw_carpeta", lambda s, d: _legal(s, d).select("doc_id", fields.extract(F.col("text"), "carpeta_fiscal").alias("value")), f"select doc_id, {fields.sql_extract('text', 'carpeta_fiscal')} as value from {LEGAL} l")
+for _field in ("carpeta_fiscal", "fiscal"):  # on the text as it came; correction joins the lines that end the second
+    _add(f"extract_raw_{_field}", lambda s, d, f=_field: _legal(s, d).select("doc_id", fields.extract(F.col("text"), f).alias("value")), f"select doc_id, {fields.sql_extract('text', _field)} as value from {LEGAL} l")
 WIDE = f"(select doc_id, {', '.join(f'{fields.sql_extract("text", f)} as {f}' for f in fields.PATTERNS)} from {CORRECTED} c)"
 
 
@@ -136,7 +137,7 @@ BEST_SQL = f"""(select p.doc_id, p.page, case when coalesce(text, '') <> '' then
  from (select doc_id, page, min(default_text) as default_text from {PASSES} x group by all) p left join (select a.doc_id, a.page, a.text, b.avg_confidence from {PASSES} a join {PASS_SQL} b using (doc_id, page, pass_no) where avg_confidence > 0 qualify row_number() over (partition by doc_id, page order by avg_confidence desc, pass_no) = 1) c using (doc_id, page))"""
 RESULT_SQL = f"(select doc_id, page, {sql_correct('text')} as text, cast(confidence as double) as confidence, case when page % 4 = 0 then 'ilegible' end as error from {BEST_SQL} b)"
 EVERY_SQL = f"(select f.doc_id, total_pages, f.page, coalesce(r.text, '{recognition.MISSING}') as text, coalesce(r.confidence, 0) as confidence, error, r.doc_id is not null as recognised from (select doc_id, total_pages, cast(unnest(range(1, total_pages + 1)) as int) as page from {FILES} x) f left join {RESULT_SQL} r on r.doc_id = f.doc_id and r.page = f.page)"
-COUNT_SQL = f"(select doc_id, count(*) as total_pages, count_if(confidence > 60 and recognised) as processed_pages, count(*) - count_if(confidence > 60 and recognised) as low_confidence_pages, round(coalesce(sum(case when confidence > 60 and recognised then confidence end), 0) / greatest(1, count_if(confidence > 60 and recognised)), 2) as confidence from {EVERY_SQL} e group by doc_id)"
+COUNT_SQL = f"(select doc_id, count(*) as total_pages, cast(count_if(confidence > 60 and recognised) as bigint) as processed_pages, cast(count(*) - count_if(confidence > 60 and recognised) as bigint) as low_confidence_pages, round(coalesce(sum(case when confidence > 60 and recognised then confidence end), 0) / greatest(1, count_if(confidence > 60 and recognised)), 2) as confidence from {EVERY_SQL} e group by doc_id)"
 
 
 def _sep(page: str, pages: str) -> str:
@@ -221,7 +222,7 @@ _add(
 _add(
     "batch_summary",
     lambda s, d: reports.batch_summary(_named(_scanned(s, d)).withColumn("batch", F.col("doc_id") % 3), "batch").select("batch", "total_files", "successful", "failed", F.array_join(F.transform("results", lambda r: F.concat_ws(":", r["filename"], r["pages"], F.coalesce(r["error"], F.lit("-")))), ",").alias("results")),
-    f"select doc_id % 3 as batch, count(*) as total_files, count_if(success) as successful, count_if(not success) as failed, string_agg('doc_' || doc_id || '.pdf:' || total_pages || ':' || case when success then '-' else 'Processing failed' end, ',' order by doc_id) as results from ({SCAN_ROWS}) x group by 1",
+    f"select doc_id % 3 as batch, count(*) as total_files, cast(count_if(success) as bigint) as successful, cast(count_if(not success) as bigint) as failed, string_agg('doc_' || doc_id || '.pdf:' || total_pages || ':' || case when success then '-' else 'Processing failed' end, ',' order by doc_id) as results from ({SCAN_ROWS}) x group by 1",
 )
 _add("sidecar", lambda s, d: reports.sidecar(_named(_scanned(s, d))).select("doc_id", F.get_json_object("record", "$.method").alias("method"), F.get_json_object("record", "$.pages").alias("pages")), f"select doc_id, coalesce(processing_method, 'ocr') as method, cast(total_pages as varchar) as pages from ({SCAN_ROWS}) x")
 
