@@ -142,7 +142,7 @@ def scan(column: pa.Array, wanted: Phrases, width: int = WIDTH) -> tuple[np.ndar
     edge = np.ones(len(words), dtype=bool)
     edge[1:] = (hit[1:] != hit[:-1]) | (words.doc[1:] != words.doc[:-1])
     cut = np.flatnonzero(edge)
-    stop = np.append(cut[1:], len(words))
+    stop = np.append(cut[1:], len(words))[: len(cut)]
     spans: list[list[tuple[int, int]]] = [[] for _ in range(n_docs)]
     for s, e in zip(cut[hit[cut]].tolist(), stop[hit[cut]].tolist(), strict=True):
         d = int(words.doc[s])

@@ -36,7 +36,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     depth = 5
     for j in range(depth):
         symbol = np.zeros(n, dtype=np.uint64)
-        symbol[: n - j] = text[j:]
+        symbol[: max(0, n - j)] = text[j:]
         key = (key << np.uint64(8)) | np.where(alive, symbol, 0)
         alive &= symbol != SEPARATOR
     order = np.sort((key << np.uint64(20)) | where)

@@ -75,7 +75,7 @@ def sentences(column: pa.Array) -> Sentences:
     new[1:] = number[1:] != number[:-1]
     of = np.cumsum(new) - 1
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(words)) - 1
+    last = np.append(first[1:], len(words))[: len(first)] - 1
     points = np.zeros(len(raw) + 1, dtype=np.int64)
     np.cumsum((raw & 0xC0) != 0x80, out=points[1:])
     doc = words.doc[first]
