@@ -12,6 +12,7 @@ DEFAULT_LANGUAGE = "spa"
 FORMATS = ["json", "md"]
 MAX_BYTES = 100 * 1024 * 1024
 
+# Answers to requests that are refused.
 NO_PART = "No se proporcionó archivo"
 NO_NAME = "No se seleccionó archivo"
 BAD_FORMAT = "Formato no permitido. Use: " + ", ".join(EXTENSIONS)

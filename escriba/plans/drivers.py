@@ -13,6 +13,7 @@ from ..functions.regex import strip
 from .analysis import TEXT, analyze, route
 from .recognition import assemble, best_pass, document_confidence, every_page, pass_confidence, separator, unreadable
 
+# Names of the two ways, and what is said of a file without pages.
 TEXT_METHOD, OCR_METHOD = "text_extraction_enhanced", "advanced_ocr"
 TEXT_CONFIDENCE = 95.0
 NO_PAGES = "PDF no contiene páginas"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Options
 
+# A confidence, and texts that stand for pages without a result (also in the functions below).
 FALLBACK_CONFIDENCE = 50.0
 MISSING, UNAVAILABLE = "[Página no procesada]", "[Página no disponible]"
 

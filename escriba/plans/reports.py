@@ -9,6 +9,7 @@ from .. import __version__
 from ..config import Options
 from ..functions.naming import EXTENSIONS, label
 
+# What a batch says of a failed file; the headings and labels of the Markdown report are a fixed format too.
 FAILED = "Processing failed"
 
 
