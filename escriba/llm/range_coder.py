@@ -25,7 +25,7 @@ import numpy as np
 
 MAGIC = b"EIDS"
 VERSION = 1
-LANES = 4096
+LANES = 8192
 #: A lane has at least so many ids, so that short blocks have few lanes.
 LEAST_STEPS = 64
 
@@ -43,15 +43,19 @@ _STRETCH = np.array([round(256 * math.log((p + 0.5) / (4095.5 - p))) for p in ra
 _SQUASH = np.array([min(_ONE - 32, max(32, round(_ONE / (1 + math.exp(-x / 256))))) for x in range(-2047, 2048)], dtype=np.uint64)
 
 
+#: 16 grades of sureness (or frequency), each with and without agreement of two orders.
+_CONTEXTS = 32
+
+
 class _Counts:
     """Adaptive probabilities of a few dozen contexts, as counts of both outcomes."""
 
     def __init__(self, n: int):
         self.both = np.ones((n, 2), dtype=np.int64)
 
-    def stretched(self, context: np.ndarray) -> np.ndarray:
-        table = _STRETCH[(self.both[:, 1] * 4096 // self.both.sum(axis=1)).clip(1, 4094)]
-        return table[context]
+    def stretched(self) -> np.ndarray:
+        """Of all contexts."""
+        return _STRETCH[(self.both[:, 1] * 4096 // self.both.sum(axis=1)).clip(1, 4094)]
 
     def update(self, context: np.ndarray, hit: np.ndarray) -> None:
         self.both += np.bincount(context * 2 + hit, minlength=2 * len(self.both)).reshape(-1, 2)
@@ -60,44 +64,54 @@ class _Counts:
 
 
 class _Mixer:
-    """Logistic mixing of a few inputs; one set of weights (1/65536) for each context."""
+    """Logistic mixing of what orders 2, 1 and 0 say (_CONTEXTS contexts each); the order-2 context chooses the weights (1/65536).
+
+    Products of weights and inputs are kept in tables until the next update, so a prediction is three look-ups."""
+
+    def __init__(self):
+        self.counts = [_Counts(_CONTEXTS) for _ in range(3)]
+        self.weights = np.full((3, _CONTEXTS), 65536 // 2, dtype=np.int32)
+        self._tables()
 
-    def __init__(self, n: int, inputs: int):
-        self.weights = np.full((inputs, n), 65536 // 2, dtype=np.int32)
+    def _tables(self) -> None:
+        self.inputs = [c.stretched() for c in self.counts]
+        self.of2 = self.weights[0] * self.inputs[0]
+        self.of1, self.of0 = (np.outer(w, x).ravel() for w, x in zip(self.weights[1:], self.inputs[1:], strict=True))
 
-    def p(self, context: np.ndarray, inputs: list[np.ndarray]) -> np.ndarray:
-        total = self.weights[0][context] * inputs[0]
-        for w, x in zip(self.weights[1:], inputs[1:], strict=True):
-            total += w[context] * x
+    def p(self, x2: np.ndarray, x1: np.ndarray, x0: np.ndarray) -> np.ndarray:
+        row = x2 * _CONTEXTS
+        total = self.of2[x2]
+        total += self.of1[row + x1]
+        total += self.of0[row + x0]
         total >>= 16
         np.maximum(total, -2047, out=total)
         np.minimum(total, 2047, out=total)
         total += 2047
-        self.last = context, inputs, _SQUASH[total]
-        return self.last[2]
+        return _SQUASH[total]
 
-    def update(self, hit: np.ndarray) -> None:
-        context, inputs, p = self.last
+    def update(self, x2: np.ndarray, x1: np.ndarray, x0: np.ndarray, p: np.ndarray, hit: np.ndarray) -> None:
         error = hit * np.int64(_ONE) - p.astype(np.int64)
-        n = np.maximum(np.bincount(context, minlength=self.weights.shape[1]), 1)
-        for w, x in zip(self.weights, inputs, strict=True):
+        n = np.maximum(np.bincount(x2, minlength=_CONTEXTS), 1)
+        for w, context, of, counts in zip(self.weights, (x2, x1, x0), self.inputs, self.counts, strict=True):
             # sums of whole numbers below 2^53 are exact in the floats of bincount
-            g = np.bincount(context, weights=(error * x) >> 8, minlength=len(w)).astype(np.int64)
+            g = np.bincount(x2, weights=(error * of[context]) >> 8, minlength=_CONTEXTS).astype(np.int64)
             w += (g // n).astype(np.int32)
+            counts.update(context, hit)
         np.clip(self.weights, -(1 << 18), 1 << 18, out=self.weights)
+        self._tables()
 
 
 class _Model:
-    """What both sides know. predict() and update() are called in the same order by encoder and decoder."""
+    """What both sides know. predict() and update() are called in the same order by encoder and decoder.
+
+    A context's entry holds the id that followed it, and in the low four bits how sure that is."""
 
     def __init__(self, lanes: int, top: int):
         self.top = top
-        self.next1, self.sure1 = np.zeros(top, dtype=np.int32), np.zeros(top, dtype=np.int32)
-        self.next2, self.sure2 = np.zeros(1 << _HASH_BITS, dtype=np.int32), np.zeros(1 << _HASH_BITS, dtype=np.int32)
+        self.after1, self.after2 = np.zeros(top, dtype=np.int32), np.zeros(1 << _HASH_BITS, dtype=np.int32)
         self.counts = np.zeros(top, dtype=np.int64)
         self.seen: list[np.ndarray] = []
-        self.p2, self.p1, self.p0 = _Counts(32), _Counts(32), _Counts(32)
-        self.mixer = _Mixer(32, 3)
+        self.mixer = _Mixer()
         self.before = np.zeros(lanes, dtype=np.int32)
         self.before2 = np.zeros(lanes, dtype=np.int32)
         self.step = 0
@@ -112,8 +126,8 @@ class _Model:
         f[0] += (1 << O_BITS) - int(f.sum())
         self.frequency = f.astype(np.uint64)
         self.below = (np.cumsum(f) - f).astype(np.uint64)
-        # a logarithm of the frequency, 0..15
-        self.size = np.searchsorted(1 << np.arange(1, 16), f, "right").astype(np.int32)
+        # a logarithm of the frequency, 0..15, twice
+        self.size = np.searchsorted(1 << np.arange(1, 16), f, "right").astype(np.int32) * 2
         self._slots: np.ndarray | None = None
 
     def slots(self) -> np.ndarray:
@@ -127,25 +141,24 @@ class _Model:
         i2 += self.before.view(np.uint32) * np.uint32(0x85EBCA6B)
         i2 >>= np.uint32(32 - _HASH_BITS)
         self.i2 = i2
-        self.a, self.b, self.c2, self.c1 = self.next2[i2], self.next1[self.before], self.sure2[i2], self.sure1[self.before]
-        long = self.c2 > 0
+        self.e2, self.e1 = self.after2[i2], self.after1[self.before]
+        self.c2, self.c1 = self.e2 & 15, self.e1 & 15
+        self.a, self.b = self.e2 >> 4, self.e1 >> 4
+        long, same = self.c2 > 0, self.a == self.b
         self.guess = np.where(long, self.a, self.b)
-        same = self.a == self.b
         self.x2 = self.c2 * 2 + same
         self.x1 = self.c1 * 2 + same
-        self.x0 = self.size[self.guess] * 2 + long
-        return self.mixer.p(self.x2, [self.p2.stretched(self.x2), self.p1.stretched(self.x1), self.p0.stretched(self.x0)])
+        self.x0 = self.size[self.guess] + long
+        self.p = self.mixer.p(self.x2, self.x1, self.x0)
+        return self.p
 
     def update(self, ids: np.ndarray, hit: np.ndarray) -> None:
         if self.step < 16 or self.step % 4 == 0:
-            self.mixer.update(hit)
-        self.p2.update(self.x2, hit)
-        self.p1.update(self.x1, hit)
-        self.p0.update(self.x0, hit)
-        for nxt, sure, at, guess, old in ((self.next2, self.sure2, self.i2, self.a, self.c2), (self.next1, self.sure1, self.before, self.b, self.c1)):
-            good = ids == guess
-            nxt[at] = np.where(good | (old > 0), guess, ids)  # of lanes with one context, the last one writes
-            sure[at] = _SURE[good * 16 + old]
+            self.mixer.update(self.x2, self.x1, self.x0, self.p, hit)
+        fresh = ids << 4
+        for after, at, guess, entry, sure in ((self.after2, self.i2, self.a, self.e2, self.c2), (self.after1, self.before, self.b, self.e1, self.c1)):
+            # of lanes with one context, the last one writes
+            after[at] = np.where(ids == guess, entry + (sure < 15), np.where(sure > 0, entry - 1, fresh))
         self.seen.append(ids)
         self.before2, self.before = self.before, ids
         self.step += 1
@@ -153,10 +166,6 @@ class _Model:
             self._frequencies()
 
 
-#: How sure a context's next id is, 0 to 15, after a miss (first 16) or a hit.
-_SURE = np.array([max(0, c - 1) for c in range(16)] + [min(15, c + 1) for c in range(16)], dtype=np.int32)
-
-
 def _shape(n: int) -> tuple[int, int]:
     lanes = max(1, min(LANES, n // LEAST_STEPS))
     return lanes, -(-n // lanes) if n else 0

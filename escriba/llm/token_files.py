@@ -59,7 +59,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID, bloc
             )
 
         for batch in batches:
-            for rows in text.slices(batch):
+            for rows in text.slices(batch, most=1 << 20):
                 ids, n = encoder.encode(rows.column(1))
                 ends = np.cumsum(n)
                 ids = np.insert(ids, ends, end_id)

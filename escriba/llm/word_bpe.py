@@ -14,7 +14,7 @@ from . import text
 from .pretokens import BYTE_LEVEL, distinct, hashes, word_split
 
 #: Distinct pre-tokens that a worker remembers; beyond it begins anew.
-MEMORY = 1_500_000
+MEMORY = 400_000
 SUFFIX = "</w>"
 
 
