@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from . import frames, text
 from .pretokens import distinct, hashes, space_split
 
-MEMORY = 1_000_000
+MEMORY = 300_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -60,7 +60,7 @@ class Bpe:
         known = self.pairs.get((a, b))
         if known is None:
             x, y = self.by_id[a], self.by_id[b]
-            if len(self.pairs) > 4 * MEMORY:
+            if len(self.pairs) > 2 * MEMORY:
                 self.pairs.clear()
             known = self.pairs[a, b] = merge(self.ranks, x + y) == [x, y]
         return known
@@ -208,7 +208,7 @@ def report(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) ->
         encoder = worker_encoder(*shared.value)
         decimal = [str(i) for i in range(len(encoder.size))]
         for batch in batches:
-            for part in text.slices(batch):
+            for part in text.slices(batch, most=1 << 20):
                 ids, n = encoder.encode(part.column(1))
                 decoded, offsets = encoder.decode(ids, n)
                 shown = list(map(decimal.__getitem__, ids.tolist()))

@@ -31,7 +31,7 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(*shared.value)
         for batch in batches:
-            for part in text.slices(batch):
+            for part in text.slices(batch, most=1 << 20):
                 n, direct = encoder.counts(part.column(1))
                 _, offsets = text.utf8(part.column(1))
                 yield pa.record_batch({"doc_id": part.column(0), "n_bytes": np.diff(offsets), "n_tokens": n.astype(np.int64), "n_direct": direct.astype(np.int64)})
