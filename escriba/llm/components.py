@@ -9,34 +9,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import cut
+from .frames import compact
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, parts: int) -> DataFrame:
     """Each neighbour greater than u is linked to the least of u and its neighbours."""
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(parts).distinct().coalesce(parts)
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, parts: int) -> DataFrame:
     """u (the greater end) and all its smaller neighbours are linked to the least of them."""
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
     out = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return out.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+    return out.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").coalesce(parts).distinct().coalesce(parts)
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, component (the least node reachable), for every node of links (columns u and v, long); a node alone has no row."""
-    now = cut(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now = compact(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = None
     for _ in range(most_rounds):
         state = now.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
         if state[0] == 0 or state == seen:
             break
         seen = state
-        now = cut(_small_star(_large_star(now)))
+        parts = now.rdd.getNumPartitions()  # as many as the links need
+        now = compact(_small_star(_large_star(now, parts), parts))
     else:
         raise RuntimeError("components did not settle")
     # at rest every link leads straight to the least node of its component

@@ -45,6 +45,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def compact(df: DataFrame, rows: int = 250_000) -> DataFrame:
+    """df, checkpointed, read back in no more partitions than its counted rows need: a small table dealt over very many partitions would make each later shuffle write as many files."""
+    df = cut(df)
+    return df.coalesce(max(1, -(-df.count() // rows)))
+
+
 def is_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
     """Whether df (checkpointed) has rows for at most limit bytes; counts limit // row_bytes + 1 rows at most."""
     most = max(1, limit // row_bytes)

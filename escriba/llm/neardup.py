@@ -5,10 +5,14 @@ pair of them is the key of a table: M(M-1)/2 tables from M x T minhashes. A pair
 least two sub-hashes agree; with M = 14 and T = 2 a pair at s = 0.8 is missed with probability 1.6e-5.
 
 Candidates without all pairs of a bucket: (1) equal sets are one class, with the least doc_id as representative; (2) in each
-bucket every representative is compared with the least one, on full sets; (3) buckets whose members are then not all
-connected are searched for the rest: pairs of different components, of sizes that allow the similarity, whose 28 minhashes
-agree often enough on four bits each (13 of 28; a pair at 0.8 has fewer with probability 7e-6). Large buckets are dealt over
-many tasks in blocks. All candidates are confirmed on full sets; components come from confirmed links.
+bucket every representative is compared, on full sets, with the least one; (3) in buckets whose members are then not all
+connected, with the one that has most links so far (the original of many copies); (4) what is still in several pieces (mostly texts
+that share a passage and no more) goes through a second, finer collection: 36 sub-hashes of 5 minhashes each, made for these
+texts only. There a pair at 0.8 is missed with probability 1.1e-5 and one at 0.3 shares a table with 0.004. Texts that its tables join, directly
+or over others, are a cell. A cell is dealt over many tasks in pairs of blocks, each doc once for every block; a task compares the
+texts of different pieces, first their sizes and 129 of 180 minhashes on two bits (a pair at 0.8 has fewer with probability 1e-6),
+then their full sets, and gives only links that join pieces. All links are confirmed on the texts themselves; components come from
+confirmed links.
 
 Defined results: words [^\\x20\\x09-\\x0D]+ after lower-casing A-Z; distinct shingles of 4 words, a shorter text is one
 shingle, null or wordless texts have none and stay alone. Rows repeated under one doc_id are answered each for itself; links
@@ -19,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,19 +33,35 @@ from pyspark.sql import functions as F
 from . import frames, text
 from .components import components
 
-M, T = 14, 2
 SHINGLE = 4
 PERCENT = 80
-#: Of the M x T minhashes, so many must agree on four bits for step 3 to compare a pair.
-AGREE = 13
-#: Members of a bucket that one task compares with all of the bucket.
+#: Texts in a block of a cell; a task holds two blocks.
 BLOCK = 512
 
+
+@dataclass(frozen=True)
+class Collection:
+    """m sub-hashes of t minhashes, the first being function number `first`; agree: of the m x t minhashes, how many must agree on two bits."""
+
+    m: int
+    t: int
+    first: int
+    agree: int
+
+    def words(self) -> int:
+        """64-bit words that hold two bits of every minhash."""
+        return -(-self.m * self.t // 32)
+
+
+COARSE = Collection(14, 2, 0, 0)
+FINE = Collection(36, 5, 28, 129)
+
 _RNG = np.random.default_rng(977)
-_XOR = _RNG.integers(0, 2**63, M * T, dtype=np.uint64)
-_MUL = _RNG.integers(0, 2**62, M * T, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FUNCTIONS = COARSE.m * COARSE.t + FINE.m * FINE.t
+_XOR = _RNG.integers(0, 2**63, _FUNCTIONS, dtype=np.uint64)
+_MUL = _RNG.integers(0, 2**62, _FUNCTIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-SCHEMA = "doc_id long, n_shingles long, h1 long, h2 long, s1 long, s2 long, subs array<long>"
+SCHEMA = "doc_id long, n_shingles long, h1 long, h2 long, bits array<long>, subs array<long>, shingles array<long>"
 
 
 def shingle_hashes(words: text.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,8 +80,11 @@ def shingle_hashes(words: text.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out) if out else h[:0]), np.cumsum(first)
 
 
-def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """Per row: size of the shingle set, its 128-bit hash, four bits of each minhash (s1, s2), and the M sub-hashes."""
+def signatures(docs: DataFrame, k: int = SHINGLE, c: Collection = COARSE, with_shingles: bool = False) -> DataFrame:
+    """Per row: size of the shingle set, its 128-bit hash, two bits of each minhash, the sub-hashes of the collection, and if asked for the sorted shingle hashes."""
+
+    def fixed(table: np.ndarray) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(table) + 1, dtype=np.int32) * table.shape[1]), pa.array(text.signed(np.ascontiguousarray(table).ravel())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,38 +95,35 @@ def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
                 full = np.flatnonzero(size)
                 at = first[full]
                 n = len(size)
-                mins = np.zeros((n, M * T), dtype=np.uint64)
+                mins = np.zeros((n, c.m * c.t), dtype=np.uint64)
                 whole = np.zeros((n, 2), dtype=np.uint64)
                 if len(full):
-                    for j in range(M * T):
-                        v = (sets ^ _XOR[j]) * _MUL[j]
+                    for j in range(c.m * c.t):
+                        v = (sets ^ _XOR[c.first + j]) * _MUL[c.first + j]
                         v ^= v >> np.uint64(32)
-                        v *= _MUL[j - 1]
+                        v *= _MUL[(c.first + j + 7) % _FUNCTIONS]
                         mins[full, j] = np.minimum.reduceat(v, at)
                     whole[full, 0] = np.add.reduceat(text.mix(sets), at)
                     whole[full, 1] = np.add.reduceat(text.mix(sets ^ np.uint64(0xA5A5A5A5A5A5A5A5)), at)
-                subs = text.mix(mins[:, 0::2] * np.uint64(0xC2B2AE3D27D4EB4F) + text.mix(mins[:, 1::2]))
-                nibbles = text.mix(mins) & np.uint64(15)
-                half = M * T // 2
-                packed = [np.bitwise_or.reduce(x << (np.arange(half, dtype=np.uint64) * np.uint64(4)), axis=1) for x in (nibbles[:, :half], nibbles[:, half:])]
-                yield pa.record_batch(
-                    {
-                        "doc_id": part.column(0),
-                        "n_shingles": size,
-                        "h1": text.signed(np.ascontiguousarray(whole[:, 0])),
-                        "h2": text.signed(np.ascontiguousarray(whole[:, 1])),
-                        "s1": text.signed(packed[0]),
-                        "s2": text.signed(packed[1]),
-                        "subs": pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * M), pa.array(text.signed(np.ascontiguousarray(subs).ravel()))),
-                    }
-                )
+                subs = np.zeros((n, c.m), dtype=np.uint64)
+                for j in range(c.t):
+                    subs = text.mix(subs * np.uint64(0xC2B2AE3D27D4EB4F) + mins[:, j :: c.t])
+                two = np.zeros((n, c.words() * 32), dtype=np.uint64)
+                two[:, : c.m * c.t] = text.mix(mins) & np.uint64(3)
+                bits = np.bitwise_or.reduce(two.reshape(n, -1, 32) << (np.arange(32, dtype=np.uint64) * np.uint64(2)), axis=2)
+                yield pa.record_batch({"doc_id": part.column(0), "n_shingles": size, "h1": text.signed(np.ascontiguousarray(whole[:, 0])), "h2": text.signed(np.ascontiguousarray(whole[:, 1])), "bits": fixed(bits), "subs": fixed(subs), "shingles": pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(text.signed(sets))) if with_shingles else pa.nulls(n, pa.list_(pa.int64()))})
 
     return frames.doc_texts(docs).mapInArrow(run, SCHEMA)
 
 
-def table_keys(subs: str = "subs") -> Column:
+def table_keys(c: Collection, subs: str = "subs") -> Column:
     """A key for every pair of sub-hashes."""
-    return F.array(*(F.xxhash64(F.lit(i * M + j), F.get(subs, F.lit(i)), F.get(subs, F.lit(j))) for i in range(M) for j in range(i + 1, M)))
+    sub = lambda i: F.element_at(subs, i + 1)
+    if c.m <= 16:
+        return F.array(*(F.xxhash64(F.lit(i * c.m + j), sub(i), sub(j)) for i in range(c.m) for j in range(i + 1, c.m)))
+    every = F.sequence(F.lit(0), F.lit(c.m - 1))
+    pairs = F.transform(every, lambda i: F.transform(F.filter(every, lambda j: j > i), lambda j: F.xxhash64(i * c.m + j, F.element_at(subs, i + 1), F.element_at(subs, j + 1))))
+    return F.flatten(pairs)
 
 
 def shingle_set(value: str, k: int = SHINGLE) -> set[bytes]:
@@ -115,7 +136,7 @@ def shingle_set(value: str, k: int = SHINGLE) -> set[bytes]:
 
 def confirm(pairs: DataFrame, docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 x intersection >= percent x union. pairs is checkpointed and distinct."""
-    wanted = frames.cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    wanted = frames.compact(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     texts = frames.doc_texts(docs).join(frames.maybe_broadcast(wanted, 16), "doc_id", "left_semi")
     left, right = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
 
@@ -138,51 +159,107 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int = SHINGLE, percent: int =
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def _agreeing(x: str, y: str) -> Column:
-    """How many minhashes agree on their four bits."""
-    total = F.lit(0)
-    for s in ("s1", "s2"):
-        d = F.col(f"{x}.{s}").bitwiseXOR(F.col(f"{y}.{s}"))
-        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
-        d = d.bitwiseOR(F.shiftrightunsigned(d, 2))
-        total = total + (F.lit(M * T // 2) - F.bit_count(d.bitwiseAND(F.lit(0x11111111111111))))
+def _agreeing(x: np.ndarray, y: np.ndarray, c: Collection) -> np.ndarray:
+    """How many minhashes of every row of x and every row of y agree on their two bits."""
+    total = np.full((len(x), len(y)), c.m * c.t, dtype=np.int16)
+    for i in range(c.words()):
+        d = x[:, None, i] ^ y[None, :, i]
+        total -= np.bitwise_count((d | (d >> np.uint64(1))) & np.uint64(0x5555555555555555))
     return total
 
 
+def _links_between(table: pa.Table, percent: int) -> pa.Table:
+    """The links (a, b) of one pair of a cell's blocks that join different pieces."""
+    lists = lambda name: table.column(name).combine_chunks()
+    rep, n, piece, block = (table.column(c).to_numpy() for c in ("rep", "n", "component", "block"))
+    lo = table.column("lo")[0].as_py()
+    bits = lists("bits").flatten().to_numpy().view(np.uint64).reshape(len(rep), -1)
+    first = np.append(0, np.cumsum(n))
+    _, number = np.unique(lists("shingles").flatten().to_numpy(), return_inverse=True)
+    left = np.flatnonzero(block == lo)
+    right = left if table.column("hi")[0].as_py() == lo else np.flatnonzero(block != lo)
+    a: list[int] = []
+    b: list[int] = []
+    if len(left) and len(right):
+        likely = (_agreeing(bits[left], bits[right], FINE) >= FINE.agree) & (100 * np.minimum.outer(n[left], n[right]) >= percent * np.maximum.outer(n[left], n[right])) & (piece[left][:, None] != piece[right][None, :])
+        # postings of the right block: which of its texts hold a shingle
+        own = text.ragged(first[right], n[right])
+        order = np.argsort(number[own], kind="stable")
+        holder = np.repeat(np.arange(len(right)), n[right])[order]
+        begin = np.searchsorted(number[own][order], np.arange(int(number.max()) + 2))
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                x = up
+            return x
+
+        for i in np.flatnonzero(likely.any(axis=1)).tolist():
+            mine = number[first[left[i]] : first[left[i] + 1]]
+            shared = np.bincount(holder[text.ragged(begin[mine], begin[mine + 1] - begin[mine])], minlength=len(right))
+            good = likely[i] & (100 * shared >= percent * (n[left[i]] + n[right] - shared)) & (shared > 0)
+            for j in np.flatnonzero(good).tolist():
+                x, y = find(int(piece[left[i]])), find(int(piece[right[j]]))
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    pair = int(rep[left[i]]), int(rep[right[j]])
+                    a.append(max(pair))
+                    b.append(min(pair))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _open(members: DataFrame, pieces: DataFrame) -> DataFrame:
+    """key, rep and component of the members of tables that are in several pieces."""
+    with_piece = members.join(pieces, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    several = with_piece.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("many")).where("lo <> hi").select("key", "many")
+    return frames.compact(with_piece.join(several, "key"))
+
+
+def _pieces(links: DataFrame) -> DataFrame:
+    return components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("rep"), "component")
+
+
 def groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, a row per row of docs."""
     sig = frames.cut(signatures(docs, k))
     full = sig.where("n_shingles > 0")
-    classes = frames.cut(full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("subs").alias("subs")))
-    keyed = classes.select("rep", F.explode(table_keys()).alias("key"))
-    leaders = keyed.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("other"), F.count("*").alias("many")).where("lead <> other").select("key", "lead", "many")
-    members = frames.cut(keyed.join(leaders, "key"))  # of buckets with at least two representatives
-
-    first = frames.cut(members.where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct())
-    links = frames.cut(confirm(first, docs, k, percent))
-    found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-
-    # step 3: buckets of three or more that are still in several pieces
-    known = classes.select("rep", "n", "s1", "s2").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    rest = members.where("many > 2").join(known, "rep")
-    open_keys = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    rest = frames.cut(rest.join(open_keys, "key", "left_semi"))
-    blocks = F.ceil(F.col("many") / F.lit(BLOCK)).cast("int")
-    x = rest.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).alias("x")
-    y = rest.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).alias("y")
-    second = (
-        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.rep") > F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & (F.col("y.rep") != F.col("y.lead"))
-               & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & (_agreeing("x", "y") >= AGREE))
-        .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-        .distinct()
-    )
-    second = frames.cut(second)
+    classes = frames.cut(full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("subs").alias("subs")))
+    keyed = classes.select("rep", F.explode(table_keys(COARSE)).alias("key"))
+    leaders = keyed.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("other")).where("lead <> other").select("key", "lead")
+    members = frames.compact(keyed.join(leaders, "key"))  # of tables with at least two representatives
+
+    # against the least representative
+    links = frames.compact(confirm(frames.compact(members.where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()), docs, k, percent))
+    pieces = _pieces(links)
+    rest = _open(members.select("key", "rep"), pieces).where("many > 2")
+
+    # against the one with most links
+    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("degree"))
+    hubs = rest.join(degree, "rep").groupBy("key").agg(F.max_by(F.struct("rep", "component"), F.struct("degree", -F.col("rep"))).alias("hub"))
+    second = frames.compact(rest.join(hubs, "key").where("component <> hub.component").select(F.col("rep").alias("a"), F.col("hub.rep").alias("b")).distinct())
     if second.limit(1).count():
-        more = frames.cut(confirm(second, docs, k, percent))
-        if more.limit(1).count():
-            found = components(links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
-
-    of = classes.select("h1", "h2", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
+        links = frames.compact(links.unionByName(confirm(second, docs, k, percent)).distinct())
+        pieces = _pieces(links)
+        rest = _open(rest.select("key", "rep"), pieces)
+
+    # the finer collection, for what is still in several pieces
+    left = frames.compact(rest.select("rep").distinct())
+    if left.limit(1).count():
+        again = frames.doc_texts(docs).withColumnRenamed("doc_id", "rep").join(frames.maybe_broadcast(left, 16), "rep", "left_semi").withColumnRenamed("rep", "doc_id")
+        fine = frames.cut(signatures(again, k, FINE, True).groupBy(F.col("doc_id").alias("rep")).agg(F.first("n_shingles").alias("n"), F.first("bits").alias("bits"), F.first("subs").alias("subs"), F.first("shingles").alias("shingles")))
+        tables = fine.select("rep", "subs").join(pieces, "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"), F.explode(table_keys(FINE)).alias("key"))
+        several = tables.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("rep").alias("lead")).where("lo <> hi").select("key", "lead")
+        stars = frames.compact(tables.select("key", "rep").join(several, "key").where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct())
+        cells = _pieces(stars).withColumnRenamed("component", "cell")
+        cells = cells.join(cells.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")), "cell")
+        known = fine.select("rep", "n", "bits", "shingles").join(cells, "rep").join(pieces, "rep", "left").withColumn("component", F.coalesce("component", "rep")).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+        dealt = known.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+        third = frames.compact(dealt.groupBy("cell", "lo", "hi").applyInArrow(lambda t: _links_between(t, percent), "a long, b long"))
+        if third.limit(1).count():
+            links = frames.compact(links.unionByName(confirm(third, docs, k, percent)).distinct())
+            pieces = _pieces(links)
+
+    of = classes.select("h1", "h2", "rep").join(pieces, "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
     linked = full.select("doc_id", "n_shingles", "h1", "h2").join(of, ["h1", "h2"]).select("doc_id", "n_shingles", "component_id")
     return linked.unionByName(sig.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
