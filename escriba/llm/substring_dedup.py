@@ -94,8 +94,10 @@ def repeated(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS) ->
     """doc_id, array of struct(at, n): the spans of each document that repeat an earlier one."""
     every = span_table(docs, run, least_words)
     order = F.struct("doc_id", "at")
-    firsts = every.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first <> last").select("h1", "h2", F.col("first.doc_id").alias("first_doc"), F.col("first.at").alias("first_at"))
-    later = every.join(firsts, ["h1", "h2"]).where("doc_id <> first_doc or at <> first_at")
+    # a table of its own, of repeated hashes only: small ones are broadcast, and otherwise both sides of the join are
+    # shuffles of which adaptive execution can split the hot partitions
+    firsts = frames.cut(every.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first <> last").select("h1", "h2", F.col("first.doc_id").alias("first_doc"), F.col("first.at").alias("first_at")))
+    later = every.join(frames.maybe_broadcast(firsts, 48), ["h1", "h2"]).where("doc_id <> first_doc or at <> first_at")
     return later.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("at", "n"))).alias("spans"))
 
 
