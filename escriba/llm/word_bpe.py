@@ -41,7 +41,8 @@ class Encoder:
         self.direct = np.zeros(0, dtype=bool)
 
     def merge(self, word: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(BYTE_LEVEL))]
+        shown = word if word.isascii() and word.isalnum() else word.encode().decode("latin-1").translate(BYTE_LEVEL)
+        return [t.id for t in self.model.tokenize(shown)]
 
     def _learn(self, h: list[int], words: list[str]) -> None:
         ids, direct = [], []
