@@ -1,14 +1,23 @@
-"""Substring dedup by sliding sentence spans.
-
-Sentences end at . ! ? or a line feed. From every sentence a span slides on: the shortest run of at least RUN consecutive
-sentences with at least LEAST_WORDS words (a long run of short sentences where that is needed). All spans are hashed (128
-bits of their words, lower-cased in A-Z, so that neither spacing nor line breaks matter) and joined globally; of every
-hash that occurs twice or more, the occurrence with the least (doc_id, sentence) stays, and the sentences that any other
-occurrence covers are removed. First occurrences are found by a grouped minimum, which Spark combines before it
-shuffles; hot hashes are a skewed join that adaptive execution splits.
-
-A passage that begins or ends within a sentence is found by the whole sentences in its middle, which is why spans are
-short against the passages sought (50 words). Defined results: null or empty texts have no sentences and stay as they are;
+"""Substring dedup by sliding spans of words.
+
+Sentences end at . ! ? or a line feed. Three kinds of spans are hashed (128 bits of their words, lower-cased in A-Z, so that
+neither spacing nor line breaks matter):
+(1) from every sentence the shortest run of at least RUN consecutive sentences with at least LEAST_WORDS words (a long run of
+short sentences where that is needed);
+(2) every sentence of at least LEAST_WORDS words by itself;
+(3) pieces of PIECE_WORDS words, wherever they begin: of every SURE_WORDS consecutive words that hold no whole span of the first two
+kinds, the piece at the least hash of four words (winnowing). Which piece that is follows from those words alone, so every
+copy of them has the same one.
+A passage of SURE_WORDS words or more that occurs again thus shares a span wherever it begins and ends, within sentences too
+and without any sentences; a shorter one is found if it holds a span. SURE_WORDS = 2 PIECE_WORDS - 1, so in a long passage
+without sentences the pieces leave no gap.
+
+Spans are joined globally; of every hash that occurs twice or more, the occurrence with the least (doc_id, word) stays, and the
+words that any other occurrence covers are removed. First occurrences are found by a grouped minimum, which Spark combines
+before it shuffles; hot hashes are a skewed join that adaptive execution splits.
+
+What is removed are whole spans: at each end of a passage, the words before its first and after its last span stay (of a
+passage without sentences at most PIECE_WORDS - 1 at each end). Defined results: null or empty texts have no sentences and stay as they are;
 a document whose every sentence repeats an earlier one becomes empty; repeats within one document count too; a last span
 of a document may be shorter than RUN sentences only if a document has fewer.
 Rows repeated under one doc_id count once and are answered each for itself.
@@ -28,6 +37,7 @@ from . import frames, text
 
 RUN = 2
 LEAST_WORDS = 24
+SURE_WORDS, PIECE_WORDS = 51, 26
 
 _END = np.zeros(256, dtype=bool)
 _END[[ord(c) for c in ".!?\n"]] = True
@@ -50,8 +60,28 @@ def split(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return first_word, words.start[first_word], first_sentence, words
 
 
+def pieces(h: np.ndarray, last: np.ndarray, first_word: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """First words of the pieces. h, last: hash of every word and end of its document; first_word, ends: of every sentence its first word, and the end of its shortest span."""
+    s = np.flatnonzero(np.arange(len(h)) + SURE_WORDS <= last)
+    # a window's own words tell that a sentence begins at any of them but the first
+    soonest = np.append(np.minimum.accumulate(ends[::-1])[::-1], len(h) + SURE_WORDS)
+    s = s[soonest[np.searchsorted(first_word, s + 1, "left")] >= s + SURE_WORDS]
+    if not len(s):
+        return s
+    value = np.full(len(h), np.iinfo(np.uint64).max)
+    value[: len(h) - 3] = text.windows(h, 4)
+    # the first least value of every width positions, by doubling
+    at, width = np.arange(len(h)), 1
+    while width < SURE_WORDS - PIECE_WORDS + 1:
+        step = min(width, SURE_WORDS - PIECE_WORDS + 1 - width)
+        other = at[step:]
+        at = np.where(value[at[: len(other)]] <= value[other], at[: len(other)], other)
+        width += step
+    return np.unique(at[s])
+
+
 def spans(raw: np.ndarray, offsets: np.ndarray, run: int = RUN, least_words: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """doc, first sentence (within it), number of sentences, and two hashes of every span."""
+    """doc, first word (within it), number of words, and two hashes of every span."""
     first_word, _, first_sentence, words = split(raw, offsets)
     n = len(first_word)
     if not n:
@@ -67,16 +97,19 @@ def spans(raw: np.ndarray, offsets: np.ndarray, run: int = RUN, least_words: int
     short = whole & ~valid  # too short a document: its whole text is the one span
     end = np.where(short, stop, end)
     valid |= short
-    at, end = np.flatnonzero(valid), end[valid]
+    alone = (enough <= stop) & (enough < end)
     h = words.hashes()
+    ends = np.where(enough <= stop, starts[np.minimum(enough, n)], len(words) + SURE_WORDS)
+    piece = pieces(h, words.first[1:][words.doc], first_word, ends)
+    a = np.concatenate([first_word[valid], first_word[alone], piece])
+    b = np.concatenate([starts[end[valid]], ends[alone], piece + PIECE_WORDS])
     # words of a span, hashed in order: weights depend on the distance from the span's first word
-    a, b = starts[at], starts[end]
     idx = text.ragged(a, b - a)
     place = (idx - np.repeat(a, b - a)).astype(np.uint64)
     bounds = np.append(0, np.cumsum(b - a))[:-1]
     one = np.add.reduceat(text.mix(h[idx] + place * np.uint64(0x9E3779B97F4A7C15)), bounds)
     two = np.add.reduceat(text.mix((h[idx] ^ np.uint64(0x5851F42D4C957F2D)) + place * np.uint64(0xD1342543DE82EF95)), bounds)
-    return doc[at], at - first_sentence[:-1][doc[at]], end - at, one, two
+    return words.doc[a], a - words.first[words.doc[a]], b - a, one, two
 
 
 def span_table(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -102,7 +135,7 @@ def repeated(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS) ->
 
 
 def remove(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS) -> DataFrame:
-    """doc_id, text (without the removed sentences), n_sentences, n_removed, removed: merged ranges of sentences as at:end."""
+    """doc_id, text (without the removed words), n_sentences, n_removed (sentences that lost any word), removed: merged ranges of words as at:end."""
     found = frames.cut(repeated(docs, run, least_words))
     joined = frames.doc_texts(docs).join(found, "doc_id", "left").select("doc_id", "text", "spans")
 
@@ -110,28 +143,32 @@ def remove(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS) -> D
         for batch in batches:
             for part in text.slices(batch):
                 raw, offsets = text.utf8(part.column(1))
-                _, start, first, _ = split(raw, offsets)
+                first_word, _, first, words = split(raw, offsets)
+                own = part.column(2)
+                at = np.repeat(words.first[:-1], np.diff(own.offsets.to_numpy()))
+                lo, hi = own.offsets[0].as_py(), own.offsets[len(own)].as_py()
+                at = at + own.values.field("at").to_numpy(zero_copy_only=False)[lo:hi]
+                cover = np.zeros(len(words) + 1, dtype=np.int64)
+                np.add.at(cover, at, 1)
+                np.add.at(cover, at + own.values.field("n").to_numpy(zero_copy_only=False)[lo:hi], -1)
+                dropped = (np.cumsum(cover)[:-1] > 0).astype(np.int8)
+                hit = np.maximum.reduceat(dropped, first_word) if len(first_word) else dropped
                 out, many, gone, ranges = [], [], [], []
-                for i, own in enumerate(part.column(2).to_pylist()):
-                    n = int(first[i + 1] - first[i])
-                    cover = np.zeros(n + 1, dtype=np.int64)
-                    for s in own or ():
-                        cover[s["at"]] += 1
-                        cover[s["at"] + s["n"]] -= 1
-                    drop = np.cumsum(cover)[:n] > 0
+                for i in range(part.num_rows):
                     body = raw[offsets[i] : offsets[i + 1]]
-                    edges = np.flatnonzero(np.diff(np.concatenate([[0], drop.astype(np.int8), [0]])))
+                    begin, end = int(words.first[i]), int(words.first[i + 1])
+                    edges = np.flatnonzero(np.diff(np.concatenate([[0], dropped[begin:end], [0]])))
                     pairs = list(zip(edges[0::2].tolist(), edges[1::2].tolist(), strict=True))
                     if pairs:
-                        # a sentence reaches to the next one's first byte; what stands before the first sentence stays
-                        cuts = np.append(start[first[i] : first[i + 1]] - offsets[i], len(body))
+                        # a word reaches to the next one's first byte; what stands before the first word stays
+                        cuts = np.append(words.start[begin:end] - offsets[i], len(body))
                         keep = np.ones(len(body), dtype=bool)
                         for a, b in pairs:
                             keep[cuts[a] : cuts[b]] = False
                         body = body[keep]
                     out.append(body.tobytes())
-                    many.append(n)
-                    gone.append(int(drop.sum()))
+                    many.append(int(first[i + 1] - first[i]))
+                    gone.append(int(hit[first[i] : first[i + 1]].sum()))
                     ranges.append(",".join(f"{a}:{b}" for a, b in pairs))
                 yield pa.record_batch({"doc_id": part.column(0), "text": pa.array(out, pa.binary()).cast(pa.string()), "n_sentences": pa.array(many, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "removed": pa.array(ranges, pa.string())})
 
@@ -155,29 +192,38 @@ def brute_force(rows: list[tuple[int, str | None]], run: int = RUN, least_words:
 
     docs = {d: cut_up(t or "") for d, t in rows}
     first: dict[tuple, tuple[int, int]] = {}
-    found = []
+    found: dict[int, set[int]] = {d: set() for d in docs}
     for d in sorted(docs):
-        s = docs[d]
-        for i in range(len(s)):
-            end = i + run
-            while end <= len(s) and sum(len(w) for _, w in s[i:end]) < least_words:
-                end += 1
-            if end > len(s):
-                if i:
-                    continue
-                end = len(s)
-            key = tuple(w for _, ws in s[i:end] for w in ws)
-            if key in first:
-                found.append((d, i, end))
-            else:
-                first[key] = (d, i)
+        flat = [w for _, ws in docs[d] for w in ws]
+        starts = [0]
+        for _, ws in docs[d]:
+            starts.append(starts[-1] + len(ws))
+        own, sure = set(), set()
+        for i in range(len(docs[d])):
+            enough = next((e for e in starts[i + 1 :] if e - starts[i] >= least_words), None)
+            end = next((e for e in starts[i + run :] if e - starts[i] >= least_words), None)
+            if enough is not None:
+                own.add((starts[i], enough))
+                sure.add((starts[i], enough))
+            if end is not None or i == 0:
+                own.add((starts[i], len(flat) if end is None else end))
+        value = text.windows(text.Words(*text.utf8(pa.array([" ".join(flat)])), text.SPACE_WORDS).hashes(), 4).tolist()
+        for s in range(len(flat) - SURE_WORDS + 1):
+            if not any(s < a and b < s + SURE_WORDS for a, b in sure):
+                at = min(range(s, s + SURE_WORDS - PIECE_WORDS + 1), key=value.__getitem__)
+                own.add((at, at + PIECE_WORDS))
+        for a, b in sorted(own):
+            if first.setdefault(tuple(flat[a:b]), (d, a)) != (d, a):
+                found[d] |= set(range(a, b))
     out = []
     for d, t in rows:
-        s = docs[d]
-        gone = {k for x, a, b in found if x == d for k in range(a, b)}
-        starts = [a for a, _ in s] + [len(t or "")]
-        kept = (t or "")[: starts[0]] + "".join((t or "")[starts[k] : starts[k + 1]] for k in range(len(s)) if k not in gone)
-        out.append((d, kept, len(s), len(gone)))
+        t = t or ""
+        at = [m.start() for m in re.finditer(r"[^\x20\x09-\x0D]+", t)] + [len(t)]
+        kept = t[: at[0]] + "".join(t[at[k] : at[k + 1]] for k in range(len(at) - 1) if k not in found[d])
+        bounds = [0]
+        for _, ws in docs[d]:
+            bounds.append(bounds[-1] + len(ws))
+        out.append((d, kept, len(docs[d]), sum(not found[d].isdisjoint(range(a, b)) for a, b in zip(bounds, bounds[1:], strict=False))))
     return out
 
 

@@ -106,6 +106,48 @@ def test_substring_dedup(spark, edges, edge_rows, empty):
     assert substring_dedup.remove(edges).count() == len(edge_rows) and substring_dedup.remove(empty).count() == 0
 
 
+def lost_windows(rows, got, sure=51):
+    """Windows of so many words that occur earlier, too, and of which no word was removed."""
+    gone = {r.doc_id: {k for x in r.removed.split(",") if x for k in range(*map(int, x.split(":")))} for r in got}
+    seen, lost, repeats = set(), [], 0
+    for d, t in sorted(rows):
+        w = (t or "").split()
+        for i in range(len(w) - sure + 1):
+            key = tuple(w[i : i + sure])
+            if key in seen:
+                repeats += 1
+                if gone[d].isdisjoint(range(i, i + sure)):
+                    lost.append((d, i))
+            seen.add(key)
+    return lost, repeats
+
+
+def test_substring_dedup_finds_every_long_passage(spark):
+    rng = random.Random(7)
+    rows, n = [], 0
+    for size in (51, 60, 500):
+        for ends in (0, 0.02, 0.05, 0.1, 0.3):  # no sentences, long ones, short ones
+            passage = "".join(x + (rng.choice([".", "!", "?"]) if rng.random() < ends else "") + " " for x in words(rng, size, 10**6).split()).strip()
+            for left, right in (("", ""), (".", "."), ("", "."), (".", ""), (",", "\n")):
+                rows.append((n, f"{words(rng, rng.randint(1, 90), 10**6)}{left} {passage}{right} {words(rng, rng.randint(1, 90), 10**6)}"))
+                n += 1
+    rows.append((n, rows[10][1].replace(".", "") + " " + rows[10][1]))
+    got = substring_dedup.remove(frame(spark, rows)).collect()
+    lost, repeats = lost_windows(rows, got)
+    assert repeats > 5000 and not lost
+    assert sorted((r.doc_id, r.text, r.n_sentences, r.n_removed) for r in got) == sorted(substring_dedup.brute_force(rows))
+    once = " ".join(f"v{i}" for i in range(500))  # without sentences pieces leave no gap
+    r = substring_dedup.remove(frame(spark, [(1, once), (2, f"{words(rng, 9)} {once} {words(rng, 9)}")])).where("doc_id = 2").collect()[0]
+    assert r.removed.count(":") == 1 and len(r.text.split()) <= 18 + 50 and r.n_removed == 1
+
+
+def test_substring_dedup_takes_one_long_sentence(spark):
+    rng = random.Random(6)
+    s = words(rng, 30, 10**6) + "."
+    rows = [(i, f"{words(rng, 20, 10**6)}. {s} {words(rng, 20, 10**6)}.") for i in range(3)]
+    assert [s in r.text for r in substring_dedup.remove(frame(spark, rows)).orderBy("doc_id").collect()] == [True, False, False]
+
+
 # --- personal data
 
 
