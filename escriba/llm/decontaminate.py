@@ -28,7 +28,7 @@ SHARD_WORDS = 400_000
 #: Benchmark texts of more bytes than this are searched block by block, so that no task gets more of them at once.
 BLOCK_BYTES = 8 << 20
 
-SCHEMA = "doc_id long, n_words long, items array<string>, spans array<struct<start:long,end:long>>"
+SCHEMA = "doc_id long, text_key string, n_words long, items array<string>, spans array<struct<start:long,end:long>>"
 
 
 @dataclass
@@ -156,6 +156,7 @@ def scan(column: pa.Array, wanted: Phrases, width: int = WIDTH) -> tuple[np.ndar
 
 
 def _search(texts: DataFrame, wanted: Phrases, width: int) -> DataFrame:
+    """A row per row of texts: doc_id, text_key, and what was found."""
     shared = texts.sparkSession.sparkContext.broadcast(wanted)  # at most BLOCK_BYTES of text, see blocks()
 
     def run(batches):
@@ -165,6 +166,7 @@ def _search(texts: DataFrame, wanted: Phrases, width: int) -> DataFrame:
                 yield pa.record_batch(
                     {
                         "doc_id": part.column(0),
+                        "text_key": part.column(2),
                         "n_words": pa.array(n, pa.int64()),
                         "items": pa.array(items, pa.list_(pa.string())),
                         "spans": pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
@@ -190,23 +192,27 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_BYTES):
 def find_spans(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_words, items (ids as strings, sorted) and merged spans of hit words (end exclusive), a row per row of docs.
 
-    A benchmark of several blocks is searched block by block; the blocks' spans and items are then merged by document
-    (documents must have distinct ids in that case)."""
+    A benchmark of several blocks is searched block by block; the blocks' spans and items are then merged by doc_id and
+    text. Rows that are equal in both have equal results, which are answered for each of them."""
     texts = frames.doc_texts(docs)
-    parts = [_search(texts, phrases(block, width), width) for block in blocks(benchmark)]
-    if len(parts) == 1:
-        return parts[0]
-    every = parts[0]
+    every = list(blocks(benchmark))
+    if len(every) == 1:
+        return _search(texts.withColumn("text_key", F.lit(None).cast("string")), phrases(every[0], width), width).drop("text_key")
+    texts = texts.withColumn("text_key", F.md5(F.col("text").cast("binary")))
+    parts = [_search(texts, phrases(block, width), width).withColumn("copies", F.lit(int(i == 0)).cast("long")) for i, block in enumerate(every)]
+    found = parts[0]
     for p in parts[1:]:
-        every = every.unionByName(p)
-    merged = every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+        found = found.unionByName(p)
+    # sets of lists: equal rows add nothing, however many there are
+    merged = found.groupBy("doc_id", "text_key").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.array_sort(F.flatten(F.collect_set("spans"))).alias("spans"), F.sum("copies").alias("copies"))
     pair = "struct<start:bigint,end:bigint>"
     joined = F.aggregate(
         "spans",
         F.array().cast(f"array<{pair}>"),
         lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end")).cast(pair)))).otherwise(F.concat(acc, F.array(x.cast(pair)))),
     )
-    return merged.withColumn("spans", F.when(F.size("spans") > 0, joined).otherwise(F.col("spans")))
+    answered = merged.withColumn("spans", F.when(F.size("spans") > 0, joined).otherwise(F.col("spans")))
+    return answered.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("text_key", "copies", "row")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:

@@ -36,6 +36,16 @@ def test_blocks_of_the_benchmark(spark, monkeypatch):
     assert sorted(tuple(r) for r in decontaminate.report(frame(spark, docs), bench).collect()) == whole
 
 
+def test_blocks_answer_every_row(spark, monkeypatch):
+    docs, items = data()
+    docs += [(5, docs[7][1]), (5, docs[8][1] + " " + items[4][1]), *[(None, t) for _, t in docs[10:20]], (None, docs[10][1]), (None, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(decontaminate.blocks, "__defaults__", (60,))
+    assert len(list(decontaminate.blocks(bench))) > 3
+    got = sorted((tuple(r) for r in decontaminate.report(frame(spark, docs), bench).collect()), key=str)
+    assert got == sorted(decontaminate.brute_force(docs, [(str(i), t) for i, t in items]), key=str)
+
+
 def test_empty_tables(spark, empty, edges, edge_rows):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.report(empty, bench).count() == 0
