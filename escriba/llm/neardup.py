@@ -246,13 +246,14 @@ def groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
     left = frames.compact(rest.select("rep").distinct())
     if left.limit(1).count():
         again = frames.doc_texts(docs).withColumnRenamed("doc_id", "rep").join(frames.maybe_broadcast(left, 16), "rep", "left_semi").withColumnRenamed("rep", "doc_id")
-        fine = frames.cut(signatures(again, k, FINE, True).groupBy(F.col("doc_id").alias("rep")).agg(F.first("n_shingles").alias("n"), F.first("bits").alias("bits"), F.first("subs").alias("subs"), F.first("shingles").alias("shingles")))
-        tables = fine.select("rep", "subs").join(pieces, "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"), F.explode(table_keys(FINE)).alias("key"))
-        several = tables.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("rep").alias("lead")).where("lo <> hi").select("key", "lead")
-        stars = frames.compact(tables.select("key", "rep").join(several, "key").where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct())
-        cells = _pieces(stars).withColumnRenamed("component", "cell")
+        # every text of a doc_id is a node of its own here; nodes that share a number only make their cells one
+        fine = frames.cut(signatures(again, k, FINE, True).groupBy(F.col("doc_id").alias("rep"), "h1", "h2").agg(F.first("n_shingles").alias("n"), F.first("bits").alias("bits"), F.first("subs").alias("subs"), F.first("shingles").alias("shingles")).where("n > 0").withColumn("node", F.xxhash64("rep", "h1", "h2")))
+        tables = fine.select("rep", "node", "subs").join(pieces, "rep", "left").select("node", F.coalesce("component", "rep").alias("component"), F.explode(table_keys(FINE)).alias("key"))
+        several = tables.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("lead")).where("lo <> hi").select("key", "lead")
+        stars = frames.compact(tables.select("key", "node").join(several, "key").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct())
+        cells = _pieces(stars).select(F.col("rep").alias("node"), F.col("component").alias("cell"))
         cells = cells.join(cells.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")), "cell")
-        known = fine.select("rep", "n", "bits", "shingles").join(cells, "rep").join(pieces, "rep", "left").withColumn("component", F.coalesce("component", "rep")).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+        known = fine.select("rep", "node", "n", "bits", "shingles").join(cells, "node").join(pieces, "rep", "left").withColumn("component", F.coalesce("component", "rep")).withColumn("block", F.pmod("node", "blocks").cast("int"))
         dealt = known.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
         third = frames.compact(dealt.groupBy("cell", "lo", "hi").applyInArrow(lambda t: _links_between(t, percent), "a long, b long"))
         if third.limit(1).count():

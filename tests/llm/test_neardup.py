@@ -51,6 +51,19 @@ def test_repeated_rows_and_empty(spark, empty, edges, edge_rows):
     assert {r.component_id for r in got if r.doc_id == 903} == {903}
 
 
+def test_every_text_of_a_doc_id_is_compared(spark):
+    """Pairs whose tables all hold a third text, too far from both, so that only the finer collection finds them; one of each pair is one of four texts of its doc_id."""
+    rng = random.Random(12)
+    rows = []
+    for c in range(0, 400, 100):
+        base = words(rng, 150, 10**6)
+        rows += [(c + i, near(rng, base, 0.045)) for i in range(30)]
+        rows += [(c + 50, words(rng, 150, 10**6)) for _ in range(3)] + [(c + 50, base), (c + 60, near(rng, base, 0.01))]
+    want = neardup.brute_force(rows)
+    assert sum(d % 100 == 60 and d != component for d, _, component, _ in want) == 4
+    assert sorted(tuple(r) for r in neardup.report(frame(spark, rows)).collect()) == sorted(want)
+
+
 def test_keep_first(spark):
     rows = [(3, "a b c d e f g"), (1, "a b c d e f g"), (2, "other words stand here now and then"), (4, None)]
     kept = neardup.keep_first(frame(spark, rows), k=5)
