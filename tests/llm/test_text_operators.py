@@ -53,6 +53,13 @@ def test_toxicity_edges(spark, labelled, edges, edge_rows, empty):
     assert kept.columns == docs.columns and kept.where("doc_id % 5 = 0").count() < 10 < 500 < kept.count()
 
 
+def test_labels_of_unknown_documents_take_no_place(spark, labelled):
+    docs, labels, _ = labelled
+    more = labels.unionByName(spark.range(10_000, 20_000).selectExpr("id as doc_id", "cast(null as int) as quality", "cast(id % 2 as int) as toxic"))
+    sample = lambda given: {(r.doc_id, r.toxic) for r in toxicity._sample(docs, given, 20, 60).collect()}
+    assert sample(more) == sample(labels) and len(sample(more)) == 80
+
+
 def test_noisy_or():
     p = toxicity.noisy_or(np.log([1.0, 1 / 3]), np.array([0, 0]), 2)
     assert p == pytest.approx([1 - 0.5 * 0.75, 0])
