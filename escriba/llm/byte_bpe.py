@@ -17,12 +17,43 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 
 from . import frames, text
-from .pretokens import distinct, hashes, space_split
+from .pretokens import CLASSES, LETTER, LIMIT, NUMBER, OTHER, SPACE, Memory, Points, merged, space_split
 
 MEMORY = 300_000
+# Fixed value: the split pattern that pretokens.space_split follows.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+class PointClasses:
+    """The pattern's class of code points, as the tiktoken library's own Unicode tables have it: each is asked for once, by how that library cuts short
+    texts with it. The small vocabulary that shows the cuts has all bytes, "'s", and "a" with each byte that begins a character."""
+
+    UNKNOWN = 255
+
+    def __init__(self, pattern: str):
+        tokens = [*(bytes([b]) for b in range(256)), b"'s", *(b"a" + bytes([b]) for b in range(0xC2, 0xF5))]
+        self.cuts = tiktoken.Encoding("cuts", pat_str=pattern, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={}).encode_ordinary
+        self.table = np.full(0x110000, self.UNKNOWN, dtype=np.uint8)
+        self.table[:LIMIT] = CLASSES[:LIMIT]
+
+    def _class(self, c: str) -> int:
+        if regex.match(r"\s", c):  # a set that no new version of Unicode has changed for long
+            return SPACE
+        if 256 not in self.cuts(c + "'s"):
+            return OTHER
+        return LETTER if self.cuts("a" + c)[0] > 256 else NUMBER
+
+    def of(self, points: np.ndarray) -> np.ndarray:
+        out = self.table[points]
+        if (out == self.UNKNOWN).any():
+            for p in np.unique(points[out == self.UNKNOWN]).tolist():
+                self.table[p] = self._class(chr(p))
+            out = self.table[points]
+        return out
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -129,51 +160,49 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.bpe = Bpe(ranks)
         self.pattern = regex.compile(pattern)
+        #: the pattern that pretokens splits by; pieces of any other are found by the pattern itself
+        self.ours = pattern == PATTERN
         top = max(ranks.values(), default=-1) + 1
         size = np.zeros(top, dtype=np.int64)
         for t, i in ranks.items():
             size[i] = len(t)
         self.size, self.begin = size, np.cumsum(size) - size
         self.blob = np.frombuffer(b"".join(t for _, t in sorted((i, t) for t, i in ranks.items())), np.uint8)
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.ids = np.zeros(0, dtype=np.int64)
-        self.first = np.zeros(0, dtype=np.int64)
-        self.count = np.zeros(0, dtype=np.int64)
+        self.memory = Memory(MEMORY)
+        self.classes = PointClasses(pattern)
+
+    def _encode(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        blob, encode = raw.tobytes(), self.bpe.encode_piece
+        ids = [encode(blob[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        return np.array([i for x in ids for i in x], dtype=np.int32), np.array([len(x) for x in ids], dtype=np.int64), np.zeros(len(ids), dtype=bool)
+
+    def _hard(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the pieces of these texts in turn, and how many each has."""
+        if not self.ours:
+            found = [[m.encode() for m in self.pattern.findall(t)] for t in texts]
+            raw = np.frombuffer(b"".join(p for f in found for p in f), np.uint8)
+            ends = np.cumsum([len(p) for f in found for p in f])
+            return self.memory.numbers(raw, np.append(0, ends[:-1])[: len(ends)].astype(np.int64), ends.astype(np.int64), self._encode), np.array([len(f) for f in found], dtype=np.int64)
+        points = Points(texts)
+        split = points.split(self.classes.of(points.points), False)
+        return self.memory.numbers(points.raw, split.start, split.end, self._encode), np.diff(split.first)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in turn, and how many each has."""
-        if len(self.known) > MEMORY:
-            self.clear()
+        if self.memory.full():
+            self.memory.clear()
         raw, offsets = text.utf8(column)
         split = space_split(raw, offsets)
-        h, at, inverse = distinct(hashes(raw, split.start, split.end))
-        own = h.tolist()
-        number = np.array(list(map(self.known.get, own)), dtype=object)
-        new = np.flatnonzero(number == None)  # noqa: E711
-        if len(new):
-            blob = raw.tobytes()
-            ids = [self.bpe.encode_piece(blob[s:e]) for s, e in zip(split.start[at[new]].tolist(), split.end[at[new]].tolist(), strict=True)]
-            base, count = len(self.first), np.array([len(x) for x in ids], dtype=np.int64)
-            self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(count) - count])
-            self.ids = np.concatenate([self.ids, np.array([i for x in ids for i in x], dtype=np.int64)])
-            self.count = np.concatenate([self.count, count])
-            self.known.update(zip((own[i] for i in new.tolist()), range(base, base + len(new)), strict=True))
-            number = np.array(list(map(self.known.get, own)), dtype=object)
-        number = number.astype(np.int64)[inverse]
-        count = self.count[number]
-        ids = self.ids[text.ragged(self.first[number], count)]
-        n = np.diff(np.append(0, np.cumsum(count))[split.first])
-        hard = np.flatnonzero(split.hard).tolist()
-        if hard:
-            parts = np.split(ids, np.cumsum(n)[:-1])
-            for i in hard:
-                parts[i] = np.array([t for m in self.pattern.findall(column[i].as_py()) for t in self.bpe.encode_piece(m.encode())], dtype=np.int64)
-                n[i] = len(parts[i])
-            ids = np.concatenate(parts)
-        return ids, n
+        if self.ours:
+            number, first = self.memory.numbers(raw, split.start, split.end, self._encode), split.first
+            hard = np.flatnonzero(split.hard)
+        else:
+            number, first, hard = np.zeros(0, np.int64), np.zeros(len(column) + 1, np.int64), np.arange(len(column))
+        if len(hard):
+            others, count = self._hard([column[i].as_py() for i in hard.tolist()])
+            number, first = merged(number, first, others, hard, count)
+        ids, count = self.memory.expand(number)
+        return ids, np.diff(np.append(0, np.cumsum(count))[first])
 
     def decode(self, ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of all texts in turn, and the offsets of each."""

@@ -2,17 +2,21 @@
 
 Both patterns split by runs of letters, numbers, white space and anything else, and take the English contractions apart.
 For texts of code points below U+0300 (where normal forms change nothing and one or two bytes make a character) the
-classes are looked up byte by byte; other texts are marked, and the caller splits them by the pattern itself.
+classes are looked up byte by byte; other texts are marked, and the caller has them split by the same rules code point by code point
+(word_points, space_points). Either way the pre-tokens go through one memory of encoded ones.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
 
-from .text import BYTE_VALUE, _POWERS, mix
+from . import text
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 LIMIT = 0x300
@@ -27,6 +31,22 @@ def _class(c: int) -> int:
 CLASSES = np.array([_class(c) for c in range(0x1000)], dtype=np.uint8)
 
 
+#: Lower case of the code points below LIMIT, where that is one code point of two bytes or fewer; else 0.
+_SMALL = np.array([ord(chr(c).lower()) if len(chr(c).lower()) == 1 and ord(chr(c).lower()) < 0x800 else 0 for c in range(LIMIT)], dtype=np.int32)
+
+
+def lowered(raw: np.ndarray) -> np.ndarray:
+    """The same bytes in lower case, as far as code points below LIMIT go."""
+    out = text.LOWER[raw]
+    lead = np.flatnonzero((raw >= 0xC2) & (raw < 0xCC))
+    lead = lead[lead + 1 < len(raw)]
+    small = _SMALL[((raw[lead].astype(np.int32) & 0x1F) << 6) | (raw[lead + 1] & 0x3F)]
+    lead, small = lead[small > 0], small[small > 0]
+    out[lead] = 0xC0 | (small >> 6)
+    out[lead + 1] = 0x80 | (small & 0x3F)
+    return out
+
+
 @dataclass
 class PreTokens:
     start: np.ndarray
@@ -108,55 +128,147 @@ def _lone_apostrophes(raw: np.ndarray, run: np.ndarray) -> np.ndarray:
     return at[(at + 1 < n)][run[at[at + 1 < n] + 1]] if len(at) else at
 
 
-def word_split(raw: np.ndarray, offsets: np.ndarray) -> PreTokens:
-    """'s|'t|'re|'ve|'m|'ll|'d|letters+|number|others+ on lower-cased text, white space dropped. Texts with U+0130 (whose lower case is two characters) or "<|" (it may begin a special token) are hard."""
-    n = len(raw)
-    classes, begins, run, hard = _layout(raw, offsets)
-    if n > 1:
-        pairs = (raw[:-1].astype(np.uint16) << 8) | raw[1:]
-        hard |= _documents_with(np.flatnonzero((pairs == 0xC4B0) | (pairs == 0x3C7C)), offsets)
+def _word_starts(units: np.ndarray, classes: np.ndarray, begins: np.ndarray, run: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     starts = run | ((classes == NUMBER) & begins)
-    _contractions(raw, classes, starts, _same_doc(n, offsets), _lone_apostrophes(raw, run), True)
-    return _finish(starts, classes != SPACE, offsets, hard, n)
+    _contractions(units, classes, starts, _same_doc(len(units), offsets), _lone_apostrophes(units, run), True)
+    return starts
 
 
-def space_split(raw: np.ndarray, offsets: np.ndarray) -> PreTokens:
-    """'s|'t|'re|'ve|'m|'ll|'d| ?letters+| ?numbers+| ?others+|\\s+(?!\\S)|\\s+"""
-    n = len(raw)
-    classes, begins, run, hard = _layout(raw, offsets)
+def _space_starts(units: np.ndarray, classes: np.ndarray, begins: np.ndarray, run: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     starts = run.copy()
-    same = _same_doc(n, offsets)
+    same = _same_doc(len(units), offsets)
     # runs of other classes that follow white space in the same document
     after = np.flatnonzero(run & (classes != SPACE) & same)
     after = after[classes[after - 1] == SPACE] if len(after) else after
     last = after - 1
     last = np.where(begins[last], last, last - 1) if len(last) else last  # the last white space character
     starts[last] = True
-    starts[after[raw[last] == 0x20]] = False
-    alone = _lone_apostrophes(raw, run)
-    _contractions(raw, classes, starts, same, alone[starts[alone]] if len(alone) else alone, False)
-    return _finish(starts, np.ones(n, dtype=bool), offsets, hard, n)
+    starts[after[units[last] == 0x20]] = False
+    alone = _lone_apostrophes(units, run)
+    _contractions(units, classes, starts, same, alone[starts[alone]] if len(alone) else alone, False)
+    return starts
+
+
+def word_split(raw: np.ndarray, offsets: np.ndarray) -> PreTokens:
+    """'s|'t|'re|'ve|'m|'ll|'d|letters+|number|others+ on lower-cased text, white space dropped. Texts with a character whose lower case needs more bytes, or with "<|" (it may begin a special token), are hard."""
+    n = len(raw)
+    classes, begins, run, hard = _layout(raw, offsets)
+    if n > 1:
+        lead = np.flatnonzero((raw[:-1] >= 0xC2) & (raw[:-1] < 0xCC))
+        wide = lead[_SMALL[((raw[lead].astype(np.int32) & 0x1F) << 6) | (raw[lead + 1] & 0x3F)] == 0]
+        at = np.flatnonzero(raw[:-1] == 0x3C)
+        hard |= _documents_with(np.sort(np.concatenate([wide, at[raw[at + 1] == 0x7C]])), offsets)
+    return _finish(_word_starts(raw, classes, begins, run, offsets), classes != SPACE, offsets, hard, n)
+
+
+def space_split(raw: np.ndarray, offsets: np.ndarray) -> PreTokens:
+    """'s|'t|'re|'ve|'m|'ll|'d| ?letters+| ?numbers+| ?others+|\\s+(?!\\S)|\\s+"""
+    n = len(raw)
+    classes, begins, run, hard = _layout(raw, offsets)
+    return _finish(_space_starts(raw, classes, begins, run, offsets), np.ones(n, dtype=bool), offsets, hard, n)
+
+
+class Points:
+    """Texts as code points, and where each code point stands in their UTF-8 bytes."""
 
+    def __init__(self, texts: list[str]):
+        whole = "".join(texts)
+        self.points = np.frombuffer(whole.encode("utf-32-le"), "<u4").astype(np.int64)
+        self.offsets = np.append(0, np.cumsum([len(t) for t in texts])).astype(np.int64)
+        self.raw = np.frombuffer(whole.encode(), np.uint8)
+        width = 1 + (self.points >= 0x80) + (self.points >= 0x800) + (self.points >= 0x10000)
+        self.place = np.append(0, np.cumsum(width))
 
-def hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range; the ranges are disjoint and ascending."""
-    where = np.zeros(len(raw), dtype=np.int64)
-    where[start] = start
-    np.maximum.accumulate(where, out=where)
-    sums = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum(BYTE_VALUE[raw] * _POWERS[(np.arange(len(raw)) - where) & 0xFFFF], out=sums[1:])
-    return mix(sums[end] - sums[start] + (end - start).astype(np.uint64))
+    def split(self, classes: np.ndarray, drop_space: bool) -> PreTokens:
+        """By code points' classes: word_split's pattern if white space is dropped, else space_split's. The ranges are of bytes of raw."""
+        n = len(self.points)
+        run = np.zeros(n + 1, dtype=bool)
+        run[1:n] = classes[1:] != classes[:-1]
+        run[self.offsets] = True
+        rule = _word_starts if drop_space else _space_starts
+        starts = rule(self.points, classes, np.ones(n, dtype=bool), run[:n], self.offsets)
+        found = _finish(starts, (classes != SPACE) | (not drop_space), self.offsets, np.zeros(len(self.offsets) - 1, dtype=bool), n)
+        return PreTokens(self.place[found.start], self.place[found.end], found.first, found.hard)
 
 
 def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct values, an index of each, and the number of every element's value."""
-    order = np.argsort(h)
-    s = h[order]
-    new = np.ones(len(h), dtype=bool)
-    new[1:] = s[1:] != s[:-1]
-    inverse = np.empty(len(h), dtype=np.int64)
-    inverse[order] = np.cumsum(new) - 1
-    return s[new], order[new], inverse
+    coded = pa.array(h).dictionary_encode()
+    inverse = coded.indices.to_numpy().astype(np.int64)
+    at = np.empty(len(coded.dictionary), dtype=np.int64)
+    at[inverse[::-1]] = np.arange(len(h) - 1, -1, -1)
+    return coded.dictionary.to_numpy(), at, inverse
+
+
+#: What Memory asks for new byte ranges (raw, start, end): ids in turn, how many each range has, and whether they were found without merging.
+Encode = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+class Memory:
+    """Pre-tokens encoded so far, each a number with its ids. A pre-token is known by a hash and a second number (see text.fingerprints); of one
+    hash with another second number nothing is believed: such pre-tokens are encoded each time."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[int, int] = {}
+        self.check = np.zeros(0, dtype=np.uint64)
+        self.ids = np.zeros(0, dtype=np.int32)
+        self.first = np.zeros(0, dtype=np.int64)
+        self.count = np.zeros(0, dtype=np.int64)
+        self.direct = np.zeros(0, dtype=bool)
+
+    def add(self, check: np.ndarray, ids: np.ndarray, count: np.ndarray, direct: np.ndarray) -> np.ndarray:
+        """New numbers for these ids (in turn, so many each)."""
+        base = len(self.first)
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(count) - count])
+        self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
+        self.count = np.concatenate([self.count, count])
+        self.check = np.concatenate([self.check, check])
+        self.direct = np.concatenate([self.direct, direct])
+        return np.arange(base, len(self.first))
+
+    def numbers(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray, encode: Encode) -> np.ndarray:
+        """The number of every byte range."""
+        if not len(start):
+            return np.zeros(0, dtype=np.int64)
+        h, check = text.fingerprints(text.eights(raw), start, end, True)
+        values, at, inverse = distinct(h)
+        own = values.tolist()
+        found = np.fromiter(map(self.known.get, own, repeat(-1)), np.int64, len(own))
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            where = at[new]
+            found[new] = self.add(check[where], *encode(raw, start[where], end[where]))
+            self.known.update(zip(values[new].tolist(), found[new].tolist(), strict=True))
+        out = found[inverse]
+        wrong = np.flatnonzero(self.check[out] != check)
+        if len(wrong):
+            out[wrong] = self.add(check[wrong], *encode(raw, start[wrong], end[wrong]))
+        return out
+
+    def full(self) -> bool:
+        return len(self.first) > self.most
+
+    def expand(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these numbers in turn, and how many each has."""
+        count = self.count[numbers]
+        return self.ids[text.ragged(self.first[numbers], count)], count
+
+
+def merged(easy: np.ndarray, first: np.ndarray, others: np.ndarray, hard: np.ndarray, other_count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all documents in turn, and their len(documents) + 1 offsets. easy, first: of documents that aren't hard (hard ones have none there); others, other_count: of the hard documents, in turn."""
+    count = np.diff(first)
+    count[hard] = other_count
+    ends = np.append(0, np.cumsum(count))
+    out = np.empty(int(ends[-1]), dtype=np.int64)
+    simple = np.ones(len(count), dtype=bool)
+    simple[hard] = False
+    out[text.ragged(ends[:-1][simple], count[simple])] = easy
+    out[text.ragged(ends[hard], other_count)] = others
+    return out, ends
 
 
 def byte_level() -> dict[int, str]:

@@ -7,6 +7,7 @@ or none of the bytes from 0x80 up, so runs of bytes are runs of whole characters
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,11 +16,10 @@ import pyarrow.compute as pc
 
 SLICE_BYTES = 2 << 20
 
-_RNG = np.random.default_rng(20240229)
-#: A random odd-free 64-bit value for every byte, and powers of an odd multiplier; together a polynomial word hash.
-BYTE_VALUE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
-_POWERS = np.multiply.accumulate(np.full(1 << 16, _MULT, dtype=np.uint64))
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
+#: Longer byte ranges are hashed by BLAKE2b, one by one.
+LONG = 4096
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -94,36 +94,80 @@ class Words:
         self.first[-1] = len(self.start)
         self.count = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(offsets) - 1), self.count)
-        self._sums: np.ndarray | None = None
+        self._eights: np.ndarray | None = None
 
     def __len__(self) -> int:
         return len(self.start)
 
-    def _running(self) -> np.ndarray:
-        if self._sums is None:
-            where = np.zeros(len(self.bytes), dtype=np.int64)
-            where[self.start] = self.start
-            np.maximum.accumulate(where, out=where)
-            where = np.arange(len(self.bytes)) - where
-            sums = np.zeros(len(self.bytes) + 1, dtype=np.uint64)
-            np.cumsum(BYTE_VALUE[self.bytes] * _POWERS[where & 0xFFFF], out=sums[1:])
-            self._sums = sums
-        return self._sums
+    def _hash(self, end: np.ndarray) -> np.ndarray:
+        if self._eights is None:
+            self._eights = eights(self.bytes)
+        return fingerprints(self._eights, self.start, end)[0]
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word."""
-        sums = self._running()
-        return mix(sums[self.end] - sums[self.start])
+        return self._hash(self.end)
 
     def prefix_hashes(self, n: int) -> np.ndarray:
         """A 64-bit hash of each word's first n bytes (the whole word if it is shorter)."""
-        sums = self._running()
-        return mix(sums[np.minimum(self.end, self.start + n)] - sums[self.start])
+        return self._hash(np.minimum(self.end, self.start + n))
 
     def word(self, i: int) -> bytes:
         return self.bytes[self.start[i] : self.end[i]].tobytes()
 
 
+def eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from every position on as one little-endian number; zeros follow the last byte."""
+    padded = np.zeros(len(raw) + 8, dtype=np.uint8)
+    padded[: len(raw)] = raw
+    return np.ndarray((len(raw) + 1,), "<u8", padded, 0, (1,))
+
+
+def fingerprints(view: np.ndarray, start: np.ndarray, end: np.ndarray, check: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each byte range, and (if asked for) a second number that tells ranges of equal hash apart. view: eights() of the bytes.
+
+    Ranges of up to seven bytes have hashes of their own: the bytes and the length, mixed one to one; there the second number is just those. Of longer
+    ranges, both are hashes of all eights in order, with multipliers of their own."""
+    n = end - start
+    first = view.take(start) & _MASK[np.minimum(n, 8)]
+    exact = first | (np.minimum(n, 8).astype(np.uint64) << np.uint64(56))
+    at = np.flatnonzero(n > 7)
+    h = mix(exact)
+    if not len(at):
+        return h, exact
+    size = n[at]
+    both = []
+    for seed in (0, 1) if check else (0,):
+        step = _STEP + np.uint64(0x51ED270B2 * seed)
+        value = mix((first[at] ^ np.uint64(seed * 0x6A09E667F3BCC909)) + size.astype(np.uint64) * step)
+        live, j = np.flatnonzero((size > 8) & (size <= LONG)), 8
+        while len(live):
+            left = size[live] - j
+            value[live] = mix(value[live] * step + (view.take(start[at[live]] + j) & _MASK[np.minimum(left, 8)]))
+            j += 8
+            live = live[size[live] > j]
+        for i in np.flatnonzero(size > LONG).tolist():
+            a, b = int(start[at[i]]), int(end[at[i]])
+            value[i] = int.from_bytes(hashlib.blake2b(view.base[a:b], digest_size=8, salt=bytes([seed])).digest(), "little")
+        both.append(value)
+    h[at] = both[0]
+    if check:
+        exact[at] = both[1]
+    return h, exact
+
+
+def same_bytes(x: np.ndarray, x_start: np.ndarray, x_end: np.ndarray, y: np.ndarray, y_start: np.ndarray, y_end: np.ndarray) -> np.ndarray:
+    """Whether each range of x holds the same bytes as the range of y of the same number."""
+    size = x_end - x_start
+    same = size == y_end - y_start
+    at = np.flatnonzero(same & (size > 0))
+    if len(at):
+        differs = x[ragged(x_start[at], size[at])] != y[ragged(y_start[at], size[at])]
+        ends = np.cumsum(size[at])
+        same[at] = ~np.logical_or.reduceat(differs, ends - size[at])
+    return same
+
+
 def windows(hashes: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of every k consecutive values; len - k + 1 of them (none if there are fewer than k)."""
     n = len(hashes) - k + 1

@@ -5,13 +5,14 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from escriba.llm import byte_bpe, range_coder, token_count, token_files, word_bpe
+from escriba.llm import byte_bpe, range_coder, text, token_count, token_files, word_bpe
 
 WORD = public_tokenizers.path("word_bpe_49k.json")
 BYTE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -56,6 +57,54 @@ def test_byte_ids_are_the_librarys(byte_encoder, texts):
     assert [raw[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [t.encode() for t in texts]
 
 
+HARD = ["it’s “quoted” — and the house is big", "日本語のテキスト 中文 ٣٤ ½ ²", "ΣΑΣ Ὀδυσσεύς ΟΔΟΣ", "e\u0301 İI ı ŞŞ ǆ ǅ", "😀😀 👩‍👩‍👧 the\u2003house\u3000is\u00a0big", "a<|endoftext|>b <|startoftext|><|ENDOFTEXT|> <|", "\u1e9e ﬁ Å K \U0001e900\U00010400 \U00011383\U000113c2"]
+
+
+def test_hard_texts_take_the_method(word_encoder, byte_encoder):
+    column = pa.array(HARD + ["plain"])
+    n, direct = word_encoder.counts(column)
+    assert n.tolist() == [len(LIBRARY.encode(t, add_special_tokens=False).ids) for t in HARD] + [1]
+    assert direct[0] >= 6 and direct[4] >= 3 and direct[5] >= 4
+    assert parts(*byte_encoder.encode(column)) == [TIKTOKEN.encode_ordinary(t) for t in HARD] + [TIKTOKEN.encode_ordinary("plain")]
+
+
+def test_every_code_point(word_encoder, byte_encoder):
+    rng = random.Random(3)
+    some = [chr(c) for c in rng.sample([c for c in range(0x110000) if not 0xD800 <= c < 0xE000], 6000)] + [chr(c) for c in range(0x300, 0x3000, 3)]
+    texts = [f"ab{c}cd 12{c}3 {c} !{c}! {c}{c}{c}'s" for c in some]
+    for k in range(0, len(texts), 500):
+        part = texts[k : k + 500]
+        assert parts(*word_encoder.encode(pa.array(part))) == [e.ids for e in LIBRARY.encode_batch(part, add_special_tokens=False)]
+        assert parts(*byte_encoder.encode(pa.array(part))) == [TIKTOKEN.encode_ordinary(t) for t in part]
+
+
+def test_long_words_that_differ_by_an_exchange(word_encoder, byte_encoder):
+    rng = random.Random(5)
+    a = "".join(rng.choice("etaoinsr") for _ in range(70_000))
+    b = list(a)
+    j = next(j for j in range(100, 1000) if a[j] != a[j + 65_536])
+    b[j], b[j + 65_536] = b[j + 65_536], b[j]
+    texts = [a, "".join(b), a[:5000], a[:4999] + "q"]
+    assert parts(*word_encoder.encode(pa.array(texts))) == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+    ids, n = byte_encoder.encode(pa.array(texts))
+    raw, offsets = byte_encoder.decode(ids, n)
+    assert [raw[x:y].tobytes().decode() for x, y in zip(offsets[:-1], offsets[1:], strict=True)] == texts
+    assert len({tuple(x) for x in parts(ids, n)}) == 4
+
+
+def test_clashing_hashes_are_not_believed(monkeypatch):
+    plain = text.fingerprints
+
+    def weak(*a):
+        h, check = plain(*a)
+        return h & np.uint64(15), check
+
+    monkeypatch.setattr(text, "fingerprints", weak)
+    e = word_bpe.Encoder(word_bpe.load(WORD))
+    for t in ("the house of the big red fox isn't here, the house is there", "another house 12 fox unbelievably nonmagnetic"):
+        assert e.encode(pa.array([t, t]))[0].tolist() == LIBRARY.encode(t, add_special_tokens=False).ids * 2
+
+
 def test_memory_begins_anew(monkeypatch):
     monkeypatch.setattr(word_bpe, "MEMORY", 5)
     e = word_bpe.Encoder(word_bpe.load(WORD))
@@ -107,6 +156,17 @@ def test_coder_learns_and_checks():
         range_coder.encode(np.array([1 << 17], dtype=np.uint32))
 
 
+def test_blocks_of_text_are_smaller_than_order_0(word_encoder):
+    """Of the driver's documents: fewer bytes than the entropy of the ids' own frequencies, which a static code would have to be told besides."""
+    rows = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column(0).to_pylist()
+    ids = np.concatenate([word_encoder.encode(pa.array(rows[k : k + 400]))[0] for k in range(0, 3200, 400)]).astype(np.uint32)[: 1 << 21]
+    n = np.bincount(ids)
+    n = n[n > 0]
+    block = range_coder.encode(ids)
+    assert len(block) < -(n * np.log2(n / len(ids))).sum() / 8 * 0.97
+    assert (range_coder.decode(block) == ids).all()
+
+
 def test_counts(edges, edge_rows, empty):
     got = sorted((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in token_count.report(edges, WORD).collect())
     size = lambda t: len(LIBRARY.encode(t or "", add_special_tokens=False).ids)
