@@ -12,7 +12,8 @@ An id is coded as up to two decisions:
 2. else the id itself, by the adaptive frequencies of order 0.
 
 Layout (little-endian): magic "EIDS", version u16, lanes u16, number of ids u32, CRC-32 of the ids as u32 values u32, highest
-id + 1 u32, then the number of 16-bit words of each lane as u32, then the lanes' words.
+id + 1 u32, bytes of a size u32 (2, or 4 if a lane has more than 65,535 words), then the number of 16-bit words of each lane, then the
+lanes' words. Words after a lane's last are read as 0, so a lane ends with the fewest words that name a number within its range.
 """
 
 from __future__ import annotations
@@ -23,8 +24,11 @@ import zlib
 
 import numpy as np
 
+from . import text
+
 MAGIC = b"EIDS"
-VERSION = 1
+VERSION = 2
+HEAD = 24
 LANES = 8192
 #: A lane has at least so many ids, so that short blocks have few lanes.
 LEAST_STEPS = 64
@@ -219,25 +223,37 @@ def encode(ids: np.ndarray) -> bytes:
         model.update(now, hit)
         if filled.max(initial=0) + 8 > out.shape[1]:
             out = np.concatenate([out, np.zeros((lanes, steps + 8), dtype=np.uint16)], axis=1)
-    # two words name a number within the range, as it is at least 2^32
-    last = (low + _LOW32) >> np.uint64(32)
-    for shift in (16, 0):
-        out[every, filled] = (last >> np.uint64(shift)).astype(np.uint16)
-        filled += 1
-    head = MAGIC + struct.pack("<HHIII", VERSION, lanes, n, zlib.crc32(ids.astype("<u4").tobytes()), top)
-    return head + filled.astype("<u4").tobytes() + b"".join(out[i, :k].astype("<u2").tobytes() for i, k in enumerate(filled.tolist()))
+    # the range is at least 2^32, so two words name a number within it; often one does
+    for bits in (48, 32):
+        mask = np.uint64((1 << bits) - 1)
+        last = (low + mask) & ~mask
+        fits = (last >= low) & (last - low < size)
+        if bits == 48:
+            one_word, last_one = fits, last
+    last = np.where(one_word, last_one, last)
+    out[every, filled] = (last >> np.uint64(48)).astype(np.uint16)
+    out[every, filled + 1] = ((last >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16)
+    filled += np.where(one_word, 1, 2)
+    width = 2 if filled.max(initial=0) < 1 << 16 else 4
+    head = MAGIC + struct.pack("<HHIIII", VERSION, lanes, n, zlib.crc32(ids.astype("<u4").tobytes()), top, width)
+    own = text.ragged(np.arange(lanes) * out.shape[1], filled)
+    return head + filled.astype(f"<u{width}").tobytes() + out.ravel()[own].astype("<u2").tobytes()
 
 
 def decode(block: bytes) -> np.ndarray:
     """The ids of a block; ValueError if it isn't whole."""
     if block[:4] != MAGIC:
         raise ValueError("not a block of ids")
-    version, lanes, n, crc, top = struct.unpack_from("<HHIII", block, 4)
+    if len(block) < HEAD:
+        raise ValueError("a block was cut off")
+    version, lanes, n, crc, top, width = struct.unpack_from("<HHIIII", block, 4)
     if version != VERSION or (lanes, n) != (_shape(n)[0], n):
         raise ValueError("a block of another version")
     steps = _shape(n)[1]
-    sizes = np.frombuffer(block, "<u4", lanes, 20).astype(np.int64)
-    words = np.frombuffer(block, "<u2", offset=20 + 4 * lanes)
+    if width not in (2, 4) or len(block) < HEAD + width * lanes or len(block) % 2:
+        raise ValueError("a block was cut off")
+    sizes = np.frombuffer(block, f"<u{width}", lanes, HEAD).astype(np.int64)
+    words = np.frombuffer(block, "<u2", offset=HEAD + width * lanes)
     if len(words) != sizes.sum():
         raise ValueError("a block was cut off")
     words = np.append(words, np.zeros(4, np.uint16)).astype(np.uint64)

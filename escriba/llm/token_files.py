@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import frames, range_coder, text
 from .word_bpe import load, worker_encoder
 
-BLOCK_IDS = 1 << 20
+BLOCK_IDS = 1 << 21
 END_ID = 2
 BLOCKS = "part int, block int, before long, n_ids long, doc_ids array<long>, lengths array<int>, payload binary"
 
@@ -126,8 +126,16 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     return read(spark, path).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete the files of write(), wherever Spark keeps them."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def report(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Write files to the shared folder and describe what is read from them."""
+    """Write files to the shared folder and describe what is read from them. The result is read from the files whenever it is used, so they stay
+    (in token-files-*, beside the checkpoints) until the owner of that folder clears it, or calls remove()."""
     spark = docs.sparkSession
     path = f"{frames.shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
     write(docs, tokenizer, path)
