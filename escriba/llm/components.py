@@ -27,19 +27,17 @@ def _small_star(links: DataFrame, parts: int) -> DataFrame:
     return out.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").coalesce(parts).distinct().coalesce(parts)
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node, component (the least node reachable), for every node of links (columns u and v, long); a node alone has no row."""
     now = compact(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = None
-    for _ in range(most_rounds):
+    while True:  # the rounds grow as a logarithm of the nodes
         state = now.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
         if state[0] == 0 or state == seen:
             break
         seen = state
         parts = now.rdd.getNumPartitions()  # as many as the links need
         now = compact(_small_star(_large_star(now, parts), parts))
-    else:
-        raise RuntimeError("components did not settle")
     # at rest every link leads straight to the least node of its component
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionByName(nodes.select(F.col("component").alias("node"), "component").distinct())

@@ -62,6 +62,21 @@ def maybe_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES)
     return F.broadcast(df) if is_small(df, row_bytes, limit) else df
 
 
+def fresh(names: list[str], like: str) -> str:
+    """A column name that isn't among names, whatever their case."""
+    taken = {n.lower() for n in names}
+    while like.lower() in taken:
+        like += "_"
+    return like
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, whose doc_id isn't in gone; rows without a doc_id stay."""
+    name = fresh(docs.columns, "gone")
+    ids = cut(gone.where("doc_id is not null").select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(maybe_broadcast(ids, 16), F.col("doc_id").cast("long") == F.col(name), "left_anti")
+
+
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """f over the Arrow batches of df, as they come; no state between batches, so a lost task is simply run again."""
 

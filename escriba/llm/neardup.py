@@ -4,23 +4,27 @@ Instead of L tables of K minhashes each (L x K hash computations), M sub-hashes
 pair of them is the key of a table: M(M-1)/2 tables from M x T minhashes. A pair of similarity s shares a table if at
 least two sub-hashes agree; with M = 14 and T = 2 a pair at s = 0.8 is missed with probability 1.6e-5.
 
-Candidates without all pairs of a bucket: (1) equal sets are one class, with the least doc_id as representative; (2) in each
-bucket every representative is compared, on full sets, with the least one; (3) in buckets whose members are then not all
-connected, with the one that has most links so far (the original of many copies); (4) what is still in several pieces (mostly texts
-that share a passage and no more) goes through a second, finer collection: 36 sub-hashes of 5 minhashes each, made for these
-texts only. There a pair at 0.8 is missed with probability 1.1e-5 and one at 0.3 shares a table with 0.004. Texts that its tables join, directly
-or over others, are a cell. A cell is dealt over many tasks in pairs of blocks, each doc once for every block; a task compares the
-texts of different pieces, first their sizes and 129 of 180 minhashes on two bits (a pair at 0.8 has fewer with probability 1e-6),
-then their full sets, and gives only links that join pieces. All links are confirmed on the texts themselves; components come from
-confirmed links.
+Candidates without all pairs of a bucket: (1) texts of the same words in the same order are one class (by a 128-bit BLAKE2b of those words),
+with the least doc_id as representative; (2) in each bucket every representative is compared, on full sets, with the least one; (3) in
+buckets whose members are then not all connected, with the one that has most links so far (the original of many copies); (4) what is
+still in several pieces (mostly texts that share a passage and no more) goes through a second, finer collection: 36 sub-hashes of 5
+minhashes each, made for these texts only. There a pair at 0.8 is missed with probability 1.1e-5 and one at 0.3 shares a table with 0.004.
+Of each piece and table one row is left before anything is joined, so that a piece of very many texts counts as one; pieces that share
+tables, directly or over others, are a cell. In a cell the texts outside its largest piece are compared with each other and with that
+piece, whose own texts are not compared again: both are cut into blocks, and a task compares two blocks, first sizes and 129 of 180
+minhashes on two bits (a pair at 0.8 has fewer with probability 1e-6), then full sets, and gives only links that join pieces.
+All links are confirmed on the texts themselves; a text that many are compared with is sent once for PART of them. Components come
+from confirmed links.
 
 Defined results: words [^\\x20\\x09-\\x0D]+ after lower-casing A-Z; distinct shingles of 4 words, a shorter text is one
-shingle, null or wordless texts have none and stay alone. Rows repeated under one doc_id are answered each for itself; links
-of any text of a doc_id hold for it.
+shingle, null or wordless texts have none and stay alone; so does a row without a doc_id (its component_id is null, and it is kept). Rows repeated
+under one doc_id are answered each for itself; links of any text of a doc_id hold for it. An empty table has no rows; other columns, whatever
+their names, are neither read nor changed.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,8 +39,10 @@ from .components import components
 
 SHINGLE = 4
 PERCENT = 80
-#: Texts in a block of a cell; a task holds two blocks.
-BLOCK = 512
+#: Texts in a block of a cell, and shingles in it on average, at most; a task holds two blocks.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+#: Texts that are compared with one text in a row; beyond, another part begins, which any task may take.
+PART = 500
 
 
 @dataclass(frozen=True)
@@ -61,7 +67,7 @@ _FUNCTIONS = COARSE.m * COARSE.t + FINE.m * FINE.t
 _XOR = _RNG.integers(0, 2**63, _FUNCTIONS, dtype=np.uint64)
 _MUL = _RNG.integers(0, 2**62, _FUNCTIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-SCHEMA = "doc_id long, n_shingles long, h1 long, h2 long, bits array<long>, subs array<long>, shingles array<long>"
+SCHEMA = "doc_id long, n_shingles long, k1 long, k2 long, bits array<long>, subs array<long>, shingles array<long>"
 
 
 def shingle_hashes(words: text.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,8 +86,20 @@ def shingle_hashes(words: text.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out) if out else h[:0]), np.cumsum(first)
 
 
+def digests(words: text.Words) -> np.ndarray:
+    """Two 64-bit halves of a BLAKE2b of each document's words, in order, one space between them."""
+    keep = words.inside.copy()
+    after_first = np.ones(len(words), dtype=bool)
+    after_first[words.first[:-1][words.count > 0]] = False
+    keep[words.start[after_first] - 1] = True
+    joined = np.where(words.inside, words.bytes, np.uint8(0x20))[keep]
+    bounds = np.append(0, np.cumsum(keep))[words.offsets].tolist()
+    whole = joined.tobytes()
+    return np.frombuffer(b"".join(hashlib.blake2b(whole[a:b], digest_size=16).digest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)), "<i8").reshape(-1, 2)
+
+
 def signatures(docs: DataFrame, k: int = SHINGLE, c: Collection = COARSE, with_shingles: bool = False) -> DataFrame:
-    """Per row: size of the shingle set, its 128-bit hash, two bits of each minhash, the sub-hashes of the collection, and if asked for the sorted shingle hashes."""
+    """Per row: size of the shingle set, a 128-bit digest of the words in order, two bits of each minhash, the sub-hashes of the collection, and if asked for the sorted shingle hashes."""
 
     def fixed(table: np.ndarray) -> pa.ListArray:
         return pa.ListArray.from_arrays(pa.array(np.arange(len(table) + 1, dtype=np.int32) * table.shape[1]), pa.array(text.signed(np.ascontiguousarray(table).ravel())))
@@ -96,22 +114,20 @@ def signatures(docs: DataFrame, k: int = SHINGLE, c: Collection = COARSE, with_s
                 at = first[full]
                 n = len(size)
                 mins = np.zeros((n, c.m * c.t), dtype=np.uint64)
-                whole = np.zeros((n, 2), dtype=np.uint64)
                 if len(full):
                     for j in range(c.m * c.t):
                         v = (sets ^ _XOR[c.first + j]) * _MUL[c.first + j]
                         v ^= v >> np.uint64(32)
                         v *= _MUL[(c.first + j + 7) % _FUNCTIONS]
                         mins[full, j] = np.minimum.reduceat(v, at)
-                    whole[full, 0] = np.add.reduceat(text.mix(sets), at)
-                    whole[full, 1] = np.add.reduceat(text.mix(sets ^ np.uint64(0xA5A5A5A5A5A5A5A5)), at)
                 subs = np.zeros((n, c.m), dtype=np.uint64)
                 for j in range(c.t):
                     subs = text.mix(subs * np.uint64(0xC2B2AE3D27D4EB4F) + mins[:, j :: c.t])
                 two = np.zeros((n, c.words() * 32), dtype=np.uint64)
                 two[:, : c.m * c.t] = text.mix(mins) & np.uint64(3)
                 bits = np.bitwise_or.reduce(two.reshape(n, -1, 32) << (np.arange(32, dtype=np.uint64) * np.uint64(2)), axis=2)
-                yield pa.record_batch({"doc_id": part.column(0), "n_shingles": size, "h1": text.signed(np.ascontiguousarray(whole[:, 0])), "h2": text.signed(np.ascontiguousarray(whole[:, 1])), "bits": fixed(bits), "subs": fixed(subs), "shingles": pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(text.signed(sets))) if with_shingles else pa.nulls(n, pa.list_(pa.int64()))})
+                whole = digests(words)
+                yield pa.record_batch({"doc_id": part.column(0), "n_shingles": size, "k1": np.ascontiguousarray(whole[:, 0]), "k2": np.ascontiguousarray(whole[:, 1]), "bits": fixed(bits), "subs": fixed(subs), "shingles": pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(text.signed(sets))) if with_shingles else pa.nulls(n, pa.list_(pa.int64()))})
 
     return frames.doc_texts(docs).mapInArrow(run, SCHEMA)
 
@@ -135,28 +151,36 @@ def shingle_set(value: str, k: int = SHINGLE) -> set[bytes]:
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 x intersection >= percent x union. pairs is checkpointed and distinct."""
+    """The pairs (a, b) whose full sets have 100 x intersection >= percent x union. pairs is checkpointed and distinct.
+
+    A text b goes once to each part of the texts that are compared with it, and stands before them; a task reads its rows in that order and
+    holds the sets of one b and one a."""
     wanted = frames.compact(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     texts = frames.doc_texts(docs).join(frames.maybe_broadcast(wanted, 16), "doc_id", "left_semi")
-    left, right = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    many = frames.compact(pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(PART)).cast("int").alias("parts")).where("parts > 1"))
+    dealt = pairs.join(frames.maybe_broadcast(many, 16), "b", "left").withColumn("part", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).cast("int")).select("a", "b", "part")
+    members = dealt.join(texts.withColumnRenamed("doc_id", "a"), "a").select("b", "part", "a", "text")
+    leads = dealt.select("b", "part").distinct().join(texts.withColumnRenamed("doc_id", "b"), "b").select("b", "part", F.lit(None).cast("long").alias("a"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept_id, kept = None, set()
+        now, sets, seen = None, [], set()
         for batch in batches:
             good = []
-            for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                y = y.as_py()
-                if (b, len(y)) != kept_id:  # b, the least member of a bucket, often stays the same
-                    kept_id, kept = (b, len(y)), shingle_set(y, k)
-                    kept_text = y
-                elif y != kept_text:
-                    kept, kept_text = shingle_set(y, k), y
-                own = shingle_set(x.as_py(), k)
-                shared = len(own & kept)
-                good.append(bool(shared) and 100 * shared >= percent * (len(own) + len(kept) - shared))
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
+            for b, part, a, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                if (b, part) != now:
+                    now, sets, seen = (b, part), [], set()
+                own = value.as_py()
+                if a is None:  # a text of b; rows repeated under one doc_id may have several
+                    if own not in seen:
+                        seen.add(own)
+                        sets.append(shingle_set(own, k))
+                    good.append(False)
+                    continue
+                mine = shingle_set(own, k)
+                good.append(any((shared := len(mine & x)) and 100 * shared >= percent * (len(mine) + len(x) - shared) for x in sets))
+            yield batch.select([2, 0]).filter(pa.array(good, pa.bool_()))
+
+    return leads.unionByName(members).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first()).mapInArrow(run, "a long, b long").distinct()
 
 
 def _agreeing(x: np.ndarray, y: np.ndarray, c: Collection) -> np.ndarray:
@@ -219,11 +243,30 @@ def _pieces(links: DataFrame) -> DataFrame:
     return components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("rep"), "component")
 
 
+def _cells(fine: DataFrame) -> DataFrame:
+    """The rows of fine (rep, node, component, n, bits, subs, shingles) that are to be compared: once for each pair of blocks (cell, lo, hi), with their own block."""
+    tables = fine.select("node", "component", F.explode(table_keys(FINE)).alias("key")).groupBy("key", "component").agg(F.count("*").alias("many"))
+    tables = frames.cut(tables)  # one row for each piece in a table
+    several = tables.groupBy("key").agg(F.min("component").alias("lead"), F.max("component").alias("other")).where("lead <> other").select("key", "lead")
+    stars = frames.compact(tables.join(several, "key").where("component <> lead").select(F.col("component").alias("a"), F.col("lead").alias("b")).distinct())
+    cells = _pieces(stars).select(F.col("rep").alias("component"), F.col("component").alias("cell"))
+    members = fine.join(frames.maybe_broadcast(frames.compact(cells), 16), "component")
+    sizes = members.groupBy("cell", "component").agg(F.count("*").alias("texts"), F.sum("n").alias("shingles"))
+    blocks = lambda texts, shingles: F.ceil(F.greatest(texts / F.lit(BLOCK), shingles / F.lit(BLOCK_SHINGLES))).cast("int")
+    largest = F.max_by(F.struct("component", "texts", "shingles"), F.struct("texts", "component"))
+    plan = sizes.groupBy("cell").agg(largest.alias("main"), F.sum("texts").alias("texts"), F.sum("shingles").alias("shingles"))
+    plan = plan.select("cell", F.col("main.component").alias("main"), blocks(F.col("texts") - F.col("main.texts"), F.col("shingles") - F.col("main.shingles")).alias("small"), blocks(F.col("main.texts"), F.col("main.shingles")).alias("large"))
+    placed = members.join(frames.maybe_broadcast(frames.compact(plan), 40), "cell").withColumn("block", F.when(F.col("component") == F.col("main"), F.col("small") + F.pmod("node", "large")).otherwise(F.pmod("node", "small")).cast("int"))
+    # blocks 0 .. small - 1 meet each other and all of the main piece's, small .. small + large - 1
+    last = F.when(F.col("block") < F.col("small"), F.col("small") + F.col("large") - 1).otherwise(F.col("small") - 1)
+    return placed.withColumn("with", F.explode(F.sequence(F.lit(0), last))).withColumn("lo", F.least("block", "with")).withColumn("hi", F.greatest("block", "with")).select("cell", "lo", "hi", "block", "rep", "component", "n", "bits", "shingles")
+
+
 def groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, a row per row of docs."""
     sig = frames.cut(signatures(docs, k))
-    full = sig.where("n_shingles > 0")
-    classes = frames.cut(full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("subs").alias("subs")))
+    full = sig.where("n_shingles > 0 and doc_id is not null")
+    classes = frames.cut(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("subs").alias("subs")))
     keyed = classes.select("rep", F.explode(table_keys(COARSE)).alias("key"))
     leaders = keyed.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("other")).where("lead <> other").select("key", "lead")
     members = frames.compact(keyed.join(leaders, "key"))  # of tables with at least two representatives
@@ -246,34 +289,27 @@ def groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
     left = frames.compact(rest.select("rep").distinct())
     if left.limit(1).count():
         again = frames.doc_texts(docs).withColumnRenamed("doc_id", "rep").join(frames.maybe_broadcast(left, 16), "rep", "left_semi").withColumnRenamed("rep", "doc_id")
-        # every text of a doc_id is a node of its own here; nodes that share a number only make their cells one
-        fine = frames.cut(signatures(again, k, FINE, True).groupBy(F.col("doc_id").alias("rep"), "h1", "h2").agg(F.first("n_shingles").alias("n"), F.first("bits").alias("bits"), F.first("subs").alias("subs"), F.first("shingles").alias("shingles")).where("n > 0").withColumn("node", F.xxhash64("rep", "h1", "h2")))
-        tables = fine.select("rep", "node", "subs").join(pieces, "rep", "left").select("node", F.coalesce("component", "rep").alias("component"), F.explode(table_keys(FINE)).alias("key"))
-        several = tables.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("lead")).where("lo <> hi").select("key", "lead")
-        stars = frames.compact(tables.select("key", "node").join(several, "key").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct())
-        cells = _pieces(stars).select(F.col("rep").alias("node"), F.col("component").alias("cell"))
-        cells = cells.join(cells.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")), "cell")
-        known = fine.select("rep", "node", "n", "bits", "shingles").join(cells, "node").join(pieces, "rep", "left").withColumn("component", F.coalesce("component", "rep")).withColumn("block", F.pmod("node", "blocks").cast("int"))
-        dealt = known.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-        third = frames.compact(dealt.groupBy("cell", "lo", "hi").applyInArrow(lambda t: _links_between(t, percent), "a long, b long"))
+        # every text of a doc_id is a node of its own here; nodes that share a number only share a block
+        fine = signatures(again, k, FINE, True).where("n_shingles > 0").groupBy(F.col("doc_id").alias("rep"), "k1", "k2").agg(F.first("n_shingles").alias("n"), F.first("bits").alias("bits"), F.first("subs").alias("subs"), F.first("shingles").alias("shingles"))
+        fine = frames.cut(fine.join(pieces, "rep", "left").withColumn("component", F.coalesce("component", "rep")).withColumn("node", F.xxhash64("rep", "k1", "k2")).drop("k1", "k2"))
+        third = frames.compact(_cells(fine).groupBy("cell", "lo", "hi").applyInArrow(lambda t: _links_between(t, percent), "a long, b long"))
         if third.limit(1).count():
             links = frames.compact(links.unionByName(confirm(third, docs, k, percent)).distinct())
             pieces = _pieces(links)
 
-    of = classes.select("h1", "h2", "rep").join(pieces, "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
-    linked = full.select("doc_id", "n_shingles", "h1", "h2").join(of, ["h1", "h2"]).select("doc_id", "n_shingles", "component_id")
-    return linked.unionByName(sig.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    of = classes.select("k1", "k2", "rep").join(pieces, "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
+    linked = full.select("doc_id", "n_shingles", "k1", "k2").join(of, ["k1", "k2"]).select("doc_id", "n_shingles", "component_id")
+    return linked.unionByName(sig.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def report(docs: DataFrame) -> DataFrame:
     """Per document: n_shingles, component_id and kept (it is its component's least doc_id)."""
-    return groups(docs).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return groups(docs).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_first(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs, all columns, that stay: one doc_id of each component."""
-    gone = groups(docs, k, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(frames.maybe_broadcast(frames.cut(gone), 16), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    """The rows of docs, all columns, that stay: one doc_id of each component (all its rows), texts without words, and rows without a doc_id."""
+    return frames.without(docs, groups(docs, k, percent).where("doc_id <> component_id"))
 
 
 def brute_force(rows: list[tuple[int, str | None]], k: int = SHINGLE, percent: int = PERCENT) -> list[tuple[int, int, int, bool]]:

@@ -81,7 +81,7 @@ class Words:
         self.bytes = LOWER[raw] if lower else raw
         self.offsets = offsets
         n = len(raw)
-        inside = table[raw]
+        self.inside = inside = table[raw]
         edge = np.zeros(n + 1, dtype=bool)
         edge[1:n] = inside[1:] != inside[:-1]
         edge[offsets] = True
