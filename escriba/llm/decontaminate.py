@@ -2,17 +2,21 @@
 
 Each shard (consecutive documents, at most SHARD_WORDS words; a longer document is cut into pieces that overlap by a
 window less one word) is indexed once, in the task that read it. Every window of every benchmark item is searched through
-wavelet-tree ranks, its occurrences are located by sampled suffix positions, compared word hash by word hash, and merged
-into removal spans. Documents are read once and nothing is shuffled; only spans and counts leave a task.
+wavelet-tree ranks, its occurrences are located by sampled suffix positions, compared word by word (hashes first, then the bytes), and merged
+into removal spans. Documents are read once and nothing is shuffled; only spans and counts leave a task. A large benchmark is sent in
+blocks of BLOCK_BYTES; a task that has indexed its texts searches them for one block after another, and holds one at a time.
 
 Rules: text lower-cased in A-Z; words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+; a window is `width` consecutive words of an
 item, an item of fewer words is one window, one without words has none. Null or wordless documents have no hits. Items
-with equal text count each for itself; repeated rows of documents are answered each for itself.
+with equal text count each for itself, but rows of one item_id are one item; a null item_id is written as an empty one. Rows of documents are answered
+each for itself, repeated ones and those without a doc_id too. Empty tables: no documents, no rows; no benchmark, no hits. Other columns,
+whatever their names, are not read; keep_clean returns them as they are.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,59 +29,80 @@ from .fm_index import MOST, FMIndex, symbols
 
 WIDTH = 13
 SHARD_WORDS = 400_000
-#: Benchmark texts of more bytes than this are searched block by block, so that no task gets more of them at once.
-BLOCK_BYTES = 8 << 20
+#: Benchmark texts of more bytes than this go in several blocks.
+BLOCK_BYTES = 2 << 20
 
-SCHEMA = "doc_id long, text_key string, n_words long, items array<string>, spans array<struct<start:long,end:long>>"
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 @dataclass
 class Phrases:
-    """Distinct windows by length: symbols, word hashes, and the items (as indices) that hold each."""
+    """Distinct windows of the items of a block. groups, by length: the windows' symbols, the place of each one's first word in words, its number."""
 
     names: list[str]
+    words: text.Words
+    hashes: np.ndarray
     groups: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]
+    #: of each number, where its items (as indices) begin in owners
     owner_first: np.ndarray
     owners: np.ndarray
 
 
+def same_words(x: text.Words, at: np.ndarray, y: text.Words, other: np.ndarray, n: int) -> np.ndarray:
+    """Whether the n words of x from each place on are those of y from the other place on."""
+    same = np.ones(len(at), dtype=bool)
+    for j in range(n):
+        a, b = at[same] + j, other[same] + j
+        same[same] = text.same_bytes(x.bytes, x.start[a], x.end[a], y.bytes, y.start[b], y.end[b])
+    return same
+
+
 def phrases(items: list[tuple[str, str]], width: int = WIDTH) -> Phrases:
-    column = pa.array([t or "" for _, t in items], pa.string())
-    words = text.Words(*text.utf8(column), text.ALNUM_WORDS)
+    words = text.Words(*text.utf8(pa.array([t or "" for _, t in items], pa.string())), text.ALNUM_WORDS)
     hashes = words.hashes()
-    found: dict[tuple[int, ...], set[int]] = {}
-    for i in range(len(items)):
-        own = hashes[words.first[i] : words.first[i + 1]].tolist()
-        n = min(width, len(own))
-        for j in range(len(own) - n + 1 if n else 0):
-            found.setdefault(tuple(own[j : j + n]), set()).add(i)
-    by_length: dict[int, list[tuple[int, ...]]] = {}
-    for w in found:
-        by_length.setdefault(len(w), []).append(w)
-    groups, owners, number = [], [], 0
-    for n, ws in sorted(by_length.items()):
-        h = np.array(ws, dtype=np.uint64).reshape(len(ws), n)
-        groups.append((n, symbols(h), h, np.arange(number, number + len(ws))))
-        number += len(ws)
-        owners += [sorted(found[w]) for w in ws]
-    first = np.concatenate([[0], np.cumsum([len(x) for x in owners])]).astype(np.int64)
-    return Phrases([name for name, _ in items], groups, first, np.array([i for x in owners for i in x], dtype=np.int64))
-
-
-def occurrences(hashes: np.ndarray, doc: np.ndarray, wanted: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word position, length and number of every occurrence of a window within a document. doc: of each word, ascending."""
-    starts, lengths, numbers = [], [], []
-    if len(hashes):
-        # a separator after each document's last word
+    length = np.minimum(words.count, width)
+    groups, pairs, number = [], [np.zeros((0, 2), dtype=np.int64)], 0
+    for n in np.unique(length[length > 0]).tolist():
+        items_of = np.flatnonzero(length == n)
+        many = words.count[items_of] - n + 1
+        at = text.ragged(words.first[items_of], many)
+        _, first, which = np.unique(text.windows(hashes, n)[at], return_index=True, return_inverse=True)
+        own = at[first]
+        # windows of one hash and other words are windows of their own
+        odd: dict[tuple[bytes, ...], int] = {}
+        for i in np.flatnonzero(~same_words(words, at, words, own[which], n)).tolist():
+            key = tuple(words.word(int(at[i]) + j) for j in range(n))
+            if key not in odd:
+                odd[key] = len(own)
+                own = np.append(own, at[i])
+            which[i] = odd[key]
+        groups.append((n, symbols(hashes[own[:, None] + np.arange(n)]), own, np.arange(number, number + len(own))))
+        pairs.append(np.stack([which + number, np.repeat(items_of, many)], axis=1))
+        number += len(own)
+    words.forget()
+    every = np.unique(np.concatenate(pairs), axis=0)
+    return Phrases([name for name, _ in items], words, hashes, groups, np.searchsorted(every[:, 0], np.arange(number + 1)), every[:, 1])
+
+
+class Shard:
+    """An FM-index over consecutive words of many documents, with a separator after each document's last word."""
+
+    def __init__(self, words: text.Words, hashes: np.ndarray, begin: int, end: int):
+        self.words, self.hashes, self.begin = words, hashes, begin
+        doc = words.doc[begin:end]
         shift = np.cumsum(np.concatenate([[0], (doc[1:] != doc[:-1]).astype(np.int64)]))
-        stream = np.zeros(len(hashes) + int(shift[-1]) + 1, dtype=np.uint8)
-        place = np.arange(len(hashes)) + shift
-        stream[place] = symbols(hashes)
-        back = np.full(len(stream), -1, dtype=np.int64)
-        back[place] = np.arange(len(hashes))
-        index = FMIndex(stream)
-        for n, pattern, exact, number in wanted.groups:
-            low, high = index.search(pattern)
+        stream = np.zeros(len(doc) + int(shift[-1]) + 1, dtype=np.uint8)
+        place = np.arange(len(doc)) + shift
+        stream[place] = symbols(hashes[begin:end])
+        self.back = np.full(len(stream), -1, dtype=np.int64)
+        self.back[place] = np.arange(len(doc))
+        self.index = FMIndex(stream)
+
+    def occurrences(self, wanted: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Word, length and number of every occurrence of a window within a document."""
+        starts, lengths, numbers = [], [], []
+        for n, pattern, first, number in wanted.groups:
+            low, high = self.index.search(pattern)
             hit = np.flatnonzero(high > low)
             many = high[hit] - low[hit]
             each = max(1, (1 << 21) // max(1, n))
@@ -85,18 +110,19 @@ def occurrences(hashes: np.ndarray, doc: np.ndarray, wanted: Phrases) -> tuple[n
             done = 0
             while done < len(hit):  # so many occurrences at a time
                 to = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + each, "right")))
-                rows = text.ragged(low[hit[done:to]], many[done:to])
                 which = np.repeat(hit[done:to], many[done:to])
-                at = back[index.locate(rows)]
+                at = self.back[self.index.locate(text.ragged(low[hit[done:to]], many[done:to]))] + self.begin
+                # equal symbols are a candidate, equal hashes a better one, equal words an occurrence
                 same = np.ones(len(at), dtype=bool)
                 for j in range(n):
-                    same[same] = hashes[at[same] + j] == exact[which[same], j]
+                    same[same] = self.hashes[at[same] + j] == wanted.hashes[first[which[same]] + j]
+                same[same] = same_words(self.words, at[same], wanted.words, first[which[same]], n)
                 starts.append(at[same])
                 lengths.append(np.full(int(same.sum()), n))
                 numbers.append(number[which[same]])
                 done = to
-    none = np.zeros(0, dtype=np.int64)
-    return tuple(np.concatenate([none, *x]) for x in (starts, lengths, numbers))  # type: ignore[return-value]
+        none = np.zeros(0, dtype=np.int64)
+        return tuple(np.concatenate([none, *x]) for x in (starts, lengths, numbers))  # type: ignore[return-value]
 
 
 def shard_of(counts: np.ndarray, width: int) -> list[list[tuple[int, int, int]]]:
@@ -119,100 +145,75 @@ def shard_of(counts: np.ndarray, width: int) -> list[list[tuple[int, int, int]]]
     return [x for x in out if x]
 
 
-def scan(column: pa.Array, wanted: Phrases, width: int = WIDTH) -> tuple[np.ndarray, list[list[str]], list[list[tuple[int, int]]]]:
-    """For each text: number of words, sorted names of items with an occurring window, merged spans of hit words."""
+def scan(column: pa.Array, every: Iterable[Phrases], width: int = WIDTH) -> tuple[np.ndarray, list[list[str]], list[list[tuple[int, int]]]]:
+    """For each text: number of words, sorted names of items with an occurring window, merged spans of hit words. every: the blocks of the benchmark, each asked for once."""
     words = text.Words(*text.utf8(column), text.ALNUM_WORDS)
     hashes = words.hashes()
-    n_docs = len(column)
-    at, length, number = [], [], []
-    for shard in shard_of(words.count, width):
-        # the pieces of a shard lie next to each other but for wordless documents between them
-        begin, end = words.first[shard[0][0]] + shard[0][1], words.first[shard[-1][0]] + shard[-1][2]
-        a, b, c = occurrences(hashes[begin:end], words.doc[begin:end], wanted)
-        at.append(a + begin)
-        length.append(b)
-        number.append(c)
-    none = np.zeros(0, dtype=np.int64)
-    a, b, c = (np.concatenate([none, *x]) for x in (at, length, number))
-    # merge: +1 at a start, -1 at an end; windows don't cross documents
+    # the pieces of a shard lie next to each other but for wordless documents between them
+    shards = [Shard(words, hashes, int(words.first[x[0][0]]) + x[0][1], int(words.first[x[-1][0]]) + x[-1][2]) for x in shard_of(words.count, width)]
     change = np.zeros(len(words) + 1, dtype=np.int64)
-    np.add.at(change, a, 1)
-    np.add.at(change, a + b, -1)
+    items: list[set[str]] = [set() for _ in range(len(column))]
+    for wanted in every if shards else ():
+        for shard in shards:
+            at, length, number = shard.occurrences(wanted)
+            # +1 at a start, -1 at an end; windows don't cross documents
+            np.add.at(change, at, 1)
+            np.add.at(change, at + length, -1)
+            for d, w in np.unique(np.stack([words.doc[at], number], axis=1), axis=0).tolist() if len(at) else ():
+                items[d].update(wanted.names[i] for i in wanted.owners[wanted.owner_first[w] : wanted.owner_first[w + 1]].tolist())
     hit = np.cumsum(change)[:-1] > 0
     edge = np.ones(len(words), dtype=bool)
     edge[1:] = (hit[1:] != hit[:-1]) | (words.doc[1:] != words.doc[:-1])
     cut = np.flatnonzero(edge)
     stop = np.append(cut[1:], len(words))[: len(cut)]
-    spans: list[list[tuple[int, int]]] = [[] for _ in range(n_docs)]
+    spans: list[list[tuple[int, int]]] = [[] for _ in range(len(column))]
     for s, e in zip(cut[hit[cut]].tolist(), stop[hit[cut]].tolist(), strict=True):
         d = int(words.doc[s])
         spans[d].append((s - int(words.first[d]), e - int(words.first[d])))
-    pairs = np.unique(words.doc[a].astype(np.int64) * (len(wanted.owner_first) + 1) + c) if len(a) else none
-    items: list[set[str]] = [set() for _ in range(n_docs)]
-    for p in pairs.tolist():
-        d, w = divmod(p, len(wanted.owner_first) + 1)
-        items[d].update(wanted.names[i] for i in wanted.owners[wanted.owner_first[w] : wanted.owner_first[w + 1]].tolist())
     return words.count, [sorted(x) for x in items], spans
 
 
-def _search(texts: DataFrame, wanted: Phrases, width: int) -> DataFrame:
-    """A row per row of texts: doc_id, text_key, and what was found."""
-    shared = texts.sparkSession.sparkContext.broadcast(wanted)  # at most BLOCK_BYTES of text, see blocks()
-
-    def run(batches):
-        for batch in batches:
-            for part in text.slices(batch):
-                n, items, spans = scan(part.column(1), shared.value, width)
-                yield pa.record_batch(
-                    {
-                        "doc_id": part.column(0),
-                        "text_key": part.column(2),
-                        "n_words": pa.array(n, pa.int64()),
-                        "items": pa.array(items, pa.list_(pa.string())),
-                        "spans": pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                    }
-                )
-
-    return texts.mapInArrow(run, SCHEMA)
-
-
-def blocks(benchmark: DataFrame, most: int = BLOCK_BYTES):
-    """The items (id as string, text), in blocks of at most so many bytes, one at a time on the driver."""
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def blocks(benchmark: DataFrame, most: int | None = None) -> Iterator[list[tuple[str, str]]]:
+    """The items (id as string, text), in blocks of at most so many bytes (BLOCK_BYTES; one longer item is a block), one at a time on the driver."""
+    most = most or BLOCK_BYTES
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     block, room = [], most
     for item, words in rows.orderBy("item_id").toLocalIterator():
-        if block and len(words) * 4 > room:
+        size = len(words.encode())
+        if block and size > room:
             yield block
             block, room = [], most
-        block.append((item or "", words))
-        room -= len(words) * 4
-    yield block
+        block.append((item, words))
+        room -= size
+    if block:
+        yield block
+
+
+def _shared(benchmark: DataFrame, width: int) -> list:
+    """A broadcast for each block: each is bounded, and an executor keeps them on disk where memory is short."""
+    sc = benchmark.sparkSession.sparkContext
+    return [sc.broadcast(phrases(block, width)) for block in blocks(benchmark)]
+
+
+def _one_at_a_time(shared: list) -> Iterator[Phrases]:
+    for b in shared:
+        yield b.value
+        if len(shared) > 1:
+            vars(b).pop("_value", None)  # the worker reads it again for its next texts
 
 
 def find_spans(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_words, items (ids as strings, sorted) and merged spans of hit words (end exclusive), a row per row of docs.
-
-    A benchmark of several blocks is searched block by block; the blocks' spans and items are then merged by doc_id and
-    text. Rows that are equal in both have equal results, which are answered for each of them."""
-    texts = frames.doc_texts(docs)
-    every = list(blocks(benchmark))
-    if len(every) == 1:
-        return _search(texts.withColumn("text_key", F.lit(None).cast("string")), phrases(every[0], width), width).drop("text_key")
-    texts = texts.withColumn("text_key", F.md5(F.col("text").cast("binary")))
-    parts = [_search(texts, phrases(block, width), width).withColumn("copies", F.lit(int(i == 0)).cast("long")) for i, block in enumerate(every)]
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    # sets of lists: equal rows add nothing, however many there are
-    merged = found.groupBy("doc_id", "text_key").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.array_sort(F.flatten(F.collect_set("spans"))).alias("spans"), F.sum("copies").alias("copies"))
-    pair = "struct<start:bigint,end:bigint>"
-    joined = F.aggregate(
-        "spans",
-        F.array().cast(f"array<{pair}>"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end")).cast(pair)))).otherwise(F.concat(acc, F.array(x.cast(pair)))),
-    )
-    answered = merged.withColumn("spans", F.when(F.size("spans") > 0, joined).otherwise(F.col("spans")))
-    return answered.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("text_key", "copies", "row")
+    """doc_id, n_words, items (ids as strings, sorted) and merged spans of hit words (end exclusive), a row per row of docs."""
+    shared = _shared(benchmark, width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text.slices(batch):
+                n, items, spans = scan(part.column(1), _one_at_a_time(shared), width)
+                found = pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], SPANS)
+                yield pa.record_batch({"doc_id": part.column(0), "n_words": pa.array(n, pa.int64()), "items": pa.array(items, pa.list_(pa.string())), "spans": found})
+
+    return frames.doc_texts(docs).mapInArrow(run, "doc_id long, n_words long, items array<string>, spans array<struct<start:long,end:long>>")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -227,9 +228,17 @@ def report(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFra
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The rows of docs, all columns, that aren't contaminated by the report's rule."""
-    gone = report(docs, benchmark, width).where("contaminated").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(frames.maybe_broadcast(frames.cut(gone), 16), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    """The rows of docs, all columns, whose text isn't contaminated by the report's rule."""
+    shared = _shared(benchmark, width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, texts in text.rows_with_text(batch):
+                n, _, spans = scan(texts, _one_at_a_time(shared), width)
+                hit = np.array([sum(e - s for s, e in x) for x in spans], dtype=np.int64)
+                yield rows.filter(pa.array((hit == 0) | (20 * hit < n)))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[str, str | None]], width: int = WIDTH) -> list[tuple]:
@@ -262,10 +271,10 @@ def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[str, str |
 ORACLE_SQL = r"""
 with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
 b as (select cast(item_id as varchar) as item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
-bw as (select distinct item_id, least(13, len(w)) as n, array_to_string(w[j : j + least(13, len(w)) - 1], ' ') as window from (select item_id, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) as j from b where len(w) > 0)),
+bw as (select distinct item_id, least(13, len(w)) as n, array_to_string(w[j : j + least(13, len(w)) - 1], ' ') as win from (select item_id, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) as j from b where len(w) > 0)),
 sizes as (select distinct n from bw),
-dw as (select doc_id, j, n, array_to_string(w[j : j + n - 1], ' ') as window from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as j from d, sizes where len(w) >= n)),
-m as (select doc_id, j, n, item_id from dw join bw using (n, window)),
+dw as (select doc_id, j, n, array_to_string(w[j : j + n - 1], ' ') as win from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as j from d, sizes where len(w) >= n)),
+m as (select doc_id, j, n, item_id from dw join bw using (n, win)),
 hits as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(j, j + n)) as p from m) group by doc_id),
 its as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as items from (select distinct doc_id, item_id from m) group by doc_id)
 select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,

@@ -66,6 +66,14 @@ def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES) -
         start, done = end, int(sizes[end - 1])
 
 
+def rows_with_text(batch: pa.RecordBatch, name: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Consecutive rows of a batch, all columns as they are, and beside them their texts as slices() gives them."""
+    at = 0
+    for part in slices(pa.record_batch([batch.column(batch.schema.get_field_index(name))], names=["text"]), most=most):
+        yield batch.slice(at, part.num_rows), part.column(0)
+        at += part.num_rows
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column without nulls, and its len + 1 offsets into them."""
     offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4).astype(np.int64)
@@ -112,6 +120,10 @@ class Words:
         """A 64-bit hash of each word's first n bytes (the whole word if it is shorter)."""
         return self._hash(np.minimum(self.end, self.start + n))
 
+    def forget(self) -> None:
+        """Drop what only hashing needs, before the words are sent anywhere."""
+        self._eights = None
+
     def word(self, i: int) -> bytes:
         return self.bytes[self.start[i] : self.end[i]].tobytes()
 

@@ -28,10 +28,9 @@ def test_report_is_brute_forces(spark, width):
 
 def test_blocks_of_the_benchmark(spark, monkeypatch):
     docs, items = data()
-    docs = [d for d in docs if d[0] != 102]
     bench = spark.createDataFrame(items, "item_id long, text string")
     whole = sorted(tuple(r) for r in decontaminate.report(frame(spark, docs), bench).collect())
-    monkeypatch.setattr(decontaminate.blocks, "__defaults__", (60,))
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 20)
     assert len(list(decontaminate.blocks(bench))) > 3
     assert sorted(tuple(r) for r in decontaminate.report(frame(spark, docs), bench).collect()) == whole
 
@@ -40,7 +39,7 @@ def test_blocks_answer_every_row(spark, monkeypatch):
     docs, items = data()
     docs += [(5, docs[7][1]), (5, docs[8][1] + " " + items[4][1]), *[(None, t) for _, t in docs[10:20]], (None, docs[10][1]), (None, None)]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    monkeypatch.setattr(decontaminate.blocks, "__defaults__", (60,))
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 20)
     assert len(list(decontaminate.blocks(bench))) > 3
     got = sorted((tuple(r) for r in decontaminate.report(frame(spark, docs), bench).collect()), key=str)
     assert got == sorted(decontaminate.brute_force(docs, [(str(i), t) for i, t in items]), key=str)
@@ -58,7 +57,7 @@ def test_long_documents_are_cut(monkeypatch):
     rng = random.Random(3)
     docs = [(i, " ".join(rng.choice("abc") for _ in range(n))) for i, n in enumerate((500, 10, 33, 32, 31, 100))]
     items = [("i", docs[0][1][60:90]), ("j", docs[5][1][-26:])]
-    n, found, spans = decontaminate.scan(pa.array([t for _, t in docs]), decontaminate.phrases(items, 5), 5)
+    n, found, spans = decontaminate.scan(pa.array([t for _, t in docs]), [decontaminate.phrases(items, 5)], 5)
     want = decontaminate.brute_force(docs, items, 5)
     assert [(int(a), sum(e - s for s, e in c), len(b)) for a, b, c in zip(n, found, spans, strict=True)] == [w[1:4] for w in want]
 
