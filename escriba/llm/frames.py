@@ -7,7 +7,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Tables of at most so many bytes (as counted, not as guessed) are sent to all executors; larger ones are joined by a shuffle.
@@ -62,6 +62,11 @@ def maybe_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES)
     return F.broadcast(df) if is_small(df, row_bytes, limit) else df
 
 
+def broadcast_measured(df: DataFrame, size: Column, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df (checkpointed) with a broadcast hint if size, the bytes of a row, sums up to limit at most; else df itself."""
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= limit else df
+
+
 def fresh(names: list[str], like: str) -> str:
     """A column name that isn't among names, whatever their case."""
     taken = {n.lower() for n in names}

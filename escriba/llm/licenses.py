@@ -9,7 +9,8 @@ Only votes are shuffled: a text without license words has none. Texts are read t
 the candidates found. A text is known by doc_id and a hash, so rows repeated under one doc_id are answered each for itself.
 
 Defined results: words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after lower-casing A-Z; null and empty texts have no words, no
-place and a score of 0; score is the best verified similarity of a span to its template, 1 for a base phrase.
+place and a score of 0; score is the best verified similarity of a span to its template, 1 for a base phrase. A null doc_id is a
+doc_id like any other: its rows are answered each for itself. An empty table has no rows; other columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -150,7 +151,8 @@ def scan(docs: DataFrame, every: list[Template] | None = None, k: int = K) -> Da
     """doc_id, n_words, base: array of struct(label, word), places of base phrases; found: array of struct(label, start, end, score), verified spans."""
     every = every or templates()
     found = frames.cut(candidates(docs, every, k))
-    joined = _identified(docs).join(frames.maybe_broadcast(found, 512), ["doc_id", "mark"], "left").select("doc_id", "text", "spans")
+    size = 64 + F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + 48 + 8 * F.size(x["full"]))  # as rows are kept in memory
+    joined = _identified(docs).join(frames.broadcast_measured(found, size), ["doc_id", "mark"], "left").select("doc_id", "text", "spans")
     place = pa.struct([("label", pa.string()), ("word", pa.int64())])
     span = pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
 

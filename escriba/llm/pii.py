@@ -8,8 +8,9 @@ the same token in another. Weights come from pseudo-likelihood on a bounded samp
 spans (distant supervision).
 
 Defined results: null and empty texts have no spans; positions are code points, ends exclusive; base spans always stay, an
-added span never overlaps one; without a sample (no digits in the corpus) nothing is added; repeated rows are answered each
-for itself.
+added span never overlaps one; without a sample (no digits in the corpus) nothing is added; repeated rows, and rows without a
+doc_id, are answered each for itself (a null doc_id doesn't teach). An empty table has no rows. redact returns all columns, whatever their names;
+only text and n_chars (if there is one) change. A slice's nodes are held in memory: as many as its texts have tokens with a digit.
 """
 
 from __future__ import annotations
@@ -33,8 +34,11 @@ SAMPLE_DOCS = 3_000
 SURE, ROUNDS = 0.7, 8
 #: What equal labels of recurring tokens are worth before training.
 AGREE = 2.0
-#: Tokens longer than this are no nodes (no personal data has so many characters).
+#: Documents with more nodes than this don't teach; all are searched.
+TEACH_NODES = 200
+#: Tokens longer than this are cut at characters that no kind may hold; every stretch with a digit or @ is a node.
 LONGEST = 320
+_STRETCH = re.compile(r"[A-Za-z0-9._%+@()-]+")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -109,14 +113,17 @@ def nodes(value: str) -> list[Node]:
     """Tokens with a digit or @, without the punctuation around them."""
     out = []
     for m in _NODE.finditer(value):
-        if m.end() - m.start() > LONGEST:
-            continue
-        body = m[0].rstrip(_TRIM_RIGHT)
-        lead = len(body) - len(body.lstrip(_TRIM_LEFT))
-        body = body[lead:]
-        if body:
-            start = m.start() + lead
-            out.append(Node(start, start + len(body), body, value[max(0, m.start() - 3) : start], value[start + len(body) : m.end() + 3]))
+        long = m.end() - m.start() > LONGEST
+        for a, b in ((x.start() + m.start(), x.end() + m.start()) for x in _STRETCH.finditer(m[0])) if long else ((m.start(), m.end()),):
+            token = value[a:b]
+            if long and "@" not in token and not _DIGIT.search(token):
+                continue
+            body = token.rstrip(_TRIM_RIGHT)
+            lead = len(body) - len(body.lstrip(_TRIM_LEFT))
+            body = body[lead:]
+            if body:
+                start = a + lead
+                out.append(Node(start, start + len(body), body, value[max(0, a - 3) : start], value[start + len(body) : b + 3]))
     return out
 
 
@@ -294,15 +301,15 @@ def _graph(docs: list[list[Node]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def train(docs: DataFrame, most: int = SAMPLE_DOCS) -> Field | None:
-    """Weights from at most so many documents, whose nodes with features, labels and edges the driver gets."""
-    texts = frames.doc_texts(docs).where(F.col("text").rlike("[0-9@]") & (F.length("text") < 1 << 20))
-    chosen = texts.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    """Weights from at most so many documents, whose nodes (TEACH_NODES of each at most, or the document teaches nothing) with features, labels and edges the driver gets."""
+    texts = frames.doc_texts(docs).where(F.col("text").rlike("[0-9@]"))
+    chosen = texts.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text.slices(batch):
                 values = part.column(1).to_pylist()
-                every = [nodes(t) for t in values]
+                every = [ns if len(ns := nodes(t)) <= TEACH_NODES else [] for t in values]
                 yield pa.record_batch(
                     {
                         "doc_id": part.column(0),
@@ -314,7 +321,8 @@ def train(docs: DataFrame, most: int = SAMPLE_DOCS) -> Field | None:
                     schema=pa.schema([("doc_id", pa.int64()), ("label", pa.list_(pa.int32())), ("on", pa.list_(pa.list_(pa.int32()))), ("chain", pa.list_(pa.int32())), ("skip", pa.list_(pa.int32()))]),
                 )
 
-    rows = texts.join(F.broadcast(chosen), "doc_id", "left_semi").mapInArrow(run, "doc_id long, label array<int>, on array<array<int>>, chain array<int>, skip array<int>").orderBy("doc_id").collect()
+    one = texts.join(F.broadcast(chosen), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))  # rows of one doc_id are one example
+    rows = one.mapInArrow(run, "doc_id long, label array<int>, on array<array<int>>, chain array<int>, skip array<int>").orderBy("doc_id").collect()
     labels = np.array([x for r in rows for x in r["label"]], dtype=np.int64)
     if not len(labels):
         return None
@@ -352,7 +360,12 @@ def find(values: list[str], field: Field | None) -> list[tuple[dict[str, list[tu
     p = marginals(field, *_graph(every))
     out, at = [], 0
     for t, b, ns in zip(values, base, every, strict=True):
-        taken = sorted(s for spans in b.values() for s in spans)
+        taken: list[tuple[int, int]] = []  # what base spans cover, overlapping ones as one
+        for s, e in sorted(s for spans in b.values() for s in spans):
+            if taken and s < taken[-1][1]:
+                taken[-1] = (taken[-1][0], max(e, taken[-1][1]))
+            else:
+                taken.append((s, e))
         added: list[tuple[str, int, int]] = []
         j = 0
         for n in ns:
@@ -360,9 +373,9 @@ def find(values: list[str], field: Field | None) -> list[tuple[dict[str, list[tu
             while j < len(taken) and taken[j][1] <= n.start:
                 j += 1
             k = int(row.argmax())
-            if k and row[k] >= SURE and not any(s < n.end and e > n.start for s, e in taken[j : j + 4]):
+            if k and row[k] >= SURE and not (j < len(taken) and taken[j][0] < n.end):
                 kind = KINDS[k - 1]
-                if added and kind == "phone" == added[-1][0] and n.start - added[-1][2] <= 3 and not any(added[-1][1] < e and s < n.end for s, e in taken):
+                if added and kind == "phone" == added[-1][0] and n.start - added[-1][2] <= 3 and not (j and taken[j - 1][1] > added[-1][1]):
                     added[-1] = (kind, added[-1][1], n.end)
                 else:
                     added.append((kind, n.start, n.end))
@@ -413,13 +426,11 @@ def redact(docs: DataFrame, field: Field | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            for part in text.slices(batch.append_column("__text", batch.column(at)), "__text"):
-                values = part.column("__text").to_pylist()
+            for rows, texts in text.rows_with_text(batch):
+                values = texts.to_pylist()
                 new = [masked(t, [*((k, s, e) for k, v in b.items() for s, e in v), *a]) for t, (b, a) in zip(values, find(values, shared.value), strict=True)]
-                rows = part.select(names)
                 missing = rows.column(at).is_null().to_pylist()
-                rows = rows.set_column(at, rows.schema.field(at), pa.array([None if m else t for t, m in zip(new, missing, strict=True)], rows.schema.field(at).type))
-                yield rows
+                yield rows.set_column(at, rows.schema.field(at), pa.array([None if m else t for t, m in zip(new, missing, strict=True)], rows.schema.field(at).type))
 
     out = docs.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(dict(out.dtypes)["n_chars"])) if "n_chars" in names else out

@@ -1,17 +1,21 @@
 """Line-first quality rules.
 
-Every line is judged first: navigation (separators dealt among short items), boilerplate (a line that repeats an earlier line of the
-document, or a run of few different words), shouting, and punctuation used as noise. Failing lines are removed; a document that loses too much of its text is rejected. Base rules on the whole text come before the method's verdict.
+Every line is judged first: navigation (separators dealt among short items), boilerplate (notices of sites, a line that repeats an earlier line of
+the document, or a run of few different words), shouting, and punctuation (none where a sentence should end, or used as noise). Failing lines are removed; a document that loses too much of its text is rejected. Base rules on the whole text come before the method's verdict.
 
 Line rules (a line is what \\n separates; lines without words are dropped and count as no loss):
 - duplicate: equal to an earlier line of the document;
 - navigation: of its words, at least NAV_PERCENT in 100 are bare separators (| > » · / - *), and there are at least 4 words;
 - symbols: characters of #*$%&|<> number at least a tenth of the characters in words;
+- ending: at least LINE_WORDS words and no mark in _ENDS at its end;
+- notice: fewer than NOTICE_WORDS words, among them a phrase in _NOTICES (lower-cased, without punctuation);
 - shouting: at least 8 words that hold a letter, all letters upper-case;
 - repeats: at least 8 words of which fewer than a third are different.
 A document is rejected if its failing lines hold more than LOSS_PERCENT in 100 of its word characters.
 
-Defined results: null texts have no words; texts without words fail; repeated rows are answered each for itself.
+Defined results: null texts have no words; texts without words fail; repeated rows, and rows without a doc_id, are answered each for itself. An
+empty table has no rows; other columns are neither read nor returned. A text's words are held in memory as it is judged, so a very
+long text takes some ten times its bytes.
 """
 
 from __future__ import annotations
@@ -30,6 +34,18 @@ LEAST_WORDS = 50
 LOSS_PERCENT = 50
 NAV_PERCENT = 25
 
+LINE_WORDS, NOTICE_WORDS = 4, 30
+
+# Marks that end a sentence (closing quotes and brackets may follow), and phrases of sites' notices.
+_ENDS = tuple(".!?:;…。！？।؟")
+_NOTICES = (
+    "accept all cookies", "all rights reserved", "cookie policy", "click here", "enable javascript", "forgot your password", "javascript is disabled", "log in", "lorem ipsum",
+    "privacy policy", "read more", "share on facebook", "share on twitter", "sign in", "sign up", "skip to content", "subscribe to our newsletter", "terms of service", "terms of use",
+    "this site uses cookies", "use of cookies", "uses cookies", "we use cookies", "your cart",
+)
+_CLOSING = "\"'”’»)]}*_ \t\r"
+_NOTICE = re.compile(r"\b(?:" + "|".join(p.replace(" ", r"\W+") for p in _NOTICES) + r")\b", re.IGNORECASE)
+
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SYMBOLS = str.maketrans("", "", "#*$%&|<>")
 _BARE = frozenset("| > » · / - * • < :".split())
@@ -54,7 +70,11 @@ def line_fails(words: list[str], chars: int) -> bool:
     n = len(words)
     if n >= 4 and 100 * sum(w in _BARE for w in words) >= NAV_PERCENT * n:
         return True
+    if n >= LINE_WORDS and not words[-1].rstrip(_CLOSING).endswith(_ENDS):
+        return True
     joined = "".join(words)
+    if n < NOTICE_WORDS and _NOTICE.search(" ".join(words)):
+        return True
     if 10 * (len(joined) - len(joined.translate(_SYMBOLS))) >= chars:
         return True
     if n >= 8:

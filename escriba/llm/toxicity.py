@@ -6,12 +6,13 @@ document's label is known in training, so the gradient of the noisy-or itself de
 the same sentence scores then locate the offending sentences.
 
 Training takes a sample of labelled rows whose size is a parameter (MOST_TOXIC, MOST_CLEAN: those with the smallest
-hashes of doc_id). Features are selected by their document frequencies, counted on the executors; the driver gets at
+hashes of doc_id, and MOST_CHARS: as many of them as have so many characters together). Features are selected by their document frequencies, counted on the executors; the driver gets at
 most MOST_FEATURES features and the sample's sentences as lists of them. Scoring reads every whole text once.
 
 Defined results: null or empty text has no sentence and scores 0; without labels of both kinds every text scores 0;
 labels that are null, or of unknown documents, are ignored; of several labels of a document the largest counts; repeated
-rows of documents are scored each for itself. Columns lang, source and labels are never inputs of a score.
+rows of documents are scored each for itself, with or without a doc_id (without one, held_out is null). Columns lang, source and labels are
+never inputs of a score. An empty table has no rows; keep_clean returns all columns, whatever their names, as they are, and keeps texts without words.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from . import frames, text
 
 THRESHOLD = 0.3
 MOST_TOXIC, MOST_CLEAN = 2_000, 6_000
+#: Characters of all sampled texts together; one that would lead beyond is left out.
+MOST_CHARS = 64 << 20
 MOST_FEATURES = 20_000
 #: A feature is kept if it is in so many sampled documents, and its rates in the two classes differ by so many standard errors.
 LEAST_DOCS, LEAST_Z = 3, 4.5
@@ -122,7 +125,15 @@ def _sample(docs: DataFrame, labels: DataFrame, most_toxic: int, most_clean: int
     known = known.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.where("toxic = 1").orderBy(*order).limit(most_toxic).unionByName(known.where("toxic = 0").orderBy(*order).limit(most_clean))
-    return frames.cut(frames.doc_texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic"))
+    # rows of one doc_id are one example: the greatest text of them
+    sample = frames.cut(frames.doc_texts(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text")).select("doc_id", "text", "toxic"))
+    room, out = MOST_CHARS, []
+    for doc_id, n in sample.select("doc_id", F.length("text")).orderBy(*order).collect():  # most_toxic + most_clean rows at most
+        if n > room:
+            out.append(doc_id)
+        else:
+            room -= n
+    return sample.where(~F.col("doc_id").isin(out)) if out else sample
 
 
 def train(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> Model:
@@ -217,14 +228,13 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, all columns, whose text scores below threshold."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for part in text.slices(batch.append_column("__text", batch.column(batch.schema.get_field_index("text"))), "__text"):
-                s = sentences(part.column("__text"))
+            for rows, texts in text.rows_with_text(batch):
+                s = sentences(texts)
                 good = np.ones(s.n_docs, dtype=bool) if m.empty else noisy_or(logits(s, m), s.doc, s.n_docs) < threshold
-                yield part.select(names).filter(pa.array(good))
+                yield rows.filter(pa.array(good))
 
     return docs.mapInArrow(run, docs.schema)

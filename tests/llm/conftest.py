@@ -2,12 +2,12 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, spans string, key long, component_id long, toxic string, mark int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, spans string, key long, component_id long, toxic string, mark int, gone long, __gone long, __text string"
 
 
 def frame(spark, rows):
     """Documents with more columns, of names that the operators use themselves."""
-    return spark.createDataFrame([(d, t, "en", "s", len(t or ""), 0.5, "x", 7, -1, "no", 3) for d, t in rows], SCHEMA)
+    return spark.createDataFrame([(d, t, "en", "s", len(t or ""), 0.5, "x", 7, -1, "no", 3, 6, 5, "t") for d, t in rows], SCHEMA)
 
 
 def words(rng, n, vocabulary=400):
