@@ -12,25 +12,26 @@ A passage of SURE_WORDS words or more that occurs again thus shares a span where
 and without any sentences; a shorter one is found if it holds a span. SURE_WORDS = 2 PIECE_WORDS - 1, so in a long passage
 without sentences the pieces leave no gap.
 
-Spans are joined globally; of every hash that occurs twice or more, the occurrence with the least (doc_id, word) stays, and the
-words that any other occurrence covers are removed. First occurrences are found by a grouped minimum, which Spark combines
-before it shuffles; hot hashes are a skewed join that adaptive execution splits.
+Spans are joined globally; of every hash that occurs twice or more, the occurrence with the least (doc_id, mark of the text, word) stays,
+and the words that any other occurrence covers are removed. What a task can decide alone it does: of CHUNK spans, an occurrence after another
+of the same hash is removed whatever stands elsewhere, so each hash is shuffled once for each chunk at most, however often it
+occurs. One exchange by hash then ranks what is left.
 
 What is removed are whole spans: at each end of a passage, the words before its first and after its last span stay (of a
 passage without sentences at most PIECE_WORDS - 1 at each end). Defined results: null or empty texts have no sentences and stay as they are;
 a document whose every sentence repeats an earlier one becomes empty; repeats within one document count too; a last span
-of a document may be shorter than RUN sentences only if a document has fewer.
-Rows repeated under one doc_id count once and are answered each for itself.
+of a document may be shorter than RUN sentences only if a document has fewer. A text is known by doc_id and a hash of it (mark): rows of one
+doc_id and text count once and are answered each for itself, other texts of that doc_id are documents of their own. Rows without a
+doc_id lose nothing, and what others share with them doesn't count. An empty table has no rows; other columns are neither read nor returned.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import frames, text
@@ -38,6 +39,8 @@ from . import frames, text
 RUN = 2
 LEAST_WORDS = 24
 SURE_WORDS, PIECE_WORDS = 51, 26
+#: Spans that a task compares among themselves before it sends them off.
+CHUNK = 1 << 20
 
 _END = np.zeros(256, dtype=bool)
 _END[[ord(c) for c in ".!?\n"]] = True
@@ -112,32 +115,95 @@ def spans(raw: np.ndarray, offsets: np.ndarray, run: int = RUN, least_words: int
     return words.doc[a], a - words.first[words.doc[a]], b - a, one, two
 
 
-def span_table(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS) -> DataFrame:
+def _merged(doc: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges of words of documents, with those that overlap or touch made one."""
+    order = np.lexsort((at, doc))
+    doc, at, end = doc[order], at[order], (at + n)[order]
+    # ends as far as any range of the document has come: documents are set apart by more than any text is long
+    far = doc.astype(np.int64) << 32
+    reach = np.maximum.accumulate(far + end)
+    new = np.ones(len(doc), dtype=bool)
+    new[1:] = (far + at)[1:] > reach[:-1]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(doc))[: len(first)] - 1
+    return doc[first], at[first], (reach - far)[last] - at[first]
+
+
+class _Chunk:
+    """Spans of many slices of documents, decided among themselves."""
+
+    def __init__(self):
+        self.ids: list[np.ndarray] = []
+        self.marks: list[np.ndarray] = []
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.docs = self.size = 0
+
+    def add(self, ids: np.ndarray, marks: np.ndarray, doc: np.ndarray, at: np.ndarray, n: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
+        self.ids.append(ids)
+        self.marks.append(marks)
+        self.parts.append((doc + self.docs, at.astype(np.int64), n.astype(np.int64), one, two))
+        self.docs += len(ids)
+        self.size += len(doc)
+
+    def rows(self) -> pa.RecordBatch:
+        ids, marks = np.concatenate(self.ids), np.concatenate(self.marks)
+        doc, at, n, one, two = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        self.__init__()
+        order = np.argsort(one, kind="stable")
+        same = one[order][1:] == one[order][:-1]
+        shared = np.zeros(len(one), dtype=bool)
+        shared[order[1:][same]] = shared[order[:-1][same]] = True
+        many = np.flatnonzero(shared)
+        many = many[np.lexsort((at[many], marks[doc[many]], ids[doc[many]], two[many], one[many]))]
+        hash_new, place_new = np.ones(len(many), dtype=bool), np.ones(len(many), dtype=bool)
+        hash_new[1:] = (one[many][1:] != one[many][:-1]) | (two[many][1:] != two[many][:-1])
+        d = doc[many]
+        place_new[1:] = hash_new[1:] | (ids[d][1:] != ids[d][:-1]) | (marks[d][1:] != marks[d][:-1]) | (at[many][1:] != at[many][:-1])
+        # a hash's first place, by whichever of its equal rows; rows at that place again are the same occurrence
+        group = np.cumsum(hash_new) - 1
+        begin = np.flatnonzero(hash_new)
+        at_first = np.cumsum(place_new)[begin][group] == np.cumsum(place_new) if len(many) else np.zeros(0, bool)
+        keep = np.sort(np.concatenate([np.flatnonzero(~shared), many[hash_new]]))
+        a_doc, a_at, a_n = _merged(doc[many[~at_first]], at[many[~at_first]], n[many[~at_first]])
+        every = lambda first, second: np.concatenate([first, second])
+        all_doc, all_at, all_n = every(doc[keep], a_doc), every(at[keep], a_at), every(n[keep], a_n)
+        # decided ranges have no hash: they are dealt by where they stand
+        spread = text.mix((marks[a_doc].view(np.uint64) ^ text.mix(ids[a_doc].view(np.uint64))) + a_at.astype(np.uint64))
+        return pa.record_batch({"doc_id": ids[all_doc], "mark": marks[all_doc], "at": all_at.astype(np.int32), "n": all_n.astype(np.int32), "h1": text.signed(every(one[keep], spread)), "h2": text.signed(every(two[keep], np.zeros(len(a_doc), np.uint64))), "again": np.arange(len(all_doc)) >= len(keep)})
+
+
+def marked(docs: DataFrame) -> DataFrame:
+    return frames.doc_texts(docs).withColumn("mark", F.xxhash64("text"))
+
+
+def span_table(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, mark, at, n and two hashes of spans, each hash once for each chunk; and ranges of words (again) that repeat others of their chunk."""
+
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = _Chunk()
         for batch in batches:
             for part in text.slices(batch):
-                doc, at, n, one, two = spans(*text.utf8(part.column(1)), run, least_words)
-                ids = part.column(0).to_numpy(zero_copy_only=False)
-                yield pa.record_batch({"doc_id": ids[doc], "at": at.astype(np.int32), "n": n.astype(np.int32), "h1": text.signed(one), "h2": text.signed(two)})
+                now.add(part.column(0).to_numpy(), part.column(2).to_numpy(), *spans(*text.utf8(part.column(1)), run, least_words))
+                if now.size >= chunk:
+                    yield now.rows()
+        if now.size:
+            yield now.rows()
 
-    return frames.doc_texts(docs.where("doc_id is not null")).mapInArrow(f, "doc_id long, at int, n int, h1 long, h2 long")
+    return marked(docs).where("doc_id is not null").mapInArrow(f, "doc_id long, mark long, at int, n int, h1 long, h2 long, again boolean")
 
 
-def repeated(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS) -> DataFrame:
-    """doc_id, array of struct(at, n): the spans of each document that repeat an earlier one."""
-    every = span_table(docs, run, least_words)
-    order = F.struct("doc_id", "at")
-    # a table of its own, of repeated hashes only: small ones are broadcast, and otherwise both sides of the join are
-    # shuffles of which adaptive execution can split the hot partitions
-    firsts = frames.cut(every.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first <> last").select("h1", "h2", F.col("first.doc_id").alias("first_doc"), F.col("first.at").alias("first_at")))
-    later = every.join(frames.maybe_broadcast(firsts, 48), ["h1", "h2"]).where("doc_id <> first_doc or at <> first_at")
-    return later.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("at", "n"))).alias("spans"))
+def repeated(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, mark, array of struct(at, n): the ranges of words of each text that repeat earlier ones."""
+    # a hash has a row for each chunk that holds it at most
+    place = F.dense_rank().over(Window.partitionBy("h1", "h2", "again").orderBy("doc_id", "mark", "at"))
+    later = span_table(docs, run, least_words, chunk).withColumn("place", place).where("again or place > 1")
+    return later.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set(F.struct("at", "n"))).alias("spans"))
 
 
-def remove(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS) -> DataFrame:
+def remove(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS, chunk: int = CHUNK) -> DataFrame:
     """doc_id, text (without the removed words), n_sentences, n_removed (sentences that lost any word), removed: merged ranges of words as at:end."""
-    found = frames.cut(repeated(docs, run, least_words))
-    joined = frames.doc_texts(docs).join(found, "doc_id", "left").select("doc_id", "text", "spans")
+    found = frames.cut(repeated(docs, run, least_words, chunk))
+    joined = marked(docs).join(found, ["doc_id", "mark"], "left").select("doc_id", "text", "spans")
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,6 +245,8 @@ def brute_force(rows: list[tuple[int, str | None]], run: int = RUN, least_words:
     """doc_id, text, n_sentences, n_removed by plain comparison, for tests."""
     import re
 
+    import xxhash
+
     def cut_up(t: str) -> list[tuple[int, list[str]]]:
         out: list[tuple[int, list[str]]] = []
         end = True
@@ -190,9 +258,10 @@ def brute_force(rows: list[tuple[int, str | None]], run: int = RUN, least_words:
             end, prev = m[0][-1] in ".!?", m.end()
         return out
 
-    docs = {d: cut_up(t or "") for d, t in rows}
-    first: dict[tuple, tuple[int, int]] = {}
-    found: dict[int, set[int]] = {d: set() for d in docs}
+    key = lambda d, t: (d, xxhash.xxh64_intdigest((t or "").encode(), seed=42) + 2**63 & 2**64 - 1)  # noqa: E731  in the order of signed numbers
+    docs = {key(d, t): cut_up(t or "") for d, t in rows if d is not None}
+    first: dict[tuple, tuple] = {}
+    found: dict[tuple, set[int]] = {d: set() for d in docs}
     for d in sorted(docs):
         flat = [w for _, ws in docs[d] for w in ws]
         starts = [0]
@@ -218,14 +287,11 @@ def brute_force(rows: list[tuple[int, str | None]], run: int = RUN, least_words:
     out = []
     for d, t in rows:
         t = t or ""
+        gone, sentences = (set(), cut_up(t)) if d is None else (found[key(d, t)], docs[key(d, t)])
         at = [m.start() for m in re.finditer(r"[^\x20\x09-\x0D]+", t)] + [len(t)]
-        kept = t[: at[0]] + "".join(t[at[k] : at[k + 1]] for k in range(len(at) - 1) if k not in found[d])
+        kept = t[: at[0]] + "".join(t[at[k] : at[k + 1]] for k in range(len(at) - 1) if k not in gone)
         bounds = [0]
-        for _, ws in docs[d]:
+        for _, ws in sentences:
             bounds.append(bounds[-1] + len(ws))
-        out.append((d, kept, len(docs[d]), sum(not found[d].isdisjoint(range(a, b)) for a, b in zip(bounds, bounds[1:], strict=False))))
+        out.append((d, kept, len(sentences), sum(not gone.isdisjoint(range(a, b)) for a, b in zip(bounds, bounds[1:], strict=False))))
     return out
-
-
-def digest(value: str) -> str:
-    return hashlib.sha256(value.encode()).hexdigest()

@@ -148,6 +148,17 @@ def test_substring_dedup_finds_every_long_passage(spark):
     assert r.removed.count(":") == 1 and len(r.text.split()) <= 18 + 50 and r.n_removed == 1
 
 
+def test_substring_dedup_decides_in_chunks(spark):
+    """Few spans in a chunk or all in one: the same result; texts that share a doc_id, repeated rows, rows without a doc_id."""
+    rng = random.Random(21)
+    passage = " ".join(words(rng, 9, 10**6) + "." for _ in range(9))
+    rows = [(i % 7, passage + " " + words(rng, 40, 10**6)) for i in range(20)] + [(3, passage), (3, passage), (1, "short text"), (1, words(rng, 60, 10**6)), (None, passage), (9, "the end.\n" * 30)]
+    want = sorted(substring_dedup.brute_force(rows), key=str)
+    for chunk in (1, 50, 1 << 20):
+        got = substring_dedup.remove(frame(spark, rows).repartition(3), chunk=chunk).collect()
+        assert sorted(((r.doc_id, r.text, r.n_sentences, r.n_removed) for r in got), key=str) == want
+
+
 def test_substring_dedup_takes_one_long_sentence(spark):
     rng = random.Random(6)
     s = words(rng, 30, 10**6) + "."
