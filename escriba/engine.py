@@ -23,9 +23,9 @@ def _recognised(files: DataFrame, rasteriser: Rasteriser | None, recogniser: Rec
     found = recognise_files(files, rasteriser, recogniser, language, options)
     words = found.select("doc_id", "page", "pass_no", F.explode("conf").alias("conf"))
     pages = drivers.recognise(found, words)
-    errors = found.groupBy("doc_id", "page").agg(F.first("error", ignorenulls=True).alias("failure"))
+    errors = found.groupBy("doc_id", "page").agg(F.first("error", ignorenulls=True).alias("failure"), F.first(F.when(F.col("error").isNotNull(), F.col("text")), ignorenulls=True).alias("instead"))
     failed = F.col("failure").isNotNull()
-    return pages.join(errors, ["doc_id", "page"]).select("doc_id", "page", F.when(failed, "").otherwise(F.col("text")).alias("text"), F.when(failed, 0.0).otherwise(F.col("confidence")).alias("confidence"), F.col("failure").alias("error"))
+    return pages.join(errors, ["doc_id", "page"]).select("doc_id", "page", F.when(failed, F.col("instead")).otherwise(F.col("text")).alias("text"), F.when(failed, 0.0).otherwise(F.col("confidence")).alias("confidence"), F.nullif("failure", F.lit("")).alias("error"))
 
 
 def process(files: DataFrame, force_ocr: bool = False, language: str = "spa", rasteriser: Rasteriser | None = None, recogniser: Recogniser | None = None, options: Options = Options()) -> DataFrame:

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .regex import SPACE, WORD, java, re2, sql_literal, sql_strip, strip
+from .regex import SPACE, WORD, java, re2, sql_literal, sql_strip, strip, words
 
 # Every word that is written anew, as it should be and as recognition may give it. Any casing of either counts.
 TOKENS = {
@@ -60,18 +60,18 @@ REWRITES = {
 }
 
 _LOOKUP = {v.lower(): right for right, variants in TOKENS.items() for v in variants}
-_ANY_TOKEN = java(r"\b(?:" + "|".join(re.escape(v) for v in _LOOKUP) + r")\b")
+_ANY_TOKEN = words(list(_LOOKUP))
 _PIECES = f"([{WORD}]+|[^{WORD}]+)"
 
 
 def correct_tokens(c: Column) -> Column:
     """Every whole word of TOKENS in its right form, in one pass.
 
-    A listed word is a maximal run of word characters and its right form maps to itself, so one look-up for each run equals
-    replacing the listed forms one after the other. Texts without any listed word (a search decides) aren't taken apart."""
+    A listed word is a maximal run of word characters and its right form maps to itself, so one look-up for each listed word equals
+    replacing the listed forms one after the other. The text is taken apart at the listed words only."""
     table = F.create_map(*(F.lit(x) for pair in _LOOKUP.items() for x in pair))
-    mapped = F.array_join(F.transform(F.regexp_extract_all(c, F.lit(_PIECES), F.lit(1)), lambda w: F.coalesce(F.try_element_at(table, F.lower(w)), w)), "")
-    return F.when(c.rlike(_ANY_TOKEN), mapped).otherwise(c)
+    found = F.transform(F.regexp_extract_all(c, F.lit(_ANY_TOKEN), F.lit(0)), lambda w: F.coalesce(F.try_element_at(table, F.lower(w)), w))
+    return F.array_join(F.zip_with(F.split(c, _ANY_TOKEN, -1), found, lambda rest, w: F.concat(rest, F.coalesce(w, F.lit("")))), "")
 
 
 def rewrite(c: Column, *names: str) -> Column:

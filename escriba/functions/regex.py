@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: The insides of character classes.
 WORD, SPACE, DIGIT = r"\p{L}\p{N}_", r"\t-\r\x1c-\x20\x85\p{Z}", r"\p{Nd}"
 _INSIDE = {"w": WORD, "s": SPACE, "d": DIGIT}
+_BEGIN, _END = f"(?<![{WORD}])", f"(?![{WORD}])"
+#: Behind an edge at a pattern's start, and before one at its end: what only word characters match, so that looking to the other side is enough.
+_WORD_FIRST, _WORD_LAST = "([A-Z]{", (r"(\d{3})", r"(\d{4})")
 _EDGE = f"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
 
 
@@ -27,7 +30,12 @@ def _written_out(pattern: str, edge: str | None, end: str | None) -> str:
             elif kind == "b":
                 if edge is None:
                     raise ValueError("RE2 has no Unicode word edge")
-                out.append(edge)
+                if i == 2 and pattern[2:].startswith(_WORD_FIRST):
+                    out.append(_BEGIN)
+                elif i == len(pattern) and pattern[:-2].endswith(_WORD_LAST):
+                    out.append(_END)
+                else:
+                    out.append(edge)
             else:
                 out.append("\\" + kind)
             continue
@@ -40,6 +48,19 @@ def _written_out(pattern: str, edge: str | None, end: str | None) -> str:
     return "".join(out)
 
 
+def words(listed: list[str]) -> str:
+    """For Spark: any of the listed words (of word characters only) as a whole word, in any casing; common beginnings are tried once."""
+
+    def tree(rest: list[str]) -> str:
+        by_first: dict[str, list[str]] = {}
+        for w in rest:
+            by_first.setdefault(w[:1], []).append(w[1:])
+        ways = [c + tree(by_first[c]) for c in sorted(by_first) if c]
+        return ("(?:" + "|".join(ways) + ")" + "?" * ("" in by_first) if len(ways) > 1 or "" in by_first and ways else "".join(ways))
+
+    return f"(?iud){_BEGIN}{tree(sorted({w.lower() for w in listed}))}{_END}"
+
+
 def java(pattern: str) -> str:
     """For Spark: case ignored by Unicode rules; only a line feed ends a line; $ also stands before a final line feed."""
     return "(?iud)" + _written_out(pattern, _EDGE, None)

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..config import Options
+from ..plans.recognition import CRASHED, FAILED, UNAVAILABLE, UNCONVERTED
 from . import image
 
 #: The passes over a page, in order; the first of equally good ones wins.
@@ -76,6 +77,7 @@ def recognise_page(img: np.ndarray, recogniser: Recogniser, language: str, optio
 
 def recognise_files(files: DataFrame, rasteriser: Rasteriser, recogniser: Recogniser, language: str = "spa", options: Options = Options(), enhance: bool = True) -> DataFrame:
     """Rasterise, enhance and recognise every page of files (doc_id, content), a row for each page and pass: pages are never written between the steps, and one page's pixels at a time are held.
+    A page without a result has one row whose error is not null (empty: there was no such page) and whose text says what happened.
 
     Repartition files by document first where a few documents hold most of the pages."""
 
@@ -86,14 +88,21 @@ def recognise_files(files: DataFrame, rasteriser: Rasteriser, recogniser: Recogn
                 for n in range(1, rasteriser.page_count(content) + 1):
                     rows: list[tuple] = []
                     try:
-                        img = rasteriser.page(content, n, options.dpi)
-                        if img is None:
-                            rows = [(doc, n, 0, "[Página no disponible]", "", [], None)]
-                        else:
+                        img, failure = rasteriser.page(content, n, options.dpi), None
+                    except Exception as e:  # one page's failure is its own
+                        img, failure = None, str(e) or type(e).__name__
+                    if failure is not None:
+                        rows = [(doc, n, 0, UNCONVERTED.format(page=n, why=failure), "", [], failure)]
+                    elif img is None:
+                        rows = [(doc, n, 0, UNAVAILABLE, UNAVAILABLE, [], "")]
+                    else:
+                        try:
                             default = recogniser.text(img, language)
                             rows = [(doc, n, k, t, default, c, None) for k, t, c in recognise_page(img, recogniser, language, options, enhance)] or [(doc, n, 0, "", default, [], None)]
-                    except Exception as e:  # one page's failure is its own
-                        rows = [(doc, n, 0, "", "", [], f"Error procesando página {n}: {e}")]
+                        except MemoryError as e:  # the page took more than its worker had
+                            rows = [(doc, n, 0, CRASHED.format(page=n), "", [], str(e) or type(e).__name__)]
+                        except Exception as e:
+                            rows = [(doc, n, 0, "", "", [], FAILED.format(page=n, why=e))]
                     yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.float64()), pa.string()))], names=["doc_id", "page", "pass_no", "text", "default_text", "conf", "error"])
 
     return files.select("doc_id", "content").mapInArrow(run, PAGES)

@@ -62,6 +62,9 @@ RASTERS_DUCKDB = "select vec_id as img, cast((pos - 1) // 8 as int) as y, cast((
 
 def table(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f"{{{t}}}" in sql}
+    if "orders" in used and used["orders"].rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+        # one small file is one split; many large ones need no dealing
+        used["orders"] = used["orders"].repartition(spark.sparkContext.defaultParallelism)
     return spark.sql(sql, **used)
 
 

@@ -10,6 +10,8 @@ from ..config import Options
 # A confidence, and texts that stand for pages without a result (also in the functions below).
 FALLBACK_CONFIDENCE = 50.0
 MISSING, UNAVAILABLE = "[Página no procesada]", "[Página no disponible]"
+UNCONVERTED, CRASHED = "[Error convirtiendo página {page}: {why}]", "[Error procesando página {page}]"
+FAILED = "Error procesando página {page}: {why}"
 
 
 def separator(page: Column, pages: Column) -> Column:
@@ -20,14 +22,6 @@ def unreadable(page: Column) -> Column:
     return F.concat(F.lit("[Error extrayendo texto de la página "), page.cast("string"), F.lit("]"))
 
 
-def unconverted(page: Column, why: Column) -> Column:
-    return F.concat(F.lit("[Error convirtiendo página "), page.cast("string"), F.lit(": "), why, F.lit("]"))
-
-
-def crashed(page: Column) -> Column:
-    return F.concat(F.lit("[Error procesando página "), page.cast("string"), F.lit("]"))
-
-
 def pass_confidence(words: DataFrame, *keys: str) -> DataFrame:
     """avg_confidence of each pass (keys): the mean of the confidences, cut to whole numbers, that are then above 0; 0 if there is none."""
     whole = F.col("conf").cast("int")

@@ -13,21 +13,31 @@ from ..functions.naming import EXTENSIONS, label
 FAILED = "Processing failed"
 
 
-def json_response(done: DataFrame, extract_fields: Column | bool = True, with_text: Column | bool = True) -> DataFrame:
-    """doc_id and response. Absent values are left out: fields unless asked for and found, text unless the format is JSON."""
+def stamped_name(name: Column, at: Column | None = None) -> Column:
+    """The name under which a request's file is kept: the moment, then the safe name."""
+    return F.concat(F.date_format(F.current_timestamp() if at is None else at, "yyyyMMdd_HHmmss"), F.lit("_"), name)
+
+
+def json_response(done: DataFrame, extract_fields: Column | bool = True, with_text: Column | bool = True, seconds: Column | None = None, at: Column | None = None) -> DataFrame:
+    """doc_id and response. Absent values are left out: fields unless asked for and found, text unless the format is JSON, and processing_time (seconds,
+    to two decimals) and timestamp (at, as ISO 8601) unless they are given, so that answers can be compared."""
+    time = F.lit(None).cast("double") if seconds is None else F.round(seconds.cast("double"), 2)
+    moment = F.lit(None).cast("string") if at is None else F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     wanted, texts = (F.lit(x) if isinstance(x, bool) else x for x in (extract_fields, with_text))
     good = F.struct(
         F.lit(True).alias("success"),
         "filename",
         F.col("total_pages").alias("pages_processed"),
+        time.alias("processing_time"),
         "processing_method",
         "language",
         "file_size_mb",
         "confidence",
+        moment.alias("timestamp"),
         F.when(wanted & (F.size("key_values") > 0), F.col("key_values")).alias("extracted_fields"),
         F.when(texts, F.col("text")).alias("text"),
     )
-    bad = F.struct(F.lit(False).alias("success"), F.col("text").alias("error"))
+    bad = F.struct(F.lit(False).alias("success"), F.col("text").alias("error"), time.alias("processing_time"))
     return done.select("doc_id", F.when(F.col("success"), F.to_json(good)).otherwise(F.to_json(bad)).alias("response"))
 
 

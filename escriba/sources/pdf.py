@@ -1,8 +1,9 @@
 """A small reader of PDF files: pages in order, their text in simple fonts, and how many images their own resources name.
 
 It reads objects by scanning, streams without a filter or with FlateDecode, object streams, the page tree with inherited
-resources, and the text operators. Strings are Latin-1 or, with a byte order mark, UTF-16; fonts with other encodings, encrypted
-files and other filters are beyond it: such a page gives an error and the document goes on.
+resources, and the text operators. A string is read by its font: by its ToUnicode map if it has one, else in WinAnsi, MacRoman or Latin-1
+with the Differences whose glyph names tell a character. Composite fonts without a map, encrypted files and other filters are beyond it:
+such a page gives an error and the document goes on.
 """
 
 from __future__ import annotations
@@ -158,7 +159,10 @@ class Document:
         if isinstance(parts, Ref) and isinstance(self.get(parts), list):
             parts = self.get(parts)
         refs = parts if isinstance(parts, list) else [parts] if parts is not None else []
-        return shown_text(b"\n".join(self.stream(int(r))[1] for r in refs if isinstance(r, Ref)))
+        content = b"\n".join(self.stream(int(r))[1] for r in refs if isinstance(r, Ref))
+        resources = self.get(page.get("Resources"))
+        named = self.get(resources.get("Font")) if isinstance(resources, dict) else None
+        return shown_text(content, {name: Font(self, font) for name, x in named.items() if isinstance(font := self.get(x), dict)} if isinstance(named, dict) else {})
 
     def image_count(self, page: dict) -> int:
         resources = self.get(page.get("Resources"))
@@ -170,8 +174,81 @@ def _decoded(raw: bytes) -> str:
     return raw[2:].decode("utf-16-be", "replace") if raw[:2] == b"\xfe\xff" else raw.decode("latin-1")
 
 
-def shown_text(content: bytes) -> str:
+# Glyph names of characters that aren't letters of ASCII, as far as Differences commonly name them.
+_GLYPHS = dict(
+    zip(
+        "space exclam quotedbl numbersign dollar percent ampersand quotesingle parenleft parenright asterisk plus comma hyphen period slash zero one two three four five six seven eight nine colon semicolon less equal greater question at bracketleft backslash bracketright underscore".split(),
+        " !\"#$%&'()*+,-./0123456789:;<=>?@[\\]_",
+        strict=True,
+    )
+) | dict(zip("aacute eacute iacute oacute uacute ntilde udieresis Aacute Eacute Iacute Oacute Uacute Ntilde Udieresis questiondown exclamdown degree ordmasculine ordfeminine endash emdash quoteleft quoteright quotedblleft quotedblright bullet ellipsis fi fl".split(), [*"áéíóúñüÁÉÍÓÚÑÜ¿¡°ºª–—‘’“”•…", "fi", "fl"], strict=True))
+_CODECS = {"WinAnsiEncoding": "cp1252", "MacRomanEncoding": "mac_roman"}
+_HEX = re.compile(rb"<([0-9A-Fa-f\s]*)>")
+
+
+def _units(x: bytes) -> str:
+    return bytes.fromhex(x.decode()).decode("utf-16-be", "replace")
+
+
+class Font:
+    """How a font's strings are read."""
+
+    def __init__(self, doc: Document, font: dict):
+        self.composite = font.get("Subtype") == "Type0"
+        self.map: dict[int, str] | None = None
+        self.width = 2 if self.composite else 1
+        encoding = doc.get(font.get("Encoding"))
+        self.codec, self.differences = _CODECS.get(str(encoding), "latin-1"), {}
+        if isinstance(encoding, dict):
+            self.codec = _CODECS.get(str(doc.get(encoding.get("BaseEncoding"))), "latin-1")
+            code = 0
+            for x in doc.get(encoding.get("Differences")) or []:
+                if isinstance(x, Name):
+                    known = x if len(x) == 1 else _GLYPHS.get(x) or (chr(int(x[3:7], 16)) if re.fullmatch(r"uni[0-9A-F]{4}", x) else None)
+                    self.differences[code] = known
+                    code += 1
+                elif isinstance(x, int):
+                    code = x
+        if isinstance(font.get("ToUnicode"), Ref):
+            self.map = self._to_unicode(doc.stream(int(font["ToUnicode"]))[1])
+
+    def _to_unicode(self, cmap: bytes) -> dict[int, str]:
+        out: dict[int, str] = {}
+        spaces = re.search(rb"begincodespacerange\s*<([0-9A-Fa-f]+)>", cmap)
+        if spaces:
+            self.width = max(1, len(spaces[1]) // 2)
+        for block in re.findall(rb"beginbfchar(.*?)endbfchar", cmap, re.DOTALL):
+            codes = _HEX.findall(block)
+            out |= {int(a, 16): _units(b) for a, b in zip(codes[::2], codes[1::2], strict=False)}
+        for block in re.findall(rb"beginbfrange(.*?)endbfrange", cmap, re.DOTALL):
+            for lo, hi, to, listed in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*(?:<([0-9A-Fa-f]+)>|\[(.*?)\])", block, re.DOTALL):
+                first, last = int(lo, 16), min(int(hi, 16), int(lo, 16) + 0xFFFF)
+                if listed:
+                    out |= {first + i: _units(x) for i, x in enumerate(_HEX.findall(listed))}
+                elif to:
+                    base = _units(to)
+                    out |= {first + i: base[:-1] + chr(ord(base[-1]) + i) for i in range(last - first + 1)} if base else {}
+        return out
+
+    def read(self, raw: bytes) -> str:
+        if self.map is not None:
+            codes = [int.from_bytes(raw[i : i + self.width]) for i in range(0, len(raw), self.width)]
+            return "".join(self.map.get(c, "" if self.composite else chr(c)) for c in codes)
+        if self.composite:
+            raise ValueError("a composite font without a map to characters")
+        if not self.differences:
+            return _decoded(raw) if self.codec == "latin-1" else raw.decode(self.codec, "replace")
+        out = []
+        for b in raw:
+            if b in self.differences and self.differences[b] is None:
+                raise ValueError("a font with unknown glyph names")
+            out.append(self.differences.get(b) or bytes([b]).decode(self.codec, "replace"))
+        return "".join(out)
+
+
+def shown_text(content: bytes, fonts: dict[str, Font] | None = None) -> str:
     """What the text operators of a page's content show; a move to another line is a line feed, a wide gap a space."""
+    read = _decoded
     p, stack, out = _Parser(content), [], []
 
     def newline() -> None:
@@ -183,14 +260,16 @@ def shown_text(content: bytes) -> str:
         if not (isinstance(v, bytes) and v == t and t not in (b"(",)):
             stack.append(v)
             continue
-        if t in (b"Tj", b"'", b'"') and stack and isinstance(stack[-1], bytes):
+        if t == b"Tf" and len(stack) >= 2:
+            read = fonts[stack[-2]].read if fonts and stack[-2] in fonts else _decoded
+        elif t in (b"Tj", b"'", b'"') and stack and isinstance(stack[-1], bytes):
             if t != b"Tj":
                 newline()
-            out.append(_decoded(stack[-1]))
+            out.append(read(stack[-1]))
         elif t == b"TJ" and stack and isinstance(stack[-1], list):
             for x in stack[-1]:
                 if isinstance(x, bytes):
-                    out.append(_decoded(x))
+                    out.append(read(x))
                 elif isinstance(x, (int, float)) and x < -200 and out and not out[-1].endswith(" "):
                     out.append(" ")
         elif t in (b"T*", b"ET") or t in (b"Td", b"TD") and len(stack) >= 2 and stack[-1] != 0:

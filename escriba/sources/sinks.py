@@ -13,8 +13,19 @@ from ..functions.naming import stem
 from ..plans.reports import batch_summary, sidecar
 
 
+#: Documents for which a file each is written.
+MOST_FILES = 10_000
+
+
 def write_texts(done: DataFrame, folder: str) -> None:
-    """A text file for each document, in a folder doc_id=... (UTF-8, the text as it is)."""
+    """doc_id and text of every document, as lines of JSON: as many files as there are partitions, whatever the number of documents."""
+    done.select("doc_id", "text").write.json(folder)
+
+
+def write_text_files(done: DataFrame, folder: str) -> None:
+    """A text file for each document of a batch, in a folder doc_id=... (UTF-8, the text as it is). More than MOST_FILES documents are refused."""
+    if done.limit(MOST_FILES + 1).count() > MOST_FILES:
+        raise ValueError(f"more than {MOST_FILES} documents: use write_texts")
     done.select("doc_id", "text").write.partitionBy("doc_id").option("lineSep", "\n").text(folder)
 
 
@@ -24,6 +35,12 @@ def write_records(done: DataFrame, folder: str) -> None:
 
 
 def read_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """What write_texts wrote."""
+    return spark.read.schema("doc_id long, text string").json(folder)
+
+
+def read_text_files(spark: SparkSession, folder: str) -> DataFrame:
+    """What write_text_files wrote."""
     return spark.read.option("wholetext", True).text(folder).select("doc_id", F.regexp_replace("value", r"\n\z", "").alias("text"))
 
 

@@ -95,6 +95,8 @@ def test_reports(spark, tmp_path):
         assert z.read("f1.txt").decode() == "ñ text" and json.loads(z.read("resumen_lote.json"))["failed"] == 1
     sinks.write_texts(df.where("success"), str(tmp_path / "t"))
     assert sinks.read_texts(spark, str(tmp_path / "t")).first().text == "ñ text"
+    sinks.write_text_files(df.where("success"), str(tmp_path / "f"))
+    assert sinks.read_text_files(spark, str(tmp_path / "f")).first().text == "ñ text"
     sinks.write_records(df, str(tmp_path / "r"))
     assert spark.read.json(str(tmp_path / "r")).count() == 2
     assert reports.health(spark).first().status == "degraded" and reports.describe(spark).count() == 4

@@ -1,8 +1,11 @@
+import re
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from escriba import engine
+from escriba.operators import adapters
 from escriba.operators.engines import Recorded
 from escriba.sources import files
 from escriba.sources.pdf import page_texts
@@ -35,6 +38,62 @@ def test_page_texts():
     assert page_texts(b"") == page_texts(b"no pdf") == page_texts(b"%PDF-1.4 junk") == []
 
 
+def with_font(font, shown, more=b""):
+    body = b"BT /F1 12 Tf " + shown + b" Tj ET"
+    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Count 1 /Kids [3 0 R] >>", b"<< /Type /Page /Parent 2 0 R /Contents 4 0 R /Resources << /Font << /F1 5 0 R >> >> >>", b"<< /Length %d >>\nstream\n%s\nendstream" % (len(body), body), font]
+    if more:
+        objects.append(b"<< /Length %d >>\nstream\n%s\nendstream" % (len(more), more))
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (i, o) for i, o in enumerate(objects, 1)) + b"trailer << /Root 1 0 R >>\n%%EOF"
+
+
+def test_fonts():
+    cmap = b"1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfchar <0003> <0020> endbfchar 2 beginbfrange <0024> <0026> <0041> <0030> <0031> [<00D1> <D83DDE00>] endbfrange"
+    composite = b"<< /Type /Font /Subtype /Type0 /Encoding /Identity-H%s >>"
+    assert page_texts(with_font(composite % b" /ToUnicode 6 0 R", b"<00240025000300300031>", cmap)) == [("AB Ñ😀", 0, None)]
+    assert page_texts(with_font(composite % b"", b"<00240025>"))[0][2] == "a composite font without a map to characters"
+    assert page_texts(with_font(b"<< /Type /Font /Subtype /Type1 /Encoding /WinAnsiEncoding >>", b"(\x93a\x94 \x80)")) == [("“a” €", 0, None)]
+    assert page_texts(with_font(b"<< /Type /Font /Subtype /Type1 /Encoding /MacRomanEncoding >>", b"(a\x96o)")) == [("año", 0, None)]
+    assert page_texts(with_font(b"<< /Type /Font /Subtype /Type1 /Encoding << /Differences [1 /A /ntilde /uni00E9 /fi] >> >>", b"(\\001\\002\\003\\004x)")) == [("Añéfix", 0, None)]
+    assert page_texts(with_font(b"<< /Type /Font /Subtype /Type1 /Encoding << /Differences [1 /g17] >> >>", b"(\\001)"))[0][2] == "a font with unknown glyph names"
+
+
+def test_adapters(monkeypatch):
+    import sys
+    import types
+
+    assert all(x is None or hasattr(x, "page") or hasattr(x, "words") for x in adapters.available())
+    img = np.arange(12, dtype=np.uint8).reshape(2, 2, 3)
+    asked = []
+    ocr = types.SimpleNamespace(Output=types.SimpleNamespace(DICT="dict"), image_to_data=lambda p, **k: asked.append(k) or {"conf": ["-1", 90, "80.5"]}, image_to_string=lambda p, **k: "text", image_to_osd=lambda p, **k: {"rotate": 90})
+    pil = types.SimpleNamespace(Image=types.SimpleNamespace(fromarray=lambda a: a))
+    monkeypatch.setitem(sys.modules, "pytesseract", ocr)
+    monkeypatch.setitem(sys.modules, "PIL", pil)
+    t = adapters.Tesseract()
+    assert t.words(img, "spa", "6", "3") == ("text", [-1.0, 90.0, 80.5]) and t.rotation(img) == 90 and t.text(img, "spa") == "text"
+    assert asked[0]["lang"] == "spa" and asked[0]["config"].startswith("--psm 6 --oem 3 --dpi 400")
+
+
+def test_pages_that_fail(spark):
+    class Pages:
+        def page_count(self, content):
+            return 4
+
+        def page(self, content, number, dpi):
+            if number == 1:
+                raise ValueError("torn")
+            return None if number == 2 else np.full((4, 4, 3), number, np.uint8)
+
+    class Reader(Recorded):
+        def text(self, img, language):
+            if img[0, 0, 0] == 3:
+                raise ValueError("no ink")
+            raise MemoryError
+
+    files = spark.createDataFrame([(1, "a.pdf", pdf([""] * 4), 1)], "doc_id long, filename string, content binary, length long")
+    text = engine.process(files.withColumns({"language": F.lit("spa")}), rasteriser=Pages(), recogniser=Reader()).first().text
+    assert [p.strip() for p in re.split(r"--- Página \d de \d ---", text)][1:] == ["[Error convirtiendo página 1: torn]\n[ERROR: torn]", "[Página no disponible]", "[ERROR: Error procesando página 3: no ink]", "[Error procesando página 4]\n[ERROR: MemoryError]"]
+
+
 def test_engine(spark, tmp_path):
     text = "DELITO: HURTO\n" + "palabra " * 120
     (tmp_path / "a.pdf").write_bytes(pdf([text], packed=True))
