@@ -202,3 +202,19 @@ def report(docs: DataFrame) -> DataFrame:
         F.when(F.size(base) > 0, 1.0).otherwise(F.coalesce(F.array_max(F.transform(found, lambda x: x["score"])), F.lit(0.0))).alias("score"),
         F.array_join(F.array_sort(F.transform(found, lambda x: F.concat_ws(":", x["label"], x["start"], x["end"]))), ",").alias("spans"),
     )
+
+
+def base_report(docs: DataFrame) -> DataFrame:
+    """Of the report, what base phrases alone decide."""
+    return report(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+#: base_report in DuckDB's SQL.
+BASE_SQL = r"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+p as (select * from (values PHRASES) v(label, ws)),
+a as (select doc_id, w, label, ws, unnest(range(1, len(w) - len(ws) + 2)) as j from d, p where len(w) >= len(ws)),
+h as (select doc_id, label, j - 1 as word from a where w[j : j + len(ws) - 1] = ws),
+s as (select doc_id, count(*) as n, min(word) as lo, max(word) as hi, string_agg(distinct label, ',' order by label) as labels from h group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n, 0) as bigint) as n_base, cast(lo as bigint) as first_word, cast(hi as bigint) as last_word, coalesce(labels, '') as base_labels from d left join s on d.doc_id = s.doc_id
+""".replace("PHRASES", ", ".join(f"('{label}', {phrase.split()})" for phrase, label in BASE.items()))

@@ -143,3 +143,21 @@ def clean(docs: DataFrame) -> DataFrame:
 def report(docs: DataFrame) -> DataFrame:
     """Per document: the base counts, base_failed, kept and the word characters of failing lines."""
     return clean(docs).drop("text")
+
+
+def base_report(docs: DataFrame) -> DataFrame:
+    """Of the report, the counts on the whole text and what they decide."""
+    return report(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+#: base_report in DuckDB's SQL.
+BASE_SQL = r"""
+with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+l as (select doc_id, count(*) - count(distinct line) as n from (select doc_id, unnest(string_split(t, chr(10))) as line from d) where regexp_matches(line, '[^\x20\x09-\x0D]') group by doc_id),
+g as (select doc_id, j, array_to_string(w[j : j + 2], ' ') as win from (select doc_id, w, unnest(range(1, len(w) - 1)) as j from d where len(w) >= 3)),
+m as (select doc_id, j from (select doc_id, j, count(*) over (partition by doc_id, win) as c from g) where c > 1),
+r as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(j, j + 3)) as p from m) group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars, cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
+  cast(coalesce(l.n, 0) as bigint) as n_dup_lines, cast(coalesce(r.n, 0) as bigint) as n_repeat_words, len(w) < 50 or 100 * coalesce(r.n, 0) > 50 * len(w) as base_failed
+from d left join l on d.doc_id = l.doc_id left join r on d.doc_id = r.doc_id
+"""
