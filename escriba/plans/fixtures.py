@@ -55,6 +55,9 @@ UPLOADS = """
 select doc_id, concat(case when doc_id % 4 = 0 then '../Año ' else 'doc_' end, cast(doc_id as string), case doc_id % 6 when 0 then '.pdf' when 1 then '.PDF' when 2 then '.tar.png' when 3 then '' when 4 then '.docx' else '.Jpeg' end) as filename, n_chars * 100000 as length, doc_id % 9 = 0 as force_ocr, case doc_id % 4 when 0 then 'spa' when 1 then 'eng' when 2 then 'deu' else 'spa+eng' end as language from {documents}
 """
 
+#: The uploads, and a PDF that gives no page beside each.
+AND_DAMAGED = f"select doc_id, filename, length from ({UPLOADS}) u union all select -1 - doc_id as doc_id, concat('damaged_', cast(doc_id as string), '.pdf') as filename, length from ({UPLOADS}) w"
+
 #: 8 x 8 rasters from embeddings: img, y, x, v from 0 to 255. (Arrays are numbered from 1 in both engines' element access.)
 RASTERS_SPARK = "select vec_id as img, cast(pos div 8 as int) as y, cast(pos % 8 as int) as x, cast(least(255, greatest(0, floor((cast(e as double) + 0.6) * 200))) as int) as v from {embeddings} lateral view posexplode(embedding) t as pos, e"
 RASTERS_DUCKDB = "select vec_id as img, cast((pos - 1) // 8 as int) as y, cast((pos - 1) % 8 as int) as x, cast(least(255, greatest(0, floor((cast(embedding[pos] as double) + 0.6) * 200))) as int) as v from (select vec_id, embedding, unnest(range(1, 65)) as pos from embeddings)"

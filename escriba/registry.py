@@ -78,7 +78,7 @@ _add(
 
 # --- names and requests
 
-UPLOADS = duckdb(fixtures.UPLOADS)
+UPLOADS, AND_DAMAGED = duckdb(fixtures.UPLOADS), duckdb(fixtures.AND_DAMAGED)
 EXT = "case when contains(filename, '.') then lower(regexp_extract(filename, '\\.([^.]*)$', 1)) end"
 OK = f"coalesce({EXT} in ({', '.join(repr(e) for e in naming.EXTENSIONS)}), false)"
 SAFE = "regexp_replace(regexp_replace(array_to_string(list_filter(regexp_split_to_array(translate(regexp_replace(translate(filename, 'áéíóúüñÁÉÍÓÚÜÑ', 'aeiouunAEIOUUN'), '[^\\x00-\\x7F]', '', 'g'), '/\\', '  '), '\\s+'), lambda w: w <> ''), '_'), '[^A-Za-z0-9_.-]', '', 'g'), '^[._]+|[._]+$', '', 'g')"
@@ -112,11 +112,11 @@ _add("analyze_pages", lambda s, d: analysis.analyze(table(s, d, fixtures.DOC_PAG
 _add("analyze_single", lambda s, d: analysis.analyze(table(s, d, fixtures.SINGLE_DOCS)), f"select * from {SINGLE} a")
 _add(
     "analyze_files",
-    lambda s, d: analysis.analyze_files(table(s, d, fixtures.UPLOADS), table(s, d, fixtures.SINGLE_DOCS).where("doc_id % 10 <> 0")).na.fill(-1, ["text_length", "page_count", "text_density"]),
+    lambda s, d: analysis.analyze_files(table(s, d, fixtures.AND_DAMAGED), table(s, d, fixtures.SINGLE_DOCS)).na.fill(-1, ["text_length", "page_count", "text_density"]),
     f"""select u.doc_id, filename, case when not pdf then false else coalesce(has_text, false) end as has_text, case when not pdf then true else coalesce(has_images, false) end as has_images,
     case when pdf then coalesce(text_length, 0) else -1 end as text_length, case when pdf then coalesce(page_count, 0) else -1 end as page_count, case when pdf then coalesce(text_density, 0) else -1 end as text_density,
     case when pdf then coalesce(processing_recommendation, 'ocr') else 'ocr' end as processing_recommendation, case when pdf then coalesce(confidence, 0) else 0.8 end as confidence, case when pdf then coalesce(sample_text, '') end as sample_text, u.length / 1048576 as file_size_mb
-    from (select *, lower(filename) like '%.pdf' as pdf from {UPLOADS} x) u left join (select * from {SINGLE} y where doc_id % 10 <> 0) a on a.doc_id = u.doc_id""",
+    from (select *, lower(filename) like '%.pdf' as pdf from {AND_DAMAGED} x) u left join {SINGLE} a on a.doc_id = u.doc_id""",
 )
 ROUTE_SQL = f"(select u.doc_id, case when lower(filename) like '%.pdf' and not force_ocr then processing_recommendation else 'ocr' end as way from {UPLOADS} u join {SINGLE} a on a.doc_id = u.doc_id)"
 
@@ -271,8 +271,42 @@ _add("otsu", _pixels(image.otsu), f"with points as {POINTS} select img, y, x, v
 _add("adaptive_mean", _pixels(image.adaptive_mean), f"with points as {POINTS} select img, y, x, v from {MEAN_SQL} m")
 _add("combine_max", _pixels(lambda g: image.combine_max(image.adaptive_mean(g), image.otsu(g))), f"with points as {POINTS} select m.img, m.y, m.x, greatest(m.v, o.v) as v from {MEAN_SQL} m join {OTSU_SQL} o on o.img = m.img and o.y = m.y and o.x = m.x")
 _add("morphology", _pixels(lambda g: image.morphology(image.otsu(g))), MORPH_SQL)
+
+
+def _kernel_sql(size: int, sigma: float) -> str:
+    """step and w of a normalised Gaussian."""
+    return f"(select step, w / sum(w) over () as w from (select step, exp(-cast(step * step as double) / {2 * sigma * sigma}) as w from range({-(size // 2)}, {size // 2 + 1}) r(step)) k)"
+
+
+def _blur_sql(size: int, sigma: float, place: str) -> str:
+    """img, y, x, v and the rounded Gaussian mean around a pixel; place: where in 0 to 7 a row or column number {} beyond the border is read."""
+    k = _kernel_sql(size, sigma)
+    return f"(select p.img, p.y, p.x, any_value(p.v) as v, round_even(sum(a.w * b.w * q.v), 0) as mean from points p, {k} a, {k} b, points q where q.img = p.img and q.y = {place.format('(p.y + a.step)')} and q.x = {place.format('(p.x + b.step)')} group by p.img, p.y, p.x)"
+
+
+_BYTE = "cast(least(255, greatest(0, round_even({}, 0))) as int)"
+GAUSS_SQL = f"(select img, y, x, case when v > mean - 2 then 255 else 0 end as v from {_blur_sql(11, 2.0, 'greatest(0, least(7, {}))')} b)"
+SHARP_SQL = f"(select img, y, x, {_BYTE.format('(1 + 0.3::double) * v - 0.3::double * mean')} as v from {_blur_sql(7, 1.0, '(7 - abs(7 - abs({})))')} b)"
+
+
+def _cubic_sql(t: str, k: int) -> str:
+    """Weight of the k-th of four neighbours at distance t behind the second."""
+    d = (f"({t} + 1)", t, f"(1 - {t})", f"(2 - {t})")[k]
+    return f"(1.25 * {d} * {d} * {d} - 2.25 * {d} * {d} + 1)" if k in (1, 2) else f"(-0.75 * {d} * {d} * {d} + 3.75 * {d} * {d} - 6 * {d} + 3)"
+
+
+_WEIGHT = lambda t, k: f"case {k} " + " ".join(f"when {i} then {_cubic_sql(t, i)}" for i in range(4)) + " end"
+ROTATE_SQL = f"""(select s.img, s.y, s.x, {_BYTE.format(f"sum(q.v * ({_WEIGHT('fy', 'i.i')}) * ({_WEIGHT('fx', 'j.j')}))")} as v from (
+ select *, sy - floor(sy) as fy, sx - floor(sx) as fx from (select img, y, x, sin(radians(10)) * (x - 4) + cos(radians(10)) * (y - 4) + 4 as sy, cos(radians(10)) * (x - 4) - sin(radians(10)) * (y - 4) + 4 as sx from points) r) s,
+ range(0, 4) i(i), range(0, 4) j(j), points q where q.img = s.img and q.y = greatest(0, least(7, floor(sy) + i.i - 1)) and q.x = greatest(0, least(7, floor(sx) + j.j - 1)) group by s.img, s.y, s.x)"""
+_RASTER_SQL = {
+    "sharpen": SHARP_SQL,
+    "adaptive_gaussian": GAUSS_SQL,
+    "threshold": f"(select img, y, x, max(v) as v from (select img, y, x, v from {GAUSS_SQL} a union all select img, y, x, v from {MEAN_SQL} b union all select img, y, x, v from {OTSU_SQL} c) u group by all)",
+    "rotate": ROTATE_SQL,
+}
 for _name, _f in {"clahe": image.clahe, "sharpen": lambda g: image.sharpen(g, 1.0, 0.3), "denoise": image.denoise, "adaptive_gaussian": image.adaptive_gaussian, "threshold": image.threshold, "resize": lambda g: image.resize(g, 2.5), "edges": lambda g: image.edges(image.otsu(g)), "rotate": lambda g: image.rotate(g, 10.0)}.items():
-    _add(f"raster_{_name}", _pixels(_f))
+    _add(f"raster_{_name}", _pixels(_f), f"with points as {POINTS} select img, y, x, v from {_RASTER_SQL[_name]} f" if _name in _RASTER_SQL else None)
 _add("enhance", lambda s, d: rasters.map_pixels(_bgr(s, d), image.enhance).select("img", "height", "width", F.aggregate("pixels", F.lit(0), lambda a, v: a + v).alias("total")))
 _add(
     "scale_choice",
@@ -295,7 +329,7 @@ _add(
     "select o_orderkey, cast((o_orderkey % 5) * 90 as int) as rotation, (o_orderkey % 5) * 90 % 360 <> 0 as rotate from orders",
 )
 _add("service_health", lambda s, d: reports.health(s).drop("timestamp"))
-_add("service_description", lambda s, d: reports.describe(s))
+_add("service_description", lambda s, d: reports.describe(s), "select * from (values ('health', 'state of the engine'), ('analyze', 'how documents would be processed'), ('process', 'documents to text and fields'), ('batch', 'many documents with a summary')) t(name, purpose)")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
