@@ -408,6 +408,11 @@ def report(docs: DataFrame) -> DataFrame:
     return scan(docs, train(docs)).select("doc_id", *(count(k) for k in KINDS), F.sha2(show(F.col("base")).cast("binary"), 256).alias("base_sha256"), show(F.concat(*(of(k) for k in KINDS))).alias("spans"), F.size("added").cast("long").alias("n_added"))
 
 
+def base_report(docs: DataFrame) -> DataFrame:
+    """Of the report, what the base patterns alone decide."""
+    return report(docs).select("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256")
+
+
 def masked(value: str, spans: list[tuple[str, int, int]]) -> str:
     """The text with every span replaced by its kind in brackets; of overlapping spans, the stretch they cover together, once."""
     out, at = [], 0
@@ -438,3 +443,23 @@ def redact(docs: DataFrame, field: Field | None) -> DataFrame:
 
 def digest(spans: dict[str, list[tuple[int, int]]]) -> str:
     return hashlib.sha256(",".join(f"{k}:{s}:{e}" for k in KINDS for s, e in spans[k]).encode()).hexdigest()
+
+
+def _places_sql(pattern: str) -> str:
+    """Matches and their starts: what lies between the matches tells where they are."""
+    return f"""(select list_transform(range(1, len(m) + 1), lambda k: {{'m': m[k], 's': cast(coalesce(list_sum(list_transform(gaps[1:k], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0) as bigint)}})
+  from (select regexp_extract_all(t, '{pattern}') as m, string_split_regex(t, '{pattern}') as gaps) p)"""
+
+
+_TEN = "regexp_replace(x.m, '[^0-9]', '', 'g')"
+_LUHN_SQL = f"list_sum(list_transform(range(1, length({_TEN}) + 1), lambda i: case when (length({_TEN}) - i) % 2 = 0 then cast({_TEN}[i] as int) else cast({_TEN}[i] as int) * 2 - case when cast({_TEN}[i] as int) > 4 then 9 else 0 end end)) % 10 = 0"
+_SHOW_SQL = ", ".join(f"list_transform({k}, lambda x: '{k}:' || x.s || ':' || (x.s + length(x.m)))" for k in KINDS)
+#: base_report in DuckDB's SQL.
+BASE_SQL = rf"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+f as (select doc_id, {_places_sql(r'[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')} as email, {_places_sql(r'[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)')} as ip,
+ {_places_sql(r'[0-9]([\x20-]?[0-9])+')} as card, {_places_sql(r'\+[0-9][\x20().0-9-]+[0-9]')} as phone from d),
+g as (select doc_id, email, list_filter(ip, lambda x: list_max(list_transform(string_split(x.m, '.'), lambda p: case when length(ltrim(p, '0')) > 3 then 999 else cast('0' || ltrim(p, '0') as int) end)) <= 255) as ip,
+ list_filter(card, lambda x: length({_TEN}) between 13 and 19 and {_LUHN_SQL}) as card, list_filter(phone, lambda x: length({_TEN}) between 9 and 15) as phone from f)
+select doc_id, len(email) as n_email, len(ip) as n_ip, len(card) as n_card, len(phone) as n_phone, sha256(array_to_string(flatten([{_SHOW_SQL}]), ',')) as base_sha256 from g
+"""

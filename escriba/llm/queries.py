@@ -56,14 +56,19 @@ def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.base_report(read(spark, sf_dir, "documents"))
 
 
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op6."""
+    return pii.base_report(read(spark, sf_dir, "documents"))
+
+
 def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can say of op9."""
     return quality.base_report(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_licenses, op3_substring_dedup, op4_minhash, op5_token_count, op6_pii, op7_token_files, op8_byte_bpe, op9_quality, op10_decontaminate, license_base, quality_base)}
+    return {f.__name__: f for f in (op1_toxicity, op2_licenses, op3_substring_dedup, op4_minhash, op5_token_count, op6_pii, op7_token_files, op8_byte_bpe, op9_quality, op10_decontaminate, license_base, pii_base, quality_base)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_minhash": neardup.ORACLE_SQL, "op10_decontaminate": decontaminate.ORACLE_SQL, "license_base": licenses.BASE_SQL, "quality_base": quality.BASE_SQL}
+    return {"op4_minhash": neardup.ORACLE_SQL, "op10_decontaminate": decontaminate.ORACLE_SQL, "license_base": licenses.BASE_SQL, "pii_base": pii.BASE_SQL, "quality_base": quality.BASE_SQL}
