@@ -84,8 +84,9 @@ def resize(img: np.ndarray, scale: float) -> np.ndarray:
 def clahe(gray: np.ndarray, clip: float = 3.0, tiles: int = 8) -> np.ndarray:
     """Contrast-limited adaptive histogram equalisation: one look-up table for each tile, blended between tiles."""
     h, w = gray.shape
-    th, tw = -(-h // tiles), -(-w // tiles)
-    big = np.pad(gray, ((0, th * tiles - h), (0, tw * tiles - w)), mode="symmetric" if min(h, w) > 1 else "edge")
+    more = int(h % tiles > 0 or w % tiles > 0)  # either size that tiles don't divide makes both grow
+    th, tw = h // tiles + more, w // tiles + more
+    big = np.pad(gray, ((0, th * tiles - h), (0, tw * tiles - w)), mode="reflect")
     area = th * tw
     limit = max(1, int(clip * area / 256))
     tables = np.zeros((tiles, tiles, 256))

@@ -78,7 +78,7 @@ def duckdb(sql: str) -> str:
 
 
 def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """img, height, width and the pixels of each raster, row by row, as binary."""
+    """img, height, width and the pixels of each raster, row by row."""
     from pyspark.sql import functions as F
 
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")

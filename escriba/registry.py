@@ -299,7 +299,12 @@ _WEIGHT = lambda t, k: f"case {k} " + " ".join(f"when {i} then {_cubic_sql(t, i)
 ROTATE_SQL = f"""(select s.img, s.y, s.x, {_BYTE.format(f"sum(q.v * ({_WEIGHT('fy', 'i.i')}) * ({_WEIGHT('fx', 'j.j')}))")} as v from (
  select *, sy - floor(sy) as fy, sx - floor(sx) as fx from (select img, y, x, sin(radians(10)) * (x - 4) + cos(radians(10)) * (y - 4) + 4 as sy, cos(radians(10)) * (x - 4) - sin(radians(10)) * (y - 4) + 4 as sx from points) r) s,
  range(0, 4) i(i), range(0, 4) j(j), points q where q.img = s.img and q.y = greatest(0, least(7, floor(sy) + i.i - 1)) and q.x = greatest(0, least(7, floor(sx) + j.j - 1)) group by s.img, s.y, s.x)"""
+#: From the centres of 20 x 20 pixels to places among 8 x 8.
+RESIZE_SQL = f"""(select s.img, s.y, s.x, {_BYTE.format(f"sum(q.v * ({_WEIGHT('fy', 'i.i')}) * ({_WEIGHT('fx', 'j.j')}))")} as v from (
+ select *, sy - floor(sy) as fy, sx - floor(sx) as fx from (select img, cast(y as int) as y, cast(x as int) as x, (y + 0.5::double) / 2.5::double - 0.5::double as sy, (x + 0.5::double) / 2.5::double - 0.5::double as sx from (select distinct img from points) p, range(0, 20) a(y), range(0, 20) b(x)) r) s,
+ range(0, 4) i(i), range(0, 4) j(j), points q where q.img = s.img and q.y = greatest(0, least(7, floor(sy) + i.i - 1)) and q.x = greatest(0, least(7, floor(sx) + j.j - 1)) group by s.img, s.y, s.x)"""
 _RASTER_SQL = {
+    "resize": RESIZE_SQL,
     "sharpen": SHARP_SQL,
     "adaptive_gaussian": GAUSS_SQL,
     "threshold": f"(select img, y, x, max(v) as v from (select img, y, x, v from {GAUSS_SQL} a union all select img, y, x, v from {MEAN_SQL} b union all select img, y, x, v from {OTSU_SQL} c) u group by all)",
