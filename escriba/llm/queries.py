@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, licenses, neardup, pii, quality, substring_dedup, token_count, token_files, toxicity
+from . import annulus, byte_bpe, decontaminate, licenses, neardup, pii, posting_lists, quality, runs, substring_dedup, token_count, token_files, toxicity
 from .frames import read
 
 
@@ -47,6 +47,18 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op11_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return posting_lists.report(read(spark, sf_dir, "embeddings"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.report(read(spark, sf_dir, "documents"))
+
+
+def op13_annulus_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annulus.report(read(spark, sf_dir, "embeddings"))
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -67,8 +79,8 @@ def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_licenses, op3_substring_dedup, op4_minhash, op5_token_count, op6_pii, op7_token_files, op8_byte_bpe, op9_quality, op10_decontaminate, license_base, pii_base, quality_base)}
+    return {f.__name__: f for f in (op1_toxicity, op2_licenses, op3_substring_dedup, op4_minhash, op5_token_count, op6_pii, op7_token_files, op8_byte_bpe, op9_quality, op10_decontaminate, op11_posting_lists, op12_periodic_runs, op13_annulus_clusters, license_base, pii_base, quality_base)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_minhash": neardup.ORACLE_SQL, "op10_decontaminate": decontaminate.ORACLE_SQL, "license_base": licenses.BASE_SQL, "pii_base": pii.BASE_SQL, "quality_base": quality.BASE_SQL}
+    return {"op4_minhash": neardup.ORACLE_SQL, "op10_decontaminate": decontaminate.ORACLE_SQL, "op13_annulus_clusters": annulus.ORACLE_SQL, "license_base": licenses.BASE_SQL, "pii_base": pii.BASE_SQL, "quality_base": quality.BASE_SQL}
