@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import __version__
 from .config import Options
-from .operators.engines import Rasteriser, Recogniser, recognise_files
+from .functions import naming
+from .functions.corrections import correct
+from .operators.attempts import recognise_surely
+from .operators.engines import Rasteriser, Recogniser
 from .plans import analysis, drivers, reports
 from .sources.files import accepted, pdf_pages
+from .storage import keep
 
 
 def analyze(files: DataFrame, options: Options = Options()) -> DataFrame:
@@ -18,29 +23,32 @@ def analyze(files: DataFrame, options: Options = Options()) -> DataFrame:
 
 
 def _recognised(files: DataFrame, rasteriser: Rasteriser | None, recogniser: Recogniser | None, language: str, options: Options) -> DataFrame:
+    """A row for each page, its text corrected unless it is a note."""
     if rasteriser is None or recogniser is None:
-        return files.sparkSession.createDataFrame([], "doc_id long, page int, text string, confidence double, error string")
-    found = recognise_files(files, rasteriser, recogniser, language, options)
-    words = found.select("doc_id", "page", "pass_no", F.explode("conf").alias("conf"))
-    pages = drivers.recognise(found, words)
-    errors = found.groupBy("doc_id", "page").agg(F.first("error", ignorenulls=True).alias("failure"), F.first(F.when(F.col("error").isNotNull(), F.col("text")), ignorenulls=True).alias("instead"))
-    failed = F.col("failure").isNotNull()
-    return pages.join(errors, ["doc_id", "page"]).select("doc_id", "page", F.when(failed, F.col("instead")).otherwise(F.col("text")).alias("text"), F.when(failed, 0.0).otherwise(F.col("confidence")).alias("confidence"), F.nullif("failure", F.lit("")).alias("error"))
+        return files.sparkSession.createDataFrame([], "doc_id long, page int, text string, confidence double, error string, seconds double")
+    found = recognise_surely(files, rasteriser, recogniser, language, options)
+    return found.select("doc_id", "page", F.when(F.col("as_is"), F.col("text")).otherwise(correct(F.col("text"))).alias("text"), "confidence", "error", "seconds")
 
 
 def process(files: DataFrame, force_ocr: bool = False, language: str = "spa", rasteriser: Rasteriser | None = None, recogniser: Recogniser | None = None, options: Options = Options()) -> DataFrame:
-    """Text, fields and figures of each accepted file. Only files whose own text isn't good enough are rasterised and recognised; without engines their pages are missing."""
+    """Text, fields and figures of each accepted file, with processing_time (seconds that its pages took in tasks) and processed_at.
+
+    A file is parsed once and a page recognised once: both are kept in the shared folder before anything is made of them. Only files whose own text isn't good enough are rasterised
+    and recognised; without engines their pages are missing."""
     good = accepted(files).withColumns({"force_ocr": F.lit(force_ocr), "language": F.lit(language)})
-    pages = pdf_pages(good)
+    pages = keep(pdf_pages(good), "pages")
     way = good.select("doc_id", "filename", "force_ocr").join(analysis.analyze(pages, options).select("doc_id", "processing_recommendation"), "doc_id", "left")
     scans = way.where(analysis.route(F.col("filename"), F.col("force_ocr"), F.col("processing_recommendation")) != analysis.TEXT).select("doc_id")
-    results = _recognised(good.join(scans, "doc_id", "left_semi"), rasteriser, recogniser, language, options)
-    return drivers.process(good, pages, results, options)
+    results = keep(_recognised(good.join(scans, "doc_id", "left_semi"), rasteriser, recogniser, language, options), "recognised")
+    return drivers.process(good, pages, results, options).withColumn("processed_at", F.current_timestamp())
 
 
-def batch(files: DataFrame, batch_id: str, **kwargs) -> DataFrame:
-    """One row: counts and results of all accepted files; others are skipped and not counted."""
-    return reports.batch_summary(process(files, **kwargs).withColumn("batch_id", F.lit(batch_id)), "batch_id")
+def batch(files: DataFrame, batch_id: str, force_ocr: bool = False, language: str = "spa", options: Options = Options(), **engines) -> DataFrame:
+    """One row: counts and results of all accepted files, and how they were worked on; other files are skipped and not counted."""
+    done = process(files, force_ocr=force_ocr, language=language, options=options, **engines)
+    summary = reports.batch_summary(done.withColumn("batch_id", F.lit(batch_id)), "batch_id")
+    system = F.struct(F.lit(__version__).alias("version"), F.lit(files.sparkSession.sparkContext.defaultParallelism).alias("workers"), F.lit(options.dpi).alias("dpi"))
+    return summary.withColumns({"language": naming.language(F.lit(language)), "force_ocr": F.lit(force_ocr), "timestamp": F.current_timestamp(), "system_info": system})
 
 
 def health(spark: SparkSession, recogniser: Recogniser | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ libraries are imported where the work is done, on the executors, so the adapters
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from importlib.util import find_spec
 
@@ -68,12 +69,14 @@ class Tesseract:
 
         return int(pytesseract.image_to_osd(_picture(img), output_type=pytesseract.Output.DICT)["rotate"])
 
-    def words(self, img: np.ndarray, language: str, segmentation: str, model: str) -> tuple[str, list[float]]:
+    def words(self, img: np.ndarray, language: str, segmentation: str, model: str) -> tuple[Callable[[], str], list[float]]:
+        """The text is another run of the engine, made only if it is asked for."""
         import pytesseract
 
+        # The engine's options.
         config, page = f"--psm {segmentation} --oem {model} --dpi {self.dpi} -c preserve_interword_spaces=1", _picture(img)
         found = pytesseract.image_to_data(page, lang=language, config=config, output_type=pytesseract.Output.DICT)
-        return pytesseract.image_to_string(page, lang=language, config=config), [float(c) for c in found["conf"]]
+        return lambda: pytesseract.image_to_string(page, lang=language, config=config), [float(c) for c in found["conf"]]
 
     def text(self, img: np.ndarray, language: str) -> str:
         import pytesseract

@@ -12,6 +12,7 @@ FALLBACK_CONFIDENCE = 50.0
 MISSING, UNAVAILABLE = "[Página no procesada]", "[Página no disponible]"
 UNCONVERTED, CRASHED = "[Error convirtiendo página {page}: {why}]", "[Error procesando página {page}]"
 FAILED = "Error procesando página {page}: {why}"
+UNRECOGNISED = "Error en OCR: {why}"
 
 
 def separator(page: Column, pages: Column) -> Column:
@@ -48,15 +49,30 @@ def document_confidence(pages: DataFrame, options: Options = Options()) -> DataF
 
 
 def every_page(documents: DataFrame, results: DataFrame) -> DataFrame:
-    """A row for each page 1 to total_pages of documents (doc_id, total_pages), with its result (text, confidence, error) or, where there is none, the text MISSING at confidence 0."""
+    """A row for each page 1 to total_pages of documents (doc_id, total_pages), with its result (text, confidence, error, and seconds where results have them) or, where there is none, the text MISSING at confidence 0."""
     pages = documents.select("doc_id", "total_pages", F.explode(F.sequence(F.lit(1), F.col("total_pages").cast("int"))).alias("page")).where("total_pages > 0")
-    joined = pages.join(results.select("doc_id", "page", "text", "confidence", "error", F.lit(True).alias("recognised")), ["doc_id", "page"], "left")
-    return joined.select("doc_id", "total_pages", "page", F.when(F.col("recognised"), F.coalesce("text", F.lit(""))).otherwise(F.lit(MISSING)).alias("text"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "error", F.coalesce("recognised", F.lit(False)).alias("recognised"))
+    timed = ["seconds"] if "seconds" in results.columns else []
+    joined = pages.join(results.select("doc_id", "page", "text", "confidence", "error", *timed, F.lit(True).alias("recognised")), ["doc_id", "page"], "left")
+    return joined.select("doc_id", "total_pages", "page", F.when(F.col("recognised"), F.coalesce("text", F.lit(""))).otherwise(F.lit(MISSING)).alias("text"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "error", F.coalesce("recognised", F.lit(False)).alias("recognised"), *timed)
+
+
+def page_part(page: Column, total: Column, text: Column, error: Column) -> Column:
+    """What a page adds to its document: separator, text, and a note of its error."""
+    noted = F.when(F.coalesce(error, F.lit("")) != "", F.concat(F.lit("\n[ERROR: "), error, F.lit("]"))).otherwise(F.lit(""))
+    return F.concat(separator(page, total), text, noted)
+
+
+def document_of(pages: Column, total: Column, options: Options = Options()) -> list[Column]:
+    """text, processed_pages, low_confidence_pages and confidence (as in document_confidence) of a document from the array of its pages (page, text, confidence, error, recognised) in order."""
+    good = F.filter(pages, lambda p: p["recognised"] & (p["confidence"] > options.page_confidence))
+    n = F.size(good).cast("long")
+    mean = F.aggregate(good, F.lit(0.0), lambda a, p: a + p["confidence"]) / F.greatest(F.lit(1), n)
+    text = F.array_join(F.transform(pages, lambda p: page_part(p["page"], total, p["text"], p["error"])), "")
+    return [text.alias("text"), n.alias("processed_pages"), (total - n).alias("low_confidence_pages"), F.round(mean, 2).alias("confidence")]
 
 
 def assemble(pages: DataFrame) -> DataFrame:
     """doc_id and text: separators, page texts and error notes in page order. pages: doc_id, total_pages, page, text, error."""
-    noted = F.when(F.coalesce("error", F.lit("")) != "", F.concat(F.lit("\n[ERROR: "), F.col("error"), F.lit("]"))).otherwise(F.lit(""))
-    part = F.concat(separator(F.col("page"), F.col("total_pages")), F.col("text"), noted)
+    part = page_part(F.col("page"), F.col("total_pages"), F.col("text"), F.col("error"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", part.alias("part")))), lambda p: p["part"]), "")
     return pages.groupBy("doc_id").agg(joined.alias("text"))

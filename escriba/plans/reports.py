@@ -18,11 +18,19 @@ def stamped_name(name: Column, at: Column | None = None) -> Column:
     return F.concat(F.date_format(F.current_timestamp() if at is None else at, "yyyyMMdd_HHmmss"), F.lit("_"), name)
 
 
+def _iso(at: Column) -> Column:
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+
+
 def json_response(done: DataFrame, extract_fields: Column | bool = True, with_text: Column | bool = True, seconds: Column | None = None, at: Column | None = None) -> DataFrame:
     """doc_id and response. Absent values are left out: fields unless asked for and found, text unless the format is JSON, and processing_time (seconds,
-    to two decimals) and timestamp (at, as ISO 8601) unless they are given, so that answers can be compared."""
+    to two decimals) and timestamp (at, as ISO 8601) unless they are given or done has them (processing_time, processed_at)."""
+    if seconds is None and "processing_time" in done.columns:
+        seconds = F.col("processing_time")
+    if at is None and "processed_at" in done.columns:
+        at = F.col("processed_at")
     time = F.lit(None).cast("double") if seconds is None else F.round(seconds.cast("double"), 2)
-    moment = F.lit(None).cast("string") if at is None else F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    moment = F.lit(None).cast("string") if at is None else _iso(at)
     wanted, texts = (F.lit(x) if isinstance(x, bool) else x for x in (extract_fields, with_text))
     good = F.struct(
         F.lit(True).alias("success"),
@@ -42,7 +50,8 @@ def json_response(done: DataFrame, extract_fields: Column | bool = True, with_te
 
 
 def markdown_report(done: DataFrame, footer: Column | None = None) -> DataFrame:
-    """doc_id and report. The fields found are listed whatever the request asked for; footer: the last line (none, for comparable output)."""
+    """doc_id and report, with the time taken where done has it. The fields found are listed whatever the request asked for; footer: the last line (none, for comparable output)."""
+    took = [F.concat(F.lit("- **Tiempo**: "), F.round("processing_time", 2).cast("string"), F.lit("s"))] if "processing_time" in done.columns else []
     head = F.concat_ws(
         "\n",
         F.concat(F.lit("# Procesamiento OCR - "), "filename"),
@@ -51,6 +60,7 @@ def markdown_report(done: DataFrame, footer: Column | None = None) -> DataFrame:
         F.concat(F.lit("- **Archivo**: "), "filename"),
         F.concat(F.lit("- **Método**: "), "processing_method"),
         F.concat(F.lit("- **Páginas**: "), F.col("total_pages").cast("string")),
+        *took,
         F.concat(F.lit("- **Confianza**: "), F.col("confidence").cast("string"), F.lit("%")),
         F.concat(F.lit("- **Idioma**: "), "language"),
         F.concat(F.lit("- **Tamaño**: "), F.col("file_size_mb").cast("string"), F.lit("MB")),
@@ -67,14 +77,17 @@ def processed_footer() -> Column:
 
 
 def sidecar(done: DataFrame) -> DataFrame:
-    """doc_id and the JSON record kept beside each file's text, for failed files too."""
-    record = F.struct("filename", "success", F.col("total_pages").alias("pages"), F.coalesce("processing_method", F.lit("ocr")).alias("method"), "confidence", F.coalesce("key_values", F.create_map().cast("map<string,string>")).alias("extracted_fields"), "file_size_mb")
+    """doc_id and the JSON record kept beside each file's text, for failed files too; with processing_time and timestamp where done has them."""
+    took = [F.round("processing_time", 2).alias("processing_time")] if "processing_time" in done.columns else []
+    at = [_iso(F.col("processed_at")).alias("timestamp")] if "processed_at" in done.columns else []
+    record = F.struct("filename", "success", F.col("total_pages").alias("pages"), *took, F.coalesce("processing_method", F.lit("ocr")).alias("method"), "confidence", F.coalesce("key_values", F.create_map().cast("map<string,string>")).alias("extracted_fields"), *at, "file_size_mb")
     return done.select("doc_id", F.to_json(record).alias("record"))
 
 
 def batch_summary(done: DataFrame, *keys: str) -> DataFrame:
-    """Per batch (keys): total_files, successful, failed, and the files' results in order of doc_id; a failed file's reason stays hidden."""
-    result = F.struct("doc_id", "filename", "success", F.col("total_pages").alias("pages"), "confidence", F.when(~F.col("success"), F.lit(FAILED)).alias("error"))
+    """Per batch (keys): total_files, successful, failed, and the files' results in order of doc_id, with their processing_time where done has it; a failed file's reason stays hidden."""
+    took = [F.round("processing_time", 2).alias("processing_time")] if "processing_time" in done.columns else []
+    result = F.struct("doc_id", "filename", "success", F.col("total_pages").alias("pages"), *took, "confidence", F.when(~F.col("success"), F.lit(FAILED)).alias("error"))
     return done.groupBy(*keys).agg(F.count("*").alias("total_files"), F.count_if("success").alias("successful"), F.count_if(~F.col("success")).alias("failed"), F.array_sort(F.collect_list(result)).alias("results"))
 
 

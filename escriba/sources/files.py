@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.naming import allowed
 from .pdf import page_texts
 
-PAGES = "doc_id long, page int, text string, image_count int, error string"
+PAGES = "doc_id long, page int, text string, image_count int, error string, seconds double"
 
 
 def uploads(spark: SparkSession, folder: str) -> DataFrame:
@@ -43,15 +44,17 @@ def images(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pdf_pages(files: DataFrame, max_pages: int | None = None) -> DataFrame:
-    """A row for each page of PDF files (doc_id, content): its text, its images, or why it could not be read. A file that is no PDF gives no row.
+    """A row for each page of PDF files (doc_id, content): its text, its images, or why it could not be read, and its share of the seconds that parsing took. A file that is no PDF gives no row.
 
     max_pages limits what is parsed where only the first pages are wanted (routing): a filter on page would not reach the parser."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
+                began = time.monotonic()
                 rows = page_texts(batch.column(1)[i].as_py() or b"", max_pages)
                 if rows:
+                    share = (time.monotonic() - began) / len(rows)
                     yield pa.record_batch(
                         {
                             "doc_id": pa.array([batch.column(0)[i].as_py()] * len(rows), pa.int64()),
@@ -59,6 +62,7 @@ def pdf_pages(files: DataFrame, max_pages: int | None = None) -> DataFrame:
                             "text": pa.array([r[0] for r in rows], pa.string()),
                             "image_count": pa.array([r[1] for r in rows], pa.int32()),
                             "error": pa.array([r[2] for r in rows], pa.string()),
+                            "seconds": pa.array([share] * len(rows), pa.float64()),
                         }
                     )
 

@@ -223,7 +223,7 @@ def test_engine_survives_failures():
             return "t", [70.0]
 
     page = np.full((12, 12, 3), 200, np.uint8)
-    assert recognise_page(page, Broken(), "spa", Options(), enhance=False) == [(1, "t", [70.0]), (3, "t", [70.0])]
+    assert recognise_page(page, Broken(), "spa", Options(), enhance=False) == ("t", False, 70.0)
 
 
 def png(pixels: np.ndarray) -> bytes:

@@ -5,6 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from escriba import engine
+from escriba.config import Options
 from escriba.operators import adapters
 from escriba.operators.engines import Recorded
 from escriba.sources import files
@@ -69,7 +70,8 @@ def test_adapters(monkeypatch):
     monkeypatch.setitem(sys.modules, "pytesseract", ocr)
     monkeypatch.setitem(sys.modules, "PIL", pil)
     t = adapters.Tesseract()
-    assert t.words(img, "spa", "6", "3") == ("text", [-1.0, 90.0, 80.5]) and t.rotation(img) == 90 and t.text(img, "spa") == "text"
+    text, found = t.words(img, "spa", "6", "3")
+    assert text() == "text" and found == [-1.0, 90.0, 80.5] and t.rotation(img) == 90 and t.text(img, "spa") == "text"
     assert asked[0]["lang"] == "spa" and asked[0]["config"].startswith("--psm 6 --oem 3 --dpi 400")
 
 
@@ -81,17 +83,22 @@ def test_pages_that_fail(spark):
         def page(self, content, number, dpi):
             if number == 1:
                 raise ValueError("torn")
-            return None if number == 2 else np.full((4, 4, 3), number, np.uint8)
+            return None if number == 2 else np.full((number, 4, 3), 255, np.uint8)
 
     class Reader(Recorded):
         def text(self, img, language):
-            if img[0, 0, 0] == 3:
+            if img.shape[0] == 3:
                 raise ValueError("no ink")
             raise MemoryError
 
+        def words(self, img, language, segmentation, model):
+            if img.shape[0] != 3:
+                raise MemoryError
+            return "", []
+
     files = spark.createDataFrame([(1, "a.pdf", pdf([""] * 4), 1)], "doc_id long, filename string, content binary, length long")
-    text = engine.process(files.withColumns({"language": F.lit("spa")}), rasteriser=Pages(), recogniser=Reader()).first().text
-    assert [p.strip() for p in re.split(r"--- Página \d de \d ---", text)][1:] == ["[Error convirtiendo página 1: torn]\n[ERROR: torn]", "[Página no disponible]", "[ERROR: Error procesando página 3: no ink]", "[Error procesando página 4]\n[ERROR: MemoryError]"]
+    text = engine.process(files.withColumns({"language": F.lit("spa")}), rasteriser=Pages(), recogniser=Reader(), options=Options(scale=1.0)).first().text
+    assert [p.strip() for p in re.split(r"--- Página \d de \d ---", text)][1:] == ["[Error convirtiendo página 1: torn]\n[ERROR: torn]", "[Página no disponible]", "Error en OCR: no ink", "[Error procesando página 4]\n[ERROR: MemoryError]"]
 
 
 def test_engine(spark, tmp_path):
