@@ -12,7 +12,8 @@ from .functions.corrections import correct
 from .operators.attempts import recognise_surely
 from .operators.engines import Rasteriser, Recogniser
 from .plans import analysis, drivers, reports
-from .sources.files import accepted, pdf_pages
+from .sources.files import accepted, pdf_pages, uploads
+from .sources.page_source import folder_pages
 from .storage import keep
 
 
@@ -22,6 +23,13 @@ def analyze(files: DataFrame, options: Options = Options()) -> DataFrame:
     return analysis.analyze_files(good, pdf_pages(good, options.pages_to_route), options)
 
 
+def analyze_folder(spark: SparkSession, folder: str, options: Options = Options()) -> DataFrame:
+    """The same for the files of a folder, read by the page source: of each file only the pages that routing looks at are parsed, where they lie, and no file's content is a row."""
+    good = accepted(uploads(spark, folder).select("doc_id", "filename", "length"))
+    pages = folder_pages(spark, folder, ("page", "page_count", "text", "image_count")).where(F.col("page") <= options.pages_to_route)
+    return analysis.analyze_files(good, pages, options)
+
+
 def _recognised(files: DataFrame, rasteriser: Rasteriser | None, recogniser: Recogniser | None, language: str, options: Options) -> DataFrame:
     """A row for each page, its text corrected unless it is a note."""
     if rasteriser is None or recogniser is None:

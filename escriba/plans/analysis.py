@@ -17,16 +17,17 @@ def recommendation(length: Column, density: Column, has_images: Column, options:
 
 
 def analyze(pages: DataFrame, options: Options = Options()) -> DataFrame:
-    """Per doc_id of pages (doc_id, page from 1, text, image_count): flags, counts, density, recommendation, confidence and a sample of the text.
+    """Per doc_id of pages (doc_id, page from 1, text, image_count, and page_count where only the first pages are there): flags, counts, density, recommendation, confidence and a sample of the text.
 
     Only the first pages' texts go through the shuffle (one, by doc_id, after partial aggregation); all pages are counted.
     A page without text still adds its space; density is of the first pages' text over all pages."""
     first = F.col("page") <= options.pages_to_route
+    count = F.max("page_count").cast("long") if "page_count" in pages.columns else F.count("*")
     text = strip(collapse(F.coalesce("text", F.lit(""))))
     whole = F.array_join(F.transform(F.array_sort("parts"), lambda p: F.concat(p["text"], F.lit(" "))), "")
     out = (
         pages.groupBy("doc_id")
-        .agg(F.count("*").alias("page_count"), F.coalesce(F.sum(F.when(first, F.col("image_count"))), F.lit(0)).alias("images"), F.collect_list(F.when(first, F.struct("page", text.alias("text")))).alias("parts"))
+        .agg(count.alias("page_count"), F.coalesce(F.sum(F.when(first, F.col("image_count"))), F.lit(0)).alias("images"), F.collect_list(F.when(first, F.struct("page", text.alias("text")))).alias("parts"))
         .withColumn("whole", whole)
         .withColumn("text_length", F.length(strip(F.col("whole"))))
         .withColumn("text_density", F.col("text_length") / F.greatest(F.lit(1), F.col("page_count")))

@@ -14,6 +14,8 @@ from .functions.regex import sql_collapse, sql_strip
 from .operators import image, rasters
 from .plans import analysis, drivers, fixtures, recognition, reports
 from .plans.fixtures import duckdb, table
+from .storage import new_folder
+from .streaming import arriving
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -227,6 +229,21 @@ _add(
 _add("sidecar", lambda s, d: reports.sidecar(_named(_scanned(s, d))).select("doc_id", F.get_json_object("record", "$.method").alias("method"), F.get_json_object("record", "$.pages").alias("pages")), f"select doc_id, coalesce(processing_method, 'ocr') as method, cast(total_pages as varchar) as pages from ({SCAN_ROWS}) x")
 
 
+def _arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recognised pages as they would arrive, from files of a folder, put together by the stream; the page of another document, long after them, ends their waiting."""
+    folder = new_folder(spark, "arriving")
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.xxhash64("doc_id", "page"), F.lit(600)))
+    totals = table(spark, sf_dir, fixtures.OCR_FILES).where("total_pages > 0").select("doc_id", F.col("total_pages").cast("long").alias("total_pages"))
+    pages = totals.join(_results(spark, sf_dir), "doc_id").select("doc_id", "total_pages", "page", "text", "confidence", "error", F.lit(0.0).alias("seconds"), at.alias("at"))
+    last = spark.range(1).select(F.lit(-1).cast("long"), F.lit(1).cast("long"), F.lit(1), F.lit(""), F.lit(0.0), F.lit(None).cast("string"), F.lit(0.0), F.timestamp_seconds(F.lit(1_800_000_000)))
+    pages.union(last).write.parquet(f"{folder}/in")
+    arriving.follow(spark, f"{folder}/in", f"{folder}/out", f"{folder}/marks").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").where("doc_id >= 0")
+
+
+_add("process_arriving", lambda s, d: _arriving(s, d).select(*_SHOWN, _keys(), "text"), f"select * from ({SCAN_ROWS}) r where success")
+
+
 def _process(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every upload on its way; those that need recognition have no recogniser here, so their pages are missing."""
     pages = table(spark, sf_dir, fixtures.SINGLE_DOCS).withColumn("error", F.lit(None).cast("string"))

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.naming import stem
 from ..plans.reports import batch_summary, sidecar
+from .named_files import NAME as NAMED_FILES
+from .named_files import NamedFiles
 
 
 #: Documents for which a file each is written.
@@ -29,6 +31,23 @@ def write_text_files(done: DataFrame, folder: str) -> None:
     done.select("doc_id", "text").write.partitionBy("doc_id").option("lineSep", "\n").text(folder)
 
 
+def named(done: DataFrame) -> DataFrame:
+    """done with base: the file name without its extension, followed by _ and doc_id where several documents share it."""
+    based = done.withColumn("base", stem(F.col("filename")))
+    shared = based.groupBy("base").agg(F.count("*").alias("n")).where("n > 1").select("base", F.lit(True).alias("shared"))
+    joined = based.join(shared, "base", "left")
+    return joined.withColumn("base", F.when(F.col("shared") | (F.col("base") == ""), F.concat_ws("_", "base", F.col("doc_id").cast("string"))).otherwise(F.col("base"))).drop("shared")
+
+
+def write_documents(done: DataFrame, folder: str) -> None:
+    """Two files for each document, written where the documents are: NAME.txt with its text (of good ones), and NAME.json with its record. All appear together, or none."""
+    done.sparkSession.dataSource.register(NamedFiles)
+    rows = named(done).join(sidecar(done), "doc_id")
+    kinds = F.array(F.struct(F.lit(".json").alias("ending"), F.col("record").alias("content")), F.when(F.col("success"), F.struct(F.lit(".txt").alias("ending"), F.coalesce("text", F.lit("")).alias("content"))))
+    files = rows.select("base", F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("file"))
+    files.select(F.concat("base", "file.ending").alias("name"), F.col("file.content").alias("content")).write.format(NAMED_FILES).mode("append").save(folder)
+
+
 def write_records(done: DataFrame, folder: str) -> None:
     """The sidecars of all files, of failed ones too, as lines of JSON."""
     sidecar(done).select(F.col("record").alias("value")).write.text(folder)

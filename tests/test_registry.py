@@ -9,7 +9,7 @@ from escriba import registry
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables aren't here")
-NAMES = ["correct_tokens", "correct_full", "extract_fields_map", "analyze_pages", "analyze_files", "file_names", "request_errors", "best_pass", "process_scanned", "process_text", "markdown_report", "batch_summary", "process_uploads", "adaptive_mean", "otsu", "morphology", "skew_median", "raster_sharpen", "raster_adaptive_gaussian", "raster_threshold", "raster_rotate", "service_description"]
+NAMES = ["process_arriving", "correct_tokens", "correct_full", "extract_fields_map", "analyze_pages", "analyze_files", "file_names", "request_errors", "best_pass", "process_scanned", "process_text", "markdown_report", "batch_summary", "process_uploads", "adaptive_mean", "otsu", "morphology", "skew_median", "raster_sharpen", "raster_adaptive_gaussian", "raster_threshold", "raster_rotate", "service_description"]
 
 
 @pytest.fixture(scope="module")
