@@ -9,10 +9,11 @@ with the least doc_id as representative; (2) in each bucket every representative
 buckets whose members are then not all connected, with the one that has most links so far (the original of many copies); (4) what is
 still in several pieces (mostly texts that share a passage and no more) goes through a second, finer collection: 36 sub-hashes of 5
 minhashes each, made for these texts only. There a pair at 0.8 is missed with probability 1.1e-5 and one at 0.3 shares a table with 0.004.
-Of each piece and table one row is left before anything is joined, so that a piece of very many texts counts as one; pieces that share
+The least and the greatest piece of a table are known before anything is joined; pieces that share
 tables, directly or over others, are a cell. In a cell the texts outside its largest piece are compared with each other and with that
-piece, whose own texts are not compared again: both are cut into blocks, and a task compares two blocks, first sizes and 129 of 180
-minhashes on two bits (a pair at 0.8 has fewer with probability 1e-6), then full sets, and gives only links that join pieces.
+piece, whose own texts are not compared again: both are cut into blocks, and a task compares two blocks. A cell of more than CELL_BLOCKS blocks, such as very many texts that
+share a notice, is not compared as a whole: its texts meet in the tables that they share only, in the same way, so that their number counts once and not as a square. Two blocks are compared by sizes
+and by 129 of 180 minhashes on two bits (a pair at 0.8 has fewer with probability 1e-6), then full sets, and gives only links that join pieces.
 All links are confirmed on the texts themselves; a text that many are compared with is sent once for PART of them. Components come
 from confirmed links.
 
@@ -28,6 +29,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,8 @@ SHINGLE = 4
 PERCENT = 80
 #: Texts in a block of a cell, and shingles in it on average, at most; a task holds two blocks.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+#: In a cell of more blocks than that, texts meet only in the tables that they share.
+CELL_BLOCKS = 8
 #: Texts that are compared with one text in a row; beyond, another part begins, which any task may take.
 PART = 500
 
@@ -243,23 +247,39 @@ def _pieces(links: DataFrame) -> DataFrame:
     return components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("rep"), "component")
 
 
-def _cells(fine: DataFrame) -> DataFrame:
-    """The rows of fine (rep, node, component, n, bits, subs, shingles) that are to be compared: once for each pair of blocks (cell, lo, hi), with their own block."""
-    tables = fine.select("node", "component", F.explode(table_keys(FINE)).alias("key")).groupBy("key", "component").agg(F.count("*").alias("many"))
-    tables = frames.cut(tables)  # one row for each piece in a table
-    several = tables.groupBy("key").agg(F.min("component").alias("lead"), F.max("component").alias("other")).where("lead <> other").select("key", "lead")
-    stars = frames.compact(tables.join(several, "key").where("component <> lead").select(F.col("component").alias("a"), F.col("lead").alias("b")).distinct())
+def _dealt(members: DataFrame, unit: str) -> DataFrame:
+    """The rows of members (unit, rep, node, component, n, bits, shingles) once for each pair of blocks (unit, lo, hi) of their unit that they are compared in, with their own block."""
+    sizes = members.groupBy(unit, "component").agg(F.count("*").alias("texts"), F.sum("n").alias("shingles"))
+    plan = _plan(sizes, unit)
+    placed = members.join(frames.maybe_broadcast(frames.compact(plan), 40), unit).withColumn("block", F.when(F.col("component") == F.col("main"), F.col("small") + F.pmod("node", "large")).otherwise(F.pmod("node", "small")).cast("int"))
+    # blocks 0 .. small - 1 meet each other and all of the main piece's, small .. small + large - 1
+    last = F.when(F.col("block") < F.col("small"), F.col("small") + F.col("large") - 1).otherwise(F.col("small") - 1)
+    return placed.withColumn("with", F.explode(F.sequence(F.lit(0), last))).withColumn("lo", F.least("block", "with")).withColumn("hi", F.greatest("block", "with")).select(F.col(unit).alias("unit"), "lo", "hi", "block", "rep", "component", "n", "bits", "shingles")
+
+
+def _plan(sizes: DataFrame, unit: str) -> DataFrame:
+    """Of each unit its largest piece (main), and into how many blocks that (large) and all other texts (small) are dealt. sizes: unit, component, texts, shingles."""
+    blocks = lambda texts, shingles: F.ceil(F.greatest(texts / F.lit(BLOCK), shingles / F.lit(BLOCK_SHINGLES))).cast("int")
+    largest = F.max_by(F.struct("component", "texts", "shingles"), F.struct("texts", "component"))
+    plan = sizes.groupBy(unit).agg(largest.alias("main"), F.sum("texts").alias("texts"), F.sum("shingles").alias("shingles"))
+    return plan.select(unit, F.col("main.component").alias("main"), blocks(F.col("texts") - F.col("main.texts"), F.col("shingles") - F.col("main.shingles")).alias("small"), blocks(F.col("main.texts"), F.col("main.shingles")).alias("large"))
+
+
+def _compared(fine: DataFrame) -> list[DataFrame]:
+    """The rows of fine (rep, node, component, n, bits, subs, shingles) that are to be compared, dealt to pairs of blocks: of whole cells, and of the single tables of cells of many blocks."""
+    tables = fine.select("component", F.explode(table_keys(FINE)).alias("key"))
+    # least and greatest piece are combined in the tasks; only tables of several pieces are looked at again
+    several = frames.compact(tables.groupBy("key").agg(F.min("component").alias("lead"), F.max("component").alias("other")).where("lead <> other").select("key", "lead"))
+    stars = frames.compact(tables.join(frames.maybe_broadcast(several, 24), "key").where("component <> lead").select(F.col("component").alias("a"), F.col("lead").alias("b")).distinct())
     cells = _pieces(stars).select(F.col("rep").alias("component"), F.col("component").alias("cell"))
     members = fine.join(frames.maybe_broadcast(frames.compact(cells), 16), "component")
     sizes = members.groupBy("cell", "component").agg(F.count("*").alias("texts"), F.sum("n").alias("shingles"))
-    blocks = lambda texts, shingles: F.ceil(F.greatest(texts / F.lit(BLOCK), shingles / F.lit(BLOCK_SHINGLES))).cast("int")
-    largest = F.max_by(F.struct("component", "texts", "shingles"), F.struct("texts", "component"))
-    plan = sizes.groupBy("cell").agg(largest.alias("main"), F.sum("texts").alias("texts"), F.sum("shingles").alias("shingles"))
-    plan = plan.select("cell", F.col("main.component").alias("main"), blocks(F.col("texts") - F.col("main.texts"), F.col("shingles") - F.col("main.shingles")).alias("small"), blocks(F.col("main.texts"), F.col("main.shingles")).alias("large"))
-    placed = members.join(frames.maybe_broadcast(frames.compact(plan), 40), "cell").withColumn("block", F.when(F.col("component") == F.col("main"), F.col("small") + F.pmod("node", "large")).otherwise(F.pmod("node", "small")).cast("int"))
-    # blocks 0 .. small - 1 meet each other and all of the main piece's, small .. small + large - 1
-    last = F.when(F.col("block") < F.col("small"), F.col("small") + F.col("large") - 1).otherwise(F.col("small") - 1)
-    return placed.withColumn("with", F.explode(F.sequence(F.lit(0), last))).withColumn("lo", F.least("block", "with")).withColumn("hi", F.greatest("block", "with")).select("cell", "lo", "hi", "block", "rep", "component", "n", "bits", "shingles")
+    wide = frames.compact(_plan(sizes, "cell").where(F.col("small") > CELL_BLOCKS).select("cell"))
+    if not wide.limit(1).count():
+        return [_dealt(members.drop("subs"), "cell")]
+    wide = frames.maybe_broadcast(wide, 16)
+    in_tables = members.join(wide, "cell", "left_semi").withColumn("key", F.explode(table_keys(FINE))).drop("subs", "cell").join(frames.maybe_broadcast(several.select("key"), 16), "key", "left_semi")
+    return [_dealt(members.drop("subs").join(wide, "cell", "left_anti"), "cell"), _dealt(in_tables, "key")]
 
 
 def groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -292,7 +312,8 @@ def groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
         # every text of a doc_id is a node of its own here; nodes that share a number only share a block
         fine = signatures(again, k, FINE, True).where("n_shingles > 0").groupBy(F.col("doc_id").alias("rep"), "k1", "k2").agg(F.first("n_shingles").alias("n"), F.first("bits").alias("bits"), F.first("subs").alias("subs"), F.first("shingles").alias("shingles"))
         fine = frames.cut(fine.join(pieces, "rep", "left").withColumn("component", F.coalesce("component", "rep")).withColumn("node", F.xxhash64("rep", "k1", "k2")).drop("k1", "k2"))
-        third = frames.compact(_cells(fine).groupBy("cell", "lo", "hi").applyInArrow(lambda t: _links_between(t, percent), "a long, b long"))
+        between = [rows.groupBy("unit", "lo", "hi").applyInArrow(lambda t: _links_between(t, percent), "a long, b long") for rows in _compared(fine)]
+        third = frames.compact(reduce(DataFrame.unionByName, between).distinct())
         if third.limit(1).count():
             links = frames.compact(links.unionByName(confirm(third, docs, k, percent)).distinct())
             pieces = _pieces(links)

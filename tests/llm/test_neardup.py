@@ -106,3 +106,29 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(pairs, "u long, v long")).collect()}
     assert got == {x: find(x) for p in pairs if p[0] != p[1] for x in p}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def sharing(rng, n):
+    """Texts that share most of their words but aren't near-duplicates, and a few that are."""
+    passage = words(rng, 60, 10**6)
+    rows = [(i, passage + " " + words(rng, 40, 10**6)) for i in range(n)]
+    return rows + [(n + i, near(rng, rows[i * 7][1], 0.02)) for i in range(n // 20)]
+
+
+def test_many_texts_that_share_a_passage(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup, "CELL_BLOCKS", 2)
+    dealt = []
+    plain = neardup._compared
+
+    def counted(fine):
+        out = plain(fine)
+        dealt.append([rows.count() for rows in out])
+        return out
+
+    monkeypatch.setattr(neardup, "_compared", counted)
+    for n in (300, 600):
+        rows = sharing(random.Random(n), n)
+        assert sorted(tuple(r) for r in neardup.report(frame(spark, rows)).collect()) == sorted(neardup.brute_force(rows))
+    # two lists: of cells and of single tables; a cell as a whole would be n^2 / 8 rows
+    assert all(len(d) == 2 for d in dealt) and 0 < sum(dealt[1]) < 3 * sum(dealt[0]) and sum(dealt[1]) < 600 * 600 / 8 / 2

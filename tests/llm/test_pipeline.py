@@ -62,7 +62,7 @@ def test_stages(spark, tmp_path):
 @pytest.mark.parametrize("name", queries.oracle_sql())
 def test_oracles(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         con.sql(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
     df = queries.queries()[name](spark, "/root/testdata/sf0.001")
     rel = con.sql(queries.oracle_sql()[name])
@@ -73,5 +73,5 @@ def test_oracles(spark, name):
 
 
 def test_names():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries() if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries() if n.startswith("op")) == list(range(1, 14))
     assert set(queries.oracle_sql()) <= set(queries.queries())
