@@ -15,6 +15,7 @@ doc_id like any other: its rows are answered each for itself. An empty table has
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
@@ -61,6 +62,49 @@ TEMPLATES = [
     ("this is free and unencumbered software released into the public domain", "unlicense"),
 ]
 
+# Whole public texts, without their titles and names.
+TEXTS = [
+    (
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software
+        without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons
+        to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or
+        substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+        MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY,
+        WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+        "mit",
+    ),
+    (
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission
+        notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+        MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE,
+        DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+        "isc",
+    ),
+    (
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must
+        retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of
+        conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS
+        "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT
+        SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF
+        SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT
+        (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+        "bsd",
+    ),
+    (
+        """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+        Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+        1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the
+        product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+        3. This notice may not be removed or altered from any source distribution.""",
+        "zlib",
+    ),
+    (
+        """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code
+        form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
+        "unlicense",
+    ),
+]
+
 
 @dataclass(frozen=True)
 class Template:
@@ -70,7 +114,11 @@ class Template:
 
 
 def templates() -> list[Template]:
-    return [Template(tuple(t.split()), label, True) for t, label in BASE.items()] + [Template(tuple(t.split()), label, False) for t, label in TEMPLATES]
+    return [Template(tuple(t.split()), label, True) for t, label in BASE.items()] + [Template(tuple(t.split()), label, False) for t, label in TEMPLATES] + [Template(tuple(_WORD.findall(t.lower())), label, False) for t, label in TEXTS]
+
+
+#: Words of templates (ASCII).
+_WORD = re.compile("[0-9a-z]+")
 
 
 def _gram_table(every: list[Template], k: int) -> list[tuple[int, int, int]]:
@@ -78,8 +126,8 @@ def _gram_table(every: list[Template], k: int) -> list[tuple[int, int, int]]:
     out = []
     for number, t in enumerate(every):
         words = text.Words(*text.utf8(pa.array([" ".join(t.words)], pa.string())), text.ALNUM_WORDS)
-        if not k <= len(words) < k + 63:
-            raise ValueError(f"a template has {k} to {k + 62} words")
+        if len(words) < k:
+            raise ValueError(f"a template has {k} words at least")
         out += [(int(h), number, j) for j, h in enumerate(text.signed(text.windows(words.hashes(), k)))]
     return out
 
@@ -109,30 +157,23 @@ def candidates(docs: DataFrame, every: list[Template], k: int = K) -> DataFrame:
     table = spark.createDataFrame(_gram_table(every, k), "gram long, template int, at int")  # a fixed, small table
     sizes = F.array(*(F.lit(len(t.words)) for t in every))
     votes = grams(docs, k).select("doc_id", "mark", F.posexplode("grams").alias("pos", "gram")).join(F.broadcast(table), "gram")
-    # a bit for each template position: repeated rows of one text vote for the same bits
-    diagonals = votes.groupBy("doc_id", "mark", "template", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at"))).alias("seen"), F.min("at").alias("lo"), F.max("at").alias("hi"))
-    diagonals = diagonals.withColumn("size", F.get(sizes, F.col("template"))).withColumn("full", F.bit_count("seen") == F.col("size") - (k - 1))
+    # the positions of a template that vote, at most as many as it has: repeated rows of one text vote for the same ones
+    diagonals = votes.groupBy("doc_id", "mark", "template", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("seen"), F.min("at").alias("lo"), F.max("at").alias("hi"))
+    diagonals = diagonals.withColumn("size", F.get(sizes, F.col("template"))).withColumn("full", F.size("seen") == F.col("size") - (k - 1))
     order = Window.partitionBy("doc_id", "mark", "template").orderBy("diagonal")
     merged = (
         diagonals.withColumn("new", F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > NEAR, F.lit(True)).cast("int"))
         .withColumn("group", F.sum("new").over(order))
         .groupBy("doc_id", "mark", "template", "group", "size")
-        .agg(F.bit_or("seen").alias("seen"), F.min(F.col("diagonal") + F.col("lo")).alias("start"), F.max(F.col("diagonal") + F.col("hi") + k).alias("end"), F.array_sort(F.collect_list(F.when(F.col("full"), F.col("diagonal")))).alias("full"))
+        .agg(F.array_distinct(F.flatten(F.collect_list("seen"))).alias("seen"), F.min(F.col("diagonal") + F.col("lo")).alias("start"), F.max(F.col("diagonal") + F.col("hi") + k).alias("end"), F.array_sort(F.collect_list(F.when(F.col("full"), F.col("diagonal")))).alias("full"))
     )
     # words covered by the matched k-grams
-    covered = F.bit_count(_reduce_or([F.call_function("shiftleft", F.col("seen"), F.lit(j)) for j in range(k)]))
+    covered = F.size(F.array_distinct(F.flatten(F.transform("seen", lambda at: F.sequence(at, at + (k - 1))))))
     base = F.array(*(F.lit(t.base) for t in every))
     kept = merged.where((F.get(base, F.col("template")) & (F.size("full") > 0)) | (~F.get(base, F.col("template")) & (covered >= F.col("size") * (SIMILAR - 0.1))))
     return kept.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("template", "start", "end", "full")).alias("spans"))
 
 
-def _reduce_or(columns: list) -> object:
-    out = columns[0]
-    for c in columns[1:]:
-        out = out.bitwiseOR(c)
-    return out
-
-
 def similarity(words: list[str], template: tuple[str, ...]) -> float:
     """Of the best stretch: matching words in order, twice, by the words of both."""
     return SequenceMatcher(None, template, words, autojunk=False).ratio()

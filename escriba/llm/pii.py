@@ -36,8 +36,7 @@ SURE, ROUNDS = 0.7, 8
 AGREE = 2.0
 #: Documents with more nodes than this don't teach; all are searched.
 TEACH_NODES = 200
-#: Tokens longer than this are cut at characters that no kind may hold; every stretch with a digit or @ is a node.
-LONGEST = 320
+#: Tokens are cut at characters that no kind may hold; every stretch with a digit or @ is a node, however long its token is.
 _STRETCH = re.compile(r"[A-Za-z0-9._%+@()-]+")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -110,13 +109,13 @@ class Node:
 
 
 def nodes(value: str) -> list[Node]:
-    """Tokens with a digit or @, without the punctuation around them."""
+    """Stretches of tokens with a digit or @, without the punctuation around them."""
     out = []
     for m in _NODE.finditer(value):
-        long = m.end() - m.start() > LONGEST
-        for a, b in ((x.start() + m.start(), x.end() + m.start()) for x in _STRETCH.finditer(m[0])) if long else ((m.start(), m.end()),):
-            token = value[a:b]
-            if long and "@" not in token and not _DIGIT.search(token):
+        for x in _STRETCH.finditer(m[0]):
+            a, b = x.start() + m.start(), x.end() + m.start()
+            token = x[0]
+            if "@" not in token and not _DIGIT.search(token):
                 continue
             body = token.rstrip(_TRIM_RIGHT)
             lead = len(body) - len(body.lstrip(_TRIM_LEFT))
@@ -170,7 +169,7 @@ def features(node: Node) -> list[int]:
     parts = b.split(".")
     if len(parts) == 4 and all(p.isascii() and p.isdigit() for p in parts):
         on.append(32 if all(len(p) <= 3 and int(p) <= 255 for p in parts) else 33)
-    if "=" in b or '"' in node.before:
+    if "=" in node.before or '"' in node.before:
         on.append(34)
     if "/" in b or ":" in b:
         on.append(35)

@@ -12,8 +12,8 @@ An id is coded as up to two decisions:
 2. else the id itself, by the adaptive frequencies of order 0.
 
 Layout (little-endian): magic "EIDS", version u16, lanes u16, number of ids u32, CRC-32 of the ids as u32 values u32, highest
-id + 1 u32, bytes of a size u32 (2, or 4 if a lane has more than 65,535 words), then the number of 16-bit words of each lane, then the
-lanes' words. Words after a lane's last are read as 0, so a lane ends with the fewest words that name a number within its range.
+id + 1 u32, bytes of a size u32 (2, or 4 if a lane has more than 65,535 words), number of listed ids u32, the listed ids as u32, then the number of 16-bit words of each lane,
+then the lanes' words. Ids are listed (each id of the block once, ascending) where one is 2^17 or more; what is coded then are their places in the list. Words after a lane's last are read as 0, so a lane ends with the fewest words that name a number within its range.
 """
 
 from __future__ import annotations
@@ -27,13 +27,15 @@ import numpy as np
 from . import text
 
 MAGIC = b"EIDS"
-VERSION = 2
-HEAD = 24
+VERSION = 3
+HEAD = 28
+#: Blocks with higher ids list the ids that they hold.
+MOST_ID = 1 << 17
 LANES = 8192
 #: A lane has at least so many ids, so that short blocks have few lanes.
 LEAST_STEPS = 64
 
-#: Binary decisions have 16-bit probabilities, order 0 has 2^20 slots.
+#: Binary decisions have 16-bit probabilities, order 0 has 2^20 slots, or eight for every id if those are more.
 P_BITS, O_BITS = 16, 20
 _ONE = 1 << P_BITS
 _HASH_BITS = 18
@@ -111,7 +113,7 @@ class _Model:
     A context's entry holds the id that followed it, and in the low four bits how sure that is."""
 
     def __init__(self, lanes: int, top: int):
-        self.top = top
+        self.top, self.bits = top, max(O_BITS, (top - 1).bit_length() + 3)
         self.after1, self.after2 = np.zeros(top, dtype=np.int32), np.zeros(1 << _HASH_BITS, dtype=np.int32)
         self.counts = np.zeros(top, dtype=np.int64)
         self.seen: list[np.ndarray] = []
@@ -125,13 +127,13 @@ class _Model:
         if self.seen:
             self.counts += np.bincount(np.concatenate(self.seen), minlength=self.top)
             self.seen = []
-        room = (1 << O_BITS) - self.top
+        room = (1 << self.bits) - self.top
         f = 1 + self.counts * room // max(1, int(self.counts.sum()))
-        f[0] += (1 << O_BITS) - int(f.sum())
+        f[0] += (1 << self.bits) - int(f.sum())
         self.frequency = f.astype(np.uint64)
         self.below = (np.cumsum(f) - f).astype(np.uint64)
         # a logarithm of the frequency, 0..15, twice
-        self.size = np.searchsorted(1 << np.arange(1, 16), f, "right").astype(np.int32) * 2
+        self.size = np.searchsorted(1 << (np.arange(1, 16) + (self.bits - O_BITS)), f, "right").astype(np.int32) * 2
         self._slots: np.ndarray | None = None
 
     def slots(self) -> np.ndarray:
@@ -176,15 +178,16 @@ def _shape(n: int) -> tuple[int, int]:
 
 
 def encode(ids: np.ndarray) -> bytes:
-    """A block with these ids (below 2^17)."""
+    """A block with these ids, any of 32 bits."""
     ids = np.ascontiguousarray(ids, dtype=np.uint32)
     n = len(ids)
     lanes, steps = _shape(n)
-    top = int(ids.max()) + 1 if n else 1
-    if top > 1 << 17:
-        raise ValueError("ids must be below 131072")
+    coded, listed = ids, np.zeros(0, np.uint32)
+    if n and int(ids.max()) >= MOST_ID:
+        listed, coded = np.unique(ids, return_inverse=True)
+    top = int(coded.max()) + 1 if n else 1
     table = np.zeros(lanes * steps, dtype=np.int32)
-    table[:n] = ids
+    table[:n] = coded
     table = np.ascontiguousarray(table.reshape(lanes, steps).T)
     low, size = np.zeros(lanes, dtype=np.uint64), np.full(lanes, (1 << 64) - 1, dtype=np.uint64)
     out, filled = np.zeros((lanes, 2 * steps + 8), dtype=np.uint16), np.zeros(lanes, dtype=np.int64)
@@ -219,7 +222,7 @@ def encode(ids: np.ndarray) -> bytes:
         deep = np.flatnonzero(~hit)
         if len(deep):
             own = now[deep]
-            put(deep, model.below[own], model.frequency[own], O_BITS)
+            put(deep, model.below[own], model.frequency[own], model.bits)
         model.update(now, hit)
         if filled.max(initial=0) + 8 > out.shape[1]:
             out = np.concatenate([out, np.zeros((lanes, steps + 8), dtype=np.uint16)], axis=1)
@@ -235,7 +238,7 @@ def encode(ids: np.ndarray) -> bytes:
     out[every, filled + 1] = ((last >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16)
     filled += np.where(one_word, 1, 2)
     width = 2 if filled.max(initial=0) < 1 << 16 else 4
-    head = MAGIC + struct.pack("<HHIIII", VERSION, lanes, n, zlib.crc32(ids.astype("<u4").tobytes()), top, width)
+    head = MAGIC + struct.pack("<HHIIIII", VERSION, lanes, n, zlib.crc32(ids.astype("<u4").tobytes()), top, width, len(listed)) + listed.astype("<u4").tobytes()
     own = text.ragged(np.arange(lanes) * out.shape[1], filled)
     return head + filled.astype(f"<u{width}").tobytes() + out.ravel()[own].astype("<u2").tobytes()
 
@@ -246,14 +249,16 @@ def decode(block: bytes) -> np.ndarray:
         raise ValueError("not a block of ids")
     if len(block) < HEAD:
         raise ValueError("a block was cut off")
-    version, lanes, n, crc, top, width = struct.unpack_from("<HHIIII", block, 4)
+    version, lanes, n, crc, top, width, many = struct.unpack_from("<HHIIIII", block, 4)
     if version != VERSION or (lanes, n) != (_shape(n)[0], n):
         raise ValueError("a block of another version")
     steps = _shape(n)[1]
-    if width not in (2, 4) or len(block) < HEAD + width * lanes or len(block) % 2:
+    start = HEAD + 4 * many
+    if width not in (2, 4) or len(block) < start + width * lanes or len(block) % 2 or many not in (0, top):
         raise ValueError("a block was cut off")
-    sizes = np.frombuffer(block, f"<u{width}", lanes, HEAD).astype(np.int64)
-    words = np.frombuffer(block, "<u2", offset=HEAD + width * lanes)
+    listed = np.frombuffer(block, "<u4", many, HEAD)
+    sizes = np.frombuffer(block, f"<u{width}", lanes, start).astype(np.int64)
+    words = np.frombuffer(block, "<u2", offset=start + width * lanes)
     if len(words) != sizes.sum():
         raise ValueError("a block was cut off")
     words = np.append(words, np.zeros(4, np.uint16)).astype(np.uint64)
@@ -298,14 +303,16 @@ def decode(block: bytes) -> np.ndarray:
         now = model.guess
         deep = np.flatnonzero(~hit)
         if len(deep):
-            r = size[deep] >> np.uint64(O_BITS)
-            slot = np.minimum((code[deep] - low[deep]) // r, np.uint64((1 << O_BITS) - 1))
+            r = size[deep] >> np.uint64(model.bits)
+            slot = np.minimum((code[deep] - low[deep]) // r, np.uint64((1 << model.bits) - 1))
             own = model.slots()[slot]
             take(deep, r, model.below[own], model.frequency[own])
             now[deep] = own
         table[t] = now
         model.update(table[t], hit)
     ids = np.ascontiguousarray(table.T).ravel()[:n].astype(np.uint32)
+    if many:
+        ids = listed[ids]
     if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
         raise ValueError("a block's ids don't have its checksum")
     return ids

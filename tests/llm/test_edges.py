@@ -94,6 +94,28 @@ def test_spans_in_long_tokens():
     assert [n.body for n in pii.nodes(body[0])] == ["12.34.56.78"] and [len(n.body) for n in pii.nodes(body[1])] == [400]
 
 
+@pytest.mark.parametrize("n", [1, 300, 319, 320, 321, 5000])
+def test_tokens_of_any_length_are_cut_alike(n):
+    assert [x.body for x in pii.nodes("x" * n + "a=12.34.56.78|b")] == ["12.34.56.78"]
+    assert [x.body for x in pii.nodes("see (" + "x" * n + "/me@mail.example)")] == ["me@mail.example"]
+
+
+@pytest.mark.parametrize("number", range(len(licenses.TEXTS)))
+def test_whole_licenses(spark, number):
+    rng = random.Random(number)
+    body, label = licenses.TEXTS[number]
+    lines = body.split()
+    some = list(lines)
+    for i in rng.sample(range(len(some)), 3):
+        some[i] = "other"
+    rows = [(1, words(rng, 30, 10**6) + " " + body.upper() + " " + words(rng, 30, 10**6)), (2, " ".join(some)), (3, words(rng, 200, 10**6))]
+    got = {r.doc_id: r for r in licenses.report(frame(spark, rows)).collect()}
+    assert got[1].labels == got[2].labels == label and got[3].labels == ""
+    n = len(licenses._WORD.findall(body.lower()))
+    spans = {r.doc_id: [(s.label, s.start, s.end) for s in r.found] for r in licenses.scan(frame(spark, rows)).collect()}
+    assert any((a, b) == (30, 30 + n) for _, a, b in spans[1])
+
+
 def test_notices_and_ends_of_lines():
     prose = "The river rose in the night and the men went down to see what it had left there.\n" + " ".join(words(random.Random(i), 12, 10**4) + "." for i in range(8))
     notices = "We use cookies to make this site better.\nAll rights reserved 2024 by the owners.\nPlease sign in to your account.\nEnable JavaScript to go on.\n"

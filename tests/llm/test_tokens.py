@@ -152,8 +152,11 @@ def test_coder_learns_and_checks():
     for bad in (block[:-2], block[:40] + b"\0\0\0\0" + block[44:], b"NONE" + block[4:]):
         with pytest.raises(ValueError):
             range_coder.decode(bad)
-    with pytest.raises(ValueError):
-        range_coder.encode(np.array([1 << 17], dtype=np.uint32))
+    for most in (1 << 17) - 1, 1 << 17, 250_000, (1 << 32) - 1:
+        some = np.append(np.random.default_rng(most).integers(0, most, 3000, dtype=np.uint32), [most, 0, most]).astype(np.uint32)
+        assert (range_coder.decode(range_coder.encode(some)) == some).all()
+    wide = np.random.default_rng(3).integers(0, 1 << 32, 70_000, dtype=np.uint32)  # more listed ids than 2^16
+    assert (range_coder.decode(range_coder.encode(wide)) == wide).all()
 
 
 def test_blocks_of_text_are_smaller_than_order_0(word_encoder):
