@@ -4,7 +4,7 @@ Each shard (consecutive documents, at most SHARD_WORDS words; a longer document
 window less one word) is indexed once, in the task that read it. Every window of every benchmark item is searched through
 wavelet-tree ranks, its occurrences are located by sampled suffix positions, compared word by word (hashes first, then the bytes), and merged
 into removal spans. Documents are read once and nothing is shuffled; only spans and counts leave a task. A large benchmark is sent in
-blocks of BLOCK_BYTES; a task that has indexed its texts searches them for one block after another, and holds one at a time.
+blocks of BLOCK_BYTES; a task indexes a few slices of its texts, searches all of them for one block after another, and holds one block at a time.
 
 Rules: text lower-cased in A-Z; words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+; a window is `width` consecutive words of an
 item, an item of fewer words is one window, one without words has none. Null or wordless documents have no hits. Items
@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,9 @@ SHARD_WORDS = 400_000
 #: Benchmark texts of more bytes than this go in several blocks.
 BLOCK_BYTES = 2 << 20
 
+#: Slices that a task has indexed when it reads the blocks.
+AT_ONCE = 4
+
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
@@ -145,32 +149,49 @@ def shard_of(counts: np.ndarray, width: int) -> list[list[tuple[int, int, int]]]
     return [x for x in out if x]
 
 
-def scan(column: pa.Array, every: Iterable[Phrases], width: int = WIDTH) -> tuple[np.ndarray, list[list[str]], list[list[tuple[int, int]]]]:
-    """For each text: number of words, sorted names of items with an occurring window, merged spans of hit words. every: the blocks of the benchmark, each asked for once."""
-    words = text.Words(*text.utf8(column), text.ALNUM_WORDS)
-    hashes = words.hashes()
-    # the pieces of a shard lie next to each other but for wordless documents between them
-    shards = [Shard(words, hashes, int(words.first[x[0][0]]) + x[0][1], int(words.first[x[-1][0]]) + x[-1][2]) for x in shard_of(words.count, width)]
-    change = np.zeros(len(words) + 1, dtype=np.int64)
-    items: list[set[str]] = [set() for _ in range(len(column))]
-    for wanted in every if shards else ():
-        for shard in shards:
+class Scan:
+    """The texts of a slice, indexed, and what was found in them so far."""
+
+    def __init__(self, column: pa.Array, width: int = WIDTH):
+        self.words = text.Words(*text.utf8(column), text.ALNUM_WORDS)
+        hashes = self.words.hashes()
+        self.words.forget()
+        # the pieces of a shard lie next to each other but for wordless documents between them
+        first = self.words.first
+        self.shards = [Shard(self.words, hashes, int(first[x[0][0]]) + x[0][1], int(first[x[-1][0]]) + x[-1][2]) for x in shard_of(self.words.count, width)]
+        self.change = np.zeros(len(self.words) + 1, dtype=np.int64)
+        self.items: list[set[str]] = [set() for _ in range(len(column))]
+
+    def look(self, wanted: Phrases) -> None:
+        for shard in self.shards:
             at, length, number = shard.occurrences(wanted)
             # +1 at a start, -1 at an end; windows don't cross documents
-            np.add.at(change, at, 1)
-            np.add.at(change, at + length, -1)
-            for d, w in np.unique(np.stack([words.doc[at], number], axis=1), axis=0).tolist() if len(at) else ():
-                items[d].update(wanted.names[i] for i in wanted.owners[wanted.owner_first[w] : wanted.owner_first[w + 1]].tolist())
-    hit = np.cumsum(change)[:-1] > 0
-    edge = np.ones(len(words), dtype=bool)
-    edge[1:] = (hit[1:] != hit[:-1]) | (words.doc[1:] != words.doc[:-1])
-    cut = np.flatnonzero(edge)
-    stop = np.append(cut[1:], len(words))[: len(cut)]
-    spans: list[list[tuple[int, int]]] = [[] for _ in range(len(column))]
-    for s, e in zip(cut[hit[cut]].tolist(), stop[hit[cut]].tolist(), strict=True):
-        d = int(words.doc[s])
-        spans[d].append((s - int(words.first[d]), e - int(words.first[d])))
-    return words.count, [sorted(x) for x in items], spans
+            np.add.at(self.change, at, 1)
+            np.add.at(self.change, at + length, -1)
+            for d, w in np.unique(np.stack([self.words.doc[at], number], axis=1), axis=0).tolist() if len(at) else ():
+                self.items[d].update(wanted.names[i] for i in wanted.owners[wanted.owner_first[w] : wanted.owner_first[w + 1]].tolist())
+
+    def found(self) -> tuple[np.ndarray, list[list[str]], list[list[tuple[int, int]]]]:
+        """For each text: number of words, sorted names of items with an occurring window, merged spans of hit words."""
+        words = self.words
+        hit = np.cumsum(self.change)[:-1] > 0
+        edge = np.ones(len(words), dtype=bool)
+        edge[1:] = (hit[1:] != hit[:-1]) | (words.doc[1:] != words.doc[:-1])
+        cut = np.flatnonzero(edge)
+        stop = np.append(cut[1:], len(words))[: len(cut)]
+        spans: list[list[tuple[int, int]]] = [[] for _ in self.items]
+        for s, e in zip(cut[hit[cut]].tolist(), stop[hit[cut]].tolist(), strict=True):
+            d = int(words.doc[s])
+            spans[d].append((s - int(words.first[d]), e - int(words.first[d])))
+        return words.count, [sorted(x) for x in self.items], spans
+
+
+def scan(column: pa.Array, every: Iterable[Phrases], width: int = WIDTH) -> tuple[np.ndarray, list[list[str]], list[list[tuple[int, int]]]]:
+    """Scan.found() of some texts. every: the blocks of the benchmark, each asked for once."""
+    one = Scan(column, width)
+    for wanted in every if one.shards else ():
+        one.look(wanted)
+    return one.found()
 
 
 def blocks(benchmark: DataFrame, most: int | None = None) -> Iterator[list[tuple[str, str]]]:
@@ -202,16 +223,25 @@ def _one_at_a_time(shared: list) -> Iterator[Phrases]:
             vars(b).pop("_value", None)  # the worker reads it again for its next texts
 
 
+def _searched(slices: Iterator[tuple], shared: list, width: int) -> Iterator[tuple]:
+    """Of slices of rows (a batch and its texts) the batch and what Scan found. AT_ONCE slices are indexed, and then each block is read once for all of them."""
+    while some := [(rows, Scan(texts, width)) for rows, texts in islice(slices, AT_ONCE)]:
+        for wanted in _one_at_a_time(shared) if any(x.shards for _, x in some) else ():
+            for _, x in some:
+                x.look(wanted)
+        for rows, x in some:
+            yield rows, *x.found()
+
+
 def find_spans(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_words, items (ids as strings, sorted) and merged spans of hit words (end exclusive), a row per row of docs."""
     shared = _shared(benchmark, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text.slices(batch):
-                n, items, spans = scan(part.column(1), _one_at_a_time(shared), width)
-                found = pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], SPANS)
-                yield pa.record_batch({"doc_id": part.column(0), "n_words": pa.array(n, pa.int64()), "items": pa.array(items, pa.list_(pa.string())), "spans": found})
+        parts = ((part, part.column(1)) for batch in batches for part in text.slices(batch))
+        for part, n, items, spans in _searched(parts, shared, width):
+            found = pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], SPANS)
+            yield pa.record_batch({"doc_id": part.column(0), "n_words": pa.array(n, pa.int64()), "items": pa.array(items, pa.list_(pa.string())), "spans": found})
 
     return frames.doc_texts(docs).mapInArrow(run, "doc_id long, n_words long, items array<string>, spans array<struct<start:long,end:long>>")
 
@@ -232,11 +262,10 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> Dat
     shared = _shared(benchmark, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, texts in text.rows_with_text(batch):
-                n, _, spans = scan(texts, _one_at_a_time(shared), width)
-                hit = np.array([sum(e - s for s, e in x) for x in spans], dtype=np.int64)
-                yield rows.filter(pa.array((hit == 0) | (20 * hit < n)))
+        parts = (part for batch in batches for part in text.rows_with_text(batch))
+        for rows, n, _, spans in _searched(parts, shared, width):
+            hit = np.array([sum(e - s for s, e in x) for x in spans], dtype=np.int64)
+            yield rows.filter(pa.array((hit == 0) | (20 * hit < n)))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -101,7 +101,7 @@ def spans(raw: np.ndarray, offsets: np.ndarray, run: int = RUN, least_words: int
     end = np.where(short, stop, end)
     valid |= short
     alone = (enough <= stop) & (enough < end)
-    h = words.hashes()
+    h, other = text.fingerprints(text.eights(words.bytes), words.start, words.end, check=True)
     ends = np.where(enough <= stop, starts[np.minimum(enough, n)], len(words) + SURE_WORDS)
     piece = pieces(h, words.first[1:][words.doc], first_word, ends)
     a = np.concatenate([first_word[valid], first_word[alone], piece])
@@ -111,7 +111,8 @@ def spans(raw: np.ndarray, offsets: np.ndarray, run: int = RUN, least_words: int
     place = (idx - np.repeat(a, b - a)).astype(np.uint64)
     bounds = np.append(0, np.cumsum(b - a))[:-1]
     one = np.add.reduceat(text.mix(h[idx] + place * np.uint64(0x9E3779B97F4A7C15)), bounds)
-    two = np.add.reduceat(text.mix((h[idx] ^ np.uint64(0x5851F42D4C957F2D)) + place * np.uint64(0xD1342543DE82EF95)), bounds)
+    # words whose first numbers clash differ in the second
+    two = np.add.reduceat(text.mix((other[idx] ^ np.uint64(0x5851F42D4C957F2D)) + place * np.uint64(0xD1342543DE82EF95)), bounds)
     return words.doc[a], a - words.first[words.doc[a]], b - a, one, two
 
 

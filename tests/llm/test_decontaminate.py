@@ -4,10 +4,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from escriba.llm import decontaminate
+from escriba.llm import decontaminate, text
 from escriba.llm.fm_index import FMIndex, suffix_array, symbols
 
-from .conftest import frame
+from .conftest import frame, words
 
 
 def data():
@@ -85,3 +85,25 @@ def test_index():
             want = [i for i in range(len(text) - 3) if (text[i : i + 4] == p).all()]
             assert sorted(index.locate(np.arange(a, b)).tolist()) == want
     assert symbols(np.array([0, 2**63], np.uint64)).min() >= 1
+
+
+def test_blocks_are_read_once_for_many_slices(spark, monkeypatch):
+    """Small slices and blocks: every block is asked for once for AT_ONCE slices, and the rows are those of plain comparison."""
+    rng = random.Random(21)
+    items = [(str(i), words(rng, rng.choice([3, 13, 40]), 60)) for i in range(30)]
+    docs = [(i, words(rng, 60, 60) + " " + items[i % 30][1]) for i in range(90)]
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 400)
+    batch = pa.record_batch({"doc_id": pa.array([d for d, _ in docs], pa.int64()), "text": pa.array([t for _, t in docs])})
+    shared = [decontaminate.phrases(b) for b in decontaminate.blocks(spark.createDataFrame(items, "item_id string, text string"))]
+    asked = []
+
+    def one_at_a_time(blocks):
+        for b in blocks:
+            asked.append(1)
+            yield b
+
+    monkeypatch.setattr(decontaminate, "_one_at_a_time", one_at_a_time)
+    parts = [(p, p.column(1)) for p in text.slices(batch, most=1500)]
+    got = [(d, int(n), sum(e - s for s, e in c), len(b)) for rows, ns, bs, cs in decontaminate._searched(iter(parts), shared, 13) for d, n, b, c in zip(rows.column(0).to_pylist(), ns, bs, cs, strict=True)]
+    assert got == [r[:4] for r in decontaminate.brute_force(docs, items)]
+    assert len(shared) > 3 and len(parts) > 8 and len(asked) == len(shared) * -(-len(parts) // decontaminate.AT_ONCE)

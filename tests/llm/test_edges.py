@@ -7,6 +7,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from escriba.llm import byte_bpe, decontaminate, licenses, neardup, pii, quality, substring_dedup, text, token_count, token_files, toxicity
 
 from .conftest import frame, words
@@ -51,6 +52,18 @@ def test_stages_keep_columns_and_rows_without_an_id(tables, stage):
     assert all((r["__text"], r["__gone"], r.gone, r.mark) == ("t", 5, 6, 3) for r in rows)
 
 
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES])
+def test_stages_take_edges_and_nothing(spark, tmp_path, edges, empty, stage):
+    """Every stage on null, empty, long and repeated texts beside columns of clashing names, and on empty tables."""
+    spark.createDataFrame([(900, 1, 1), (903, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert stage(spark, empty, str(tmp_path)).collect() == []
+    got = sorted(r.doc_id for r in stage(spark, edges, str(tmp_path)).collect())
+    assert got == sorted(r.doc_id for r in edges.collect())
+    nobody = stage(spark, frame(spark, ROWS), str(tmp_path)).collect()
+    assert sum(r.doc_id is None for r in nobody) == 3
+
+
 def exchanged():
     rng = random.Random(5)
     a = [rng.choice("etaoinsr") for _ in range(70_000)]
