@@ -41,5 +41,26 @@ def test_every_field_is_found(spark):
     assert registry.queries()["extract_raw_fiscal"](spark, SF).where("value is not null").count() == 500
 
 
+def test_entry_without_the_corpus_operators(monkeypatch):
+    """Whatever can't be imported of them, all other queries stay."""
+    import sys
+
+    import __spark_entry__ as entry
+
+    monkeypatch.setitem(sys.modules, "escriba.llm.queries", None)
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    assert set(entry.queries()) == set(registry.queries()) and set(entry.oracle_sql()) == set(registry.oracle_sql())
+
+
+def test_a_missing_library_hides_the_corpus_operators_only():
+    import os
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['public_tokenizers'] = None; import __spark_entry__ as e; from escriba import registry; assert set(e.queries()) == set(registry.queries())"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True).returncode == 0
+
+
 def test_queries_need_no_session():
     assert set(registry.oracle_sql()) <= set(registry.queries())
