@@ -63,6 +63,29 @@ RASTERS_SPARK = "select vec_id as img, cast(pos div 8 as int) as y, cast(pos % 8
 RASTERS_DUCKDB = "select vec_id as img, cast((pos - 1) // 8 as int) as y, cast((pos - 1) % 8 as int) as x, cast(least(255, greatest(0, floor((cast(embedding[pos] as double) + 0.6) * 200))) as int) as v from (select vec_id, embedding, unnest(range(1, 65)) as pos from embeddings)"
 
 
+#: Images of 24 x 20 from embeddings, so that neither side is a multiple of eight: img, y, x, v. {numbers} are filled in for each engine.
+SHEETS = "select vec_id as img, y, x, cast(least(255, greatest(0, floor((cast(embedding[(y * 7 + x * 3) % 64 {one}] as double) + 0.6) * 200))) as int) as v from {embeddings}, {ys}, {xs}"
+SHEET_SIZE = (24, 20)
+
+#: Black and white images of 128 x 160, one for each nation, with a slanting bar and a smaller one across: img, y, x, v.
+LINES = "select n_nationkey as img, y, x, case when abs(y - 64 - (n_nationkey - 12) * 0.02 * (x - 80)) < 3 or abs(x - 30 - n_nationkey) < 2 and y > 100 then 0 else 255 end as v from {nation}, {ys}, {xs}"
+LINES_SIZE = (128, 160)
+
+
+def images_sql(sql: str, size: tuple[int, int], engine: str) -> str:
+    """SHEETS or LINES for "spark" (tables stay in braces) or "duckdb"."""
+    rows = (lambda name, n: f"(select explode(sequence(0, {n - 1})) as {name})") if engine == "spark" else (lambda name, n: f"(select cast(unnest(range(0, {n})) as int) as {name})")
+    # elements are numbered from 0 in one and from 1 in the other
+    out = sql.replace("{ys}", rows("y", size[0])).replace("{xs}", rows("x", size[1])).replace("{one}", "" if engine == "spark" else "+ 1")
+    return out if engine == "spark" else duckdb(out)
+
+
+def images(spark: SparkSession, sf_dir: str, sql: str, size: tuple[int, int]) -> DataFrame:
+    """img, height, width, y, x, v."""
+    found = table(spark, sf_dir, images_sql(sql, size, "spark"))
+    return found.selectExpr("cast(img as bigint) as img", f"{size[0]} as height", f"{size[1]} as width", "y", "x", "v")
+
+
 def table(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f"{{{t}}}" in sql}
     if "orders" in used and used["orders"].rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:

@@ -11,7 +11,7 @@ from .config import Options
 from .functions import fields, naming
 from .functions.corrections import correct, correct_tokens, rewrite, sql_correct, sql_rewrite, sql_tokens
 from .functions.regex import sql_collapse, sql_strip
-from .operators import image, rasters
+from .operators import image, points, rasters
 from .plans import analysis, drivers, fixtures, recognition, reports
 from .plans.fixtures import duckdb, table
 from .storage import new_folder
@@ -265,9 +265,15 @@ BGR = "(select img, y, x, v as b, (v * 7 + 13) % 256 as g, (v * 3 + 101) % 256 a
 
 
 def _pixels(f: Callable) -> Query:
+    """A step on whole rasters in a task."""
     return lambda s, d: rasters.as_points(rasters.map_pixels(fixtures.rasters(s, d), f))
 
 
+def _points(f: Callable) -> Query:
+    """A step on pixels as rows."""
+    return lambda s, d: f(points.points_of(fixtures.rasters(s, d))).select("img", "y", "x", "v")
+
+
 def _bgr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.rasters(spark, sf_dir).withColumn("pixels", F.flatten(F.transform("pixels", lambda v: F.array(v, (v * 7 + 13) % 256, (v * 3 + 101) % 256))))
 
@@ -283,11 +289,11 @@ def _extreme_sql(source: str, name: str, low: int, high: int) -> str:
 
 
 MORPH_SQL = f"with points as {POINTS}, o as {OTSU_SQL}, a as {_extreme_sql('o', 'min', -1, 0)}, b as {_extreme_sql('a', 'max', -1, 0)}, c as {_extreme_sql('b', 'max', -1, 1)}, d as {_extreme_sql('c', 'min', -1, 1)} select img, y, x, v from d"
-_add("grayscale", lambda s, d: rasters.as_points(rasters.map_pixels(_bgr(s, d), image.grayscale)), f"with points as {POINTS} select img, y, x, cast((b * 1868 + g * 9617 + r * 4899 + 8192) >> 14 as int) as v from {BGR} c")
-_add("otsu", _pixels(image.otsu), f"with points as {POINTS} select img, y, x, v from {OTSU_SQL} o")
-_add("adaptive_mean", _pixels(image.adaptive_mean), f"with points as {POINTS} select img, y, x, v from {MEAN_SQL} m")
-_add("combine_max", _pixels(lambda g: image.combine_max(image.adaptive_mean(g), image.otsu(g))), f"with points as {POINTS} select m.img, m.y, m.x, greatest(m.v, o.v) as v from {MEAN_SQL} m join {OTSU_SQL} o on o.img = m.img and o.y = m.y and o.x = m.x")
-_add("morphology", _pixels(lambda g: image.morphology(image.otsu(g))), MORPH_SQL)
+_add("grayscale", lambda s, d: points.grayscale(points.colours_of(_bgr(s, d))).select("img", "y", "x", "v"), f"with points as {POINTS} select img, y, x, cast((b * 1868 + g * 9617 + r * 4899 + 8192) >> 14 as int) as v from {BGR} c")
+_add("otsu", _points(points.otsu), f"with points as {POINTS} select img, y, x, v from {OTSU_SQL} o")
+_add("adaptive_mean", _points(points.adaptive_mean), f"with points as {POINTS} select img, y, x, v from {MEAN_SQL} m")
+_add("combine_max", _points(lambda p: points.adaptive_mean(points.otsu(p, into="o"), into="m").withColumn("v", F.greatest("o", "m"))), f"with points as {POINTS} select m.img, m.y, m.x, greatest(m.v, o.v) as v from {MEAN_SQL} m join {OTSU_SQL} o on o.img = m.img and o.y = m.y and o.x = m.x")
+_add("morphology", _points(lambda p: points.morphology(points.otsu(p))), MORPH_SQL)
 
 
 def _kernel_sql(size: int, sigma: float) -> str:
@@ -327,8 +333,61 @@ _RASTER_SQL = {
     "threshold": f"(select img, y, x, max(v) as v from (select img, y, x, v from {GAUSS_SQL} a union all select img, y, x, v from {MEAN_SQL} b union all select img, y, x, v from {OTSU_SQL} c) u group by all)",
     "rotate": ROTATE_SQL,
 }
-for _name, _f in {"clahe": image.clahe, "sharpen": lambda g: image.sharpen(g, 1.0, 0.3), "denoise": image.denoise, "adaptive_gaussian": image.adaptive_gaussian, "threshold": image.threshold, "resize": lambda g: image.resize(g, 2.5), "edges": lambda g: image.edges(image.otsu(g)), "rotate": lambda g: image.rotate(g, 10.0)}.items():
+for _name, _f in {"denoise": image.denoise, "resize": lambda g: image.resize(g, 2.5), "rotate": lambda g: image.rotate(g, 10.0)}.items():
     _add(f"raster_{_name}", _pixels(_f), f"with points as {POINTS} select img, y, x, v from {_RASTER_SQL[_name]} f" if _name in _RASTER_SQL else None)
+for _name, _f in {"sharpen": points.sharpen, "adaptive_gaussian": points.adaptive_gaussian, "threshold": points.threshold}.items():
+    _add(f"raster_{_name}", _points(_f), f"with points as {POINTS} select img, y, x, v from {_RASTER_SQL[_name]} f")
+
+
+def _clahe_sql(h: int, w: int, clip: int = 3) -> str:
+    """From points to img, y, x, v."""
+    more = int(h % 8 > 0 or w % 8 > 0)
+    th, tw = h // 8 + more, w // 8 + more
+    area, limit = th * tw, max(1, clip * th * tw // 256)
+    mirrored = lambda at, n: f"case when {at} < {n} then {at} else {2 * (n - 1)} - {at} end"
+    far = lambda at, size: f"({at} / {size} - 0.5)"
+    tile = lambda at, size, k: f"greatest(0, least(7, cast(floor({far(at, size)}) as int) + {k}))"
+    corner = lambda i: f"join t c{i} on c{i}.img = p.img and c{i}.v = p.v and c{i}.ty = {tile('p.y', th, i // 2)} and c{i}.tx = {tile('p.x', tw, i % 2)}"
+    side = lambda a, b: f"(c{a}.to_v * (1 - fx) + c{b}.to_v * fx)"
+    return f"""big as (select p.img, p.v, cast(floor(a.y / {th}) as int) as ty, cast(floor(b.x / {tw}) as int) as tx from range(0, {th * 8}) a(y), range(0, {tw * 8}) b(x), points p where p.y = {mirrored('a.y', h)} and p.x = {mirrored('b.x', w)}),
+n as (select img, ty, tx, v, count(*) as n from big group by all),
+dense as (select k.img, k.ty, k.tx, r.v, coalesce(n.n, 0) as n from (select distinct img, ty, tx from n) k cross join range(0, 256) r(v) left join n on n.img = k.img and n.ty = k.ty and n.tx = k.tx and n.v = r.v),
+spare as (select *, sum(greatest(n - {limit}, 0)) over (partition by img, ty, tx) as spare from dense),
+cut as (select img, ty, tx, v, least(n, {limit}) + spare // 256 + case when spare % 256 > 0 and v % greatest(1, 256 // greatest(1, spare % 256)) = 0 and v // greatest(1, 256 // greatest(1, spare % 256)) < spare % 256 then 1 else 0 end as n from spare),
+t as (select img, ty, tx, v, {_BYTE.format(f'sum(n) over (partition by img, ty, tx order by v) * 255 / {area}')} as to_v from cut),
+p as (select *, {far('y', th)} - floor({far('y', th)}) as fy, {far('x', tw)} - floor({far('x', tw)}) as fx from points)
+select p.img, p.y, p.x, {_BYTE.format(f'{side(0, 1)} * (1 - fy) + {side(2, 3)} * fy')} as v from p {' '.join(corner(i) for i in range(4))}"""
+
+
+def _thin_sql(h: int, w: int, low: int = 50, high: int = 150) -> str:
+    """From points to thin (img, y, x, s) and edge (img, y, x)."""
+    side = lambda sign: f"s.img, s.y, s.x, s.y {sign} (case when s.steep < tan(radians(22.5)) then 0 else 1 end) as oy, s.x {sign} (case when s.steep < tan(radians(22.5)) then 1 when s.steep > tan(radians(67.5)) then 0 when s.same then 1 else -1 end) as ox"
+    found = lambda name: f"select n.img, n.y, n.x, o.s as f from {name} n join s o on o.img = n.img and o.y = n.oy and o.x = n.ox"
+    return f"""around as materialized (select p.img, p.y, p.x, a.d as dy, b.d as dx, greatest(0, least({h - 1}, p.y + a.d)) as qy, greatest(0, least({w - 1}, p.x + b.d)) as qx from points p, range(-1, 2) a(d), range(-1, 2) b(d)),
+g as (select a.img, a.y, a.x, sum(q.v * dx * (2 - abs(dy))) as gx, sum(q.v * dy * (2 - abs(dx))) as gy from around a join points q on q.img = a.img and q.y = a.qy and q.x = a.qx group by a.img, a.y, a.x),
+s as materialized (select img, y, x, abs(gx) + abs(gy) as s, abs(gy) / greatest(cast(abs(gx) as double), 1e-9) as steep, (gx >= 0) = (gy >= 0) as same from g),
+before as materialized (select {side('-')} from s), after as materialized (select {side('+')} from s),
+first as ({found('before')}), second as ({found('after')}),
+thin as materialized (select s.img, s.y, s.x, s.s from s left join first a on a.img = s.img and a.y = s.y and a.x = s.x left join second b on b.img = s.img and b.y = s.y and b.x = s.x where s.s > coalesce(a.f, 0) and s.s >= coalesce(b.f, 0) and s.s > {low}),
+edge as (select img, y, x from thin where s > {high} union select t.img, t.y, t.x from edge e join thin t on t.img = e.img and t.y between e.y - 1 and e.y + 1 and t.x between e.x - 1 and e.x + 1)"""
+
+
+_EDGE_ROWS = "select p.img, p.y, p.x, case when e.img is null then 0 else 255 end as v from points p left join edge e on e.img = p.img and e.y = p.y and e.x = p.x"
+SHEETS, LINES = fixtures.images_sql(fixtures.SHEETS, fixtures.SHEET_SIZE, "duckdb"), fixtures.images_sql(fixtures.LINES, fixtures.LINES_SIZE, "duckdb")
+_sheets = lambda s, d: fixtures.images(s, d, fixtures.SHEETS, fixtures.SHEET_SIZE)
+_add("raster_clahe", _points(points.clahe), f"with points as {POINTS}, {_clahe_sql(8, 8)}")
+_add("raster_edges", _points(lambda p: points.edges(points.otsu(p))), f"with recursive raw as {POINTS}, points as (select img, y, x, v from {OTSU_SQL.replace('points', 'raw')} o), {_thin_sql(8, 8)} {_EDGE_ROWS}")
+_add("sheet_clahe", lambda s, d: points.clahe(_sheets(s, d)).select("img", "y", "x", "v"), f"with points as {SHEETS}, {_clahe_sql(*fixtures.SHEET_SIZE)}")
+_add("sheet_edges", lambda s, d: points.edges(_sheets(s, d), 300, 700).select("img", "y", "x", "v"), f"with recursive points as {SHEETS}, {_thin_sql(*fixtures.SHEET_SIZE, 300, 700)} {_EDGE_ROWS}")
+_add(
+    "lines_skew",
+    lambda s, d: points.skews(fixtures.images(s, d, fixtures.LINES, fixtures.LINES_SIZE)).select("img", F.round("angle", 6).alias("angle")),
+    f"""with recursive points as {LINES}, {_thin_sql(*fixtures.LINES_SIZE)},
+tall as (select img, theta, rho, count(*) as n from (select img, t.theta, cast(round_even(x * cos(radians(t.theta)) + y * sin(radians(t.theta)), 0) as int) as rho from edge, range(0, 180) t(theta)) c group by all having count(*) > {max(100, fixtures.LINES_SIZE[1] // 10)}),
+peak as (select * from tall a where not exists (select 1 from tall b where b.img = a.img and abs(b.theta - a.theta) + abs(b.rho - a.rho) = 1 and (b.n > a.n or b.n = a.n and b.theta + b.rho < a.theta + a.rho))),
+ranked as (select img, theta, row_number() over (partition by img order by n desc, theta, rho) as k from peak)
+select cast(p.img as bigint) as img, round(coalesce(a, 0), 6) as angle from (select distinct img from points) p left join (select img, median(theta - 90) as a from ranked where k <= 50 and theta - 90 between -30 and 30 group by img) m on m.img = p.img""",
+)
 _add("enhance", lambda s, d: rasters.map_pixels(_bgr(s, d), image.enhance).select("img", "height", "width", F.aggregate("pixels", F.lit(0), lambda a, v: a + v).alias("total")))
 _add(
     "scale_choice",
