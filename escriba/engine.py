@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +53,31 @@ def process(files: DataFrame, force_ocr: bool = False, language: str = "spa", ra
     return drivers.process(good, pages, results, options).withColumn("processed_at", F.current_timestamp())
 
 
+def respond(requests: DataFrame, fmt: str = "json", extract_fields: bool = True, **how) -> DataFrame:
+    """Per request (doc_id, filename, length, content; has_part boolean where a file may be missing) its status, response, and the name under which its file is kept.
+
+    Refused requests say why (400, or 413 for too large a file) and are not worked on. Good ones are processed (how: as for process): 200 with the answer, Markdown for "md" or the bare text for
+    "txt", or 500 for a document that gave nothing. If the work as a whole fails, every good request is answered with that (500), and none is left without an answer."""
+    part = F.col("has_part") if "has_part" in requests.columns else F.lit(True)
+    checked = requests.withColumn("refusal", naming.request_error(part, F.col("filename"), F.col("length")))
+    stored = reports.stamped_name(naming.safe_name(F.col("filename"))).alias("stored_name")
+    refused = checked.where("refusal is not null").select("doc_id", naming.request_status(F.col("length"), F.col("refusal")).alias("status"), F.to_json(F.struct(F.col("refusal").alias("error"))).alias("response"), F.lit(None).cast("string").alias("stored_name"))
+    good = checked.where("refusal is null").drop("refusal")
+    names = good.select("doc_id", stored)
+    began = time.monotonic()
+    try:
+        done = keep(process(good, **how), "answers")
+        answer = reports.json_response(done, extract_fields)
+        if fmt != "json":
+            shown = reports.markdown_report(done, reports.processed_footer()) if fmt == "md" else done.where("success").select("doc_id", F.col("text").alias("report"))
+            answer = answer.join(shown, "doc_id", "left").select("doc_id", F.coalesce("report", "response").alias("response"))
+        answers = done.select("doc_id", F.when(F.col("success"), 200).otherwise(500).alias("status")).join(answer, "doc_id")
+    except Exception as e:
+        failure = F.struct(F.lit(False).alias("success"), F.lit(reports.BROKEN.format(why=str(e).split("\n")[0])).alias("error"), F.lit(round(time.monotonic() - began, 2)).alias("processing_time"))
+        answers = good.select("doc_id", F.lit(500).alias("status"), F.to_json(failure).alias("response"))
+    return answers.join(names, "doc_id").select("doc_id", "status", "response", "stored_name").unionByName(refused)
+
+
 def batch(files: DataFrame, batch_id: str, force_ocr: bool = False, language: str = "spa", options: Options = Options(), **engines) -> DataFrame:
     """One row: counts and results of all accepted files, and how they were worked on; other files are skipped and not counted."""
     done = process(files, force_ocr=force_ocr, language=language, options=options, **engines)

@@ -9,32 +9,32 @@ from pyspark.sql import functions as F
 
 from .regex import SPACE, WORD, java, re2, sql_literal, sql_strip, strip, words
 
-# Every word that is written anew, as it should be and as recognition may give it. Any casing of either counts.
+# Words as recognition may give them, and as they should be. Any casing counts; a right word in another casing is written anew, too.
 TOKENS = {
-    "FISCALÍA": ["FISCALÍA", "FISCALIA", "FlSCALÍA"],
-    "MINISTERIO": ["MINISTERIO", "MlNlSTERlO"],
-    "PÚBLICO": ["PÚBLICO", "PUBLICO", "PÚBLlCO"],
-    "INVESTIGACIÓN": ["INVESTIGACIÓN", "INVESTIGACION"],
-    "PROVIDENCIA": ["PROVIDENCIA", "PROVlDENCIA"],
-    "CARPETA": ["CARPETA", "CARFETA"],
-    "EXPEDIENTE": ["EXPEDIENTE", "EXPEDlENTE"],
-    "RESOLUCIÓN": ["RESOLUCIÓN", "RESOLUCION"],
-    "DISTRITO": ["DISTRITO", "DlSTRlTO"],
-    "AREQUIPA": ["AREQUIPA", "AREQUlPA"],
-    "CHIVAY": ["CHIVAY", "CHlVAY"],
-    "PENAL": ["PENAL", "PENAЛ"],
-    "CIVIL": ["CIVIL", "ClVlL"],
-    "CORPORATIVA": ["CORPORATIVA", "CORPORATlVA"],
-    "DELITO": ["DELITO", "DELlTO"],
-    "CONTRA": ["CONTRA", "CÖNTRA"],
-    "PATRIMONIO": ["PATRIMONIO", "PATRlMONlO"],
-    "USURPACIÓN": ["USURPACIÓN", "USURPACION"],
-    "APROPIACIÓN": ["APROPIACIÓN", "APROPIACION"],
-    "CÓDIGO": ["CÓDIGO", "CODIGO"],
-    "ARTÍCULO": ["ARTÍCULO", "ARTICULO"],
-    "TÍTULO": ["TÍTULO", "TITULO"],
-    "PROCEDIMIENTO": ["PROCEDIMIENTO", "PROCEDlMlENTO"],
-}
+    "FISCALIA": "FISCALÍA", "FlSCALÍA": "FISCALÍA",
+    "MlNlSTERlO": "MINISTERIO",
+    "PUBLICO": "PÚBLICO", "PÚBLlCO": "PÚBLICO",
+    "INVESTIGACION": "INVESTIGACIÓN",
+    "PROVlDENCIA": "PROVIDENCIA",
+    "CARFETA": "CARPETA",
+    "EXPEDlENTE": "EXPEDIENTE",
+    "RESOLUCION": "RESOLUCIÓN",
+    "DlSTRlTO": "DISTRITO",
+    "AREQUlPA": "AREQUIPA",
+    "CHlVAY": "CHIVAY",
+    "PENAЛ": "PENAL",
+    "ClVlL": "CIVIL",
+    "CORPORATlVA": "CORPORATIVA",
+    "DELlTO": "DELITO",
+    "CÖNTRA": "CONTRA",
+    "PATRlMONlO": "PATRIMONIO",
+    "USURPACION": "USURPACIÓN",
+    "APROPIACION": "APROPIACIÓN",
+    "CODIGO": "CÓDIGO",
+    "ARTICULO": "ARTÍCULO",
+    "TITULO": "TÍTULO",
+    "PROCEDlMlENTO": "PROCEDIMIENTO",
+}
 
 # Rewrites in the order in which they are applied; \1, \2, \3 are groups.
 REWRITES = {
@@ -59,13 +59,14 @@ REWRITES = {
     "N3": (r"\n\s*\n\s*\n+", "\n\n"),
 }
 
-_LOOKUP = {v.lower(): right for right, variants in TOKENS.items() for v in variants}
+_LOOKUP = {right.lower(): right for right in TOKENS.values()} | {wrong.lower(): right for wrong, right in TOKENS.items()}
 _ANY_TOKEN = words(list(_LOOKUP))
+#: For the SQL only.
 _PIECES = f"([{WORD}]+|[^{WORD}]+)"
 
 
 def correct_tokens(c: Column) -> Column:
-    """Every whole word of TOKENS in its right form, in one pass.
+    """Every whole word of TOKENS, right or wrong, in its right form, in one pass.
 
     A listed word is a maximal run of word characters and its right form maps to itself, so one look-up for each listed word equals
     replacing the listed forms one after the other. The text is taken apart at the listed words only."""

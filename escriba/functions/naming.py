@@ -67,5 +67,10 @@ def request_error(has_part: Column, name: Column, length: Column) -> Column:
     )
 
 
+def request_status(length: Column, error: Column) -> Column:
+    """The status of a refused request: 413 where only the size is wrong, else 400."""
+    return F.when(error.startswith("Archivo muy grande") & (length > MAX_BYTES), 413).otherwise(400)
+
+
 def label(field: Column) -> Column:
     return F.initcap(F.replace(field, F.lit("_"), F.lit(" ")))

@@ -16,7 +16,8 @@ from pyspark.sql.window import WindowSpec
 
 from ..storage import keep
 from .image import gaussian_kernel
-from .rasters import skew
+from .rasters import as_points as points_of
+from .rasters import levels, skew
 
 
 def row() -> WindowSpec:
@@ -28,13 +29,10 @@ def column() -> WindowSpec:
     return Window.partitionBy("img", "x").orderBy("y")
 
 
-def points_of(rasters: DataFrame) -> DataFrame:
-    """A row for each pixel of one-channel rasters (img, height, width, pixels)."""
-    return rasters.select("img", "height", "width", F.posexplode("pixels").alias("pos", "v")).select("img", "height", "width", F.floor(F.col("pos") / F.col("width")).cast("int").alias("y"), (F.col("pos") % F.col("width")).cast("int").alias("x"), F.col("v").cast("int").alias("v"))
-
-
 def colours_of(rasters: DataFrame) -> DataFrame:
     """A row for each pixel of BGR rasters: b, g and r in place of v."""
+    if dict(rasters.dtypes)["pixels"] == "binary":
+        rasters = rasters.withColumn("pixels", levels(F.col("pixels")))
     at = lambda i, k: F.get("pixels", i * 3 + k)
     whole = F.transform(F.sequence(F.lit(0), F.col("height") * F.col("width") - 1), lambda i: F.struct(at(i, 0).alias("b"), at(i, 1).alias("g"), at(i, 2).alias("r")))
     cells = rasters.select("img", "height", "width", F.posexplode(whole).alias("pos", "c"))

@@ -13,14 +13,20 @@ from . import image
 
 
 def map_pixels(rasters: DataFrame, f: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """img, height, width, pixels (array of int, row by row) with f applied to each raster; sizes may change. An unusable raster gives null pixels, never a failed job."""
+    """img, height, width, pixels (bytes, row by row) with f applied to each raster (of bytes, or arrays of int); sizes may change. An unusable raster gives null pixels, never a failed job."""
+
+    def levels_of(p: pa.Scalar) -> np.ndarray:
+        if pa.types.is_binary(p.type):
+            return np.frombuffer(p.as_py(), np.uint8)
+        return p.values.to_numpy(zero_copy_only=False).astype(np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for h, w, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
                 try:
-                    out.append(f(p.values.to_numpy(zero_copy_only=False).astype(np.uint8).reshape(h, w, *([3] if len(p.values) == 3 * h * w else []))))
+                    own = levels_of(p)
+                    out.append(f(own.reshape(h, w, *([3] if len(own) == 3 * h * w else []))))
                 except (ValueError, TypeError, AttributeError):
                     out.append(None)
             yield pa.record_batch(
@@ -28,16 +34,24 @@ def map_pixels(rasters: DataFrame, f: Callable[[np.ndarray], np.ndarray]) -> Dat
                     "img": batch.column(0),
                     "height": pa.array([None if x is None else x.shape[0] for x in out], pa.int32()),
                     "width": pa.array([None if x is None else x.shape[1] for x in out], pa.int32()),
-                    "pixels": pa.array([None if x is None else x.ravel().astype(np.int32) for x in out], pa.list_(pa.int32())),
+                    "pixels": pa.array([None if x is None else x.astype(np.uint8).tobytes() for x in out], pa.binary()),
                 }
             )
 
-    return rasters.select(F.col("img").cast("long").alias("img"), "height", "width", "pixels").mapInArrow(run, "img long, height int, width int, pixels array<int>")
+    return rasters.select(F.col("img").cast("long").alias("img"), "height", "width", "pixels").mapInArrow(run, "img long, height int, width int, pixels binary")
+
+
+def levels(pixels: Column) -> Column:
+    """An array of the numbers that bytes are."""
+    byte = lambda at: F.conv(F.hex(F.substring(pixels, at, F.lit(1))), 16, 10).cast("int")
+    return F.when(F.length(pixels) > 0, F.transform(F.sequence(F.lit(1), F.length(pixels)), byte)).otherwise(F.array().cast("array<int>"))
 
 
 def as_points(rasters: DataFrame) -> DataFrame:
-    """img, y, x, v: a row for each pixel of one-channel rasters."""
-    return rasters.select("img", "width", F.posexplode("pixels").alias("pos", "v")).select("img", F.floor(F.col("pos") / F.col("width")).cast("int").alias("y"), (F.col("pos") % F.col("width")).cast("int").alias("x"), F.col("v").cast("int").alias("v"))
+    """img, height, width, y, x, v: a row for each pixel of one-channel rasters, of bytes or arrays."""
+    pixels = levels(F.col("pixels")) if dict(rasters.dtypes)["pixels"] == "binary" else F.col("pixels")
+    cells = rasters.select("img", "height", "width", F.posexplode(pixels).alias("pos", "v"))
+    return cells.select("img", "height", "width", F.floor(F.col("pos") / F.col("width")).cast("int").alias("y"), (F.col("pos") % F.col("width")).cast("int").alias("x"), F.col("v").cast("int").alias("v"))
 
 
 def scale_choice(height: Column, width: Column, base: float = 2.5) -> Column:

@@ -11,6 +11,8 @@ from ..functions.naming import EXTENSIONS, label
 
 # What a batch says of a failed file; the headings and labels of the Markdown report are a fixed format too.
 FAILED = "Processing failed"
+# Fixed value: the answer when the work as a whole fails.
+BROKEN = "Error procesando documento: {why}"
 
 
 def stamped_name(name: Column, at: Column | None = None) -> Column:

@@ -266,7 +266,7 @@ BGR = "(select img, y, x, v as b, (v * 7 + 13) % 256 as g, (v * 3 + 101) % 256 a
 
 def _pixels(f: Callable) -> Query:
     """A step on whole rasters in a task."""
-    return lambda s, d: rasters.as_points(rasters.map_pixels(fixtures.rasters(s, d), f))
+    return lambda s, d: rasters.as_points(rasters.map_pixels(fixtures.rasters(s, d), f)).select("img", "y", "x", "v")
 
 
 def _points(f: Callable) -> Query:
@@ -388,7 +388,7 @@ peak as (select * from tall a where not exists (select 1 from tall b where b.img
 ranked as (select img, theta, row_number() over (partition by img order by n desc, theta, rho) as k from peak)
 select cast(p.img as bigint) as img, round(coalesce(a, 0), 6) as angle from (select distinct img from points) p left join (select img, median(theta - 90) as a from ranked where k <= 50 and theta - 90 between -30 and 30 group by img) m on m.img = p.img""",
 )
-_add("enhance", lambda s, d: rasters.map_pixels(_bgr(s, d), image.enhance).select("img", "height", "width", F.aggregate("pixels", F.lit(0), lambda a, v: a + v).alias("total")))
+_add("enhance", lambda s, d: rasters.map_pixels(_bgr(s, d), image.enhance).select("img", "height", "width", F.aggregate(rasters.levels(F.col("pixels")), F.lit(0), lambda a, v: a + v).alias("total")))
 _add(
     "scale_choice",
     lambda s, d: s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", rasters.scale_choice((F.col("o_orderkey") % 97) * 40, (F.col("o_custkey") % 89) * 40).alias("scale")),

@@ -26,7 +26,7 @@ def accepted(files: DataFrame) -> DataFrame:
 
 
 def images(spark: SparkSession, folder: str) -> DataFrame:
-    """img (a hash of the path), height, width and BGR pixels of every readable image; gray ones and ones with an alpha channel become BGR."""
+    """img (a hash of the path), height, width and BGR pixels (bytes) of every readable image; gray ones and ones with an alpha channel become BGR."""
     read = spark.read.format("image").option("dropInvalid", True).load(folder).select("image.*")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -37,10 +37,10 @@ def images(spark: SparkSession, folder: str) -> DataFrame:
             for n, h, w, raw in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
                 img = np.frombuffer(raw, np.uint8).reshape(h, w, n)
                 img = np.repeat(img, 3, axis=2) if n == 1 else img[:, :, :3]
-                pixels.append(img.astype(np.int32).ravel())
-            yield pa.record_batch({"img": batch.column(0), "height": batch.column(2), "width": batch.column(3), "pixels": pa.array(pixels, pa.list_(pa.int32()))})
+                pixels.append(np.ascontiguousarray(img).tobytes())
+            yield pa.record_batch({"img": batch.column(0), "height": batch.column(2), "width": batch.column(3), "pixels": pa.array(pixels, pa.binary())})
 
-    return read.select(F.xxhash64("origin").alias("img"), "nChannels", "height", "width", "data").mapInArrow(run, "img long, height int, width int, pixels array<int>")
+    return read.select(F.xxhash64("origin").alias("img"), "nChannels", "height", "width", "data").mapInArrow(run, "img long, height int, width int, pixels binary")
 
 
 def pdf_pages(files: DataFrame, max_pages: int | None = None) -> DataFrame:

@@ -130,3 +130,29 @@ def test_each_step_runs_once(spark, tmp_path, monkeypatch):
     assert len((tmp_path / "a").read_text().split()) == len(asked)
     whole = engine.batch(rows, "b", language="xx", rasteriser=Two(), recogniser=Counting(tmp_path / "c"), options=Options(scale=1.0)).first()
     assert (whole.total_files, whole.language, whole.system_info.dpi) == (2, "spa", 400) and all(r.processing_time is not None for r in whole.results)
+
+
+def test_every_request_is_answered(spark, tmp_path):
+    text = "JUEZ: ANA\n" + "palabra " * 120
+    rows = [(1, "../a b.pdf", 10, pdf([text]), True), (2, "b.exe", 10, b"", True), (3, "c.pdf", 200 << 20, b"", True), (4, None, 0, None, False), (5, "", 0, b"", True), (6, "d.pdf", 10, b"%PDF-1.4 junk", True)]
+    requests = spark.createDataFrame(rows, "doc_id long, filename string, length long, content binary, has_part boolean")
+    got = {r.doc_id: r for r in engine.respond(requests).collect()}
+    assert {d: r.status for d, r in got.items()} == {1: 200, 2: 400, 3: 413, 4: 400, 5: 400, 6: 500}
+    said = {d: json.loads(r.response) for d, r in got.items()}
+    assert said[1]["success"] and said[1]["extracted_fields"]["juez"] == "ANA" and "text" in said[1] and "processing_time" in said[1] and "timestamp" in said[1]
+    assert said[3]["error"] == "Archivo muy grande: 200.0MB" and said[4]["error"] == "No se proporcionó archivo" and said[6]["error"] == "PDF no contiene páginas"
+    assert got[1].stored_name.endswith("_a_b.pdf") and got[1].stored_name[:2] == "20" and got[2].stored_name is None
+    as_md = {r.doc_id: r for r in engine.respond(requests, fmt="md").collect()}
+    assert as_md[1].response.startswith("# Procesamiento OCR - a_b.pdf") and "**Tiempo**" in as_md[1].response and as_md[6].status == 500
+
+
+def test_work_that_fails_as_a_whole_is_an_answer(spark, tmp_path):
+    class Odd(Pages):
+        def page_count(self, content):
+            os._exit(3)
+
+    requests = spark.createDataFrame([(1, "a.png", 10, b"x"), (2, "b.txt", 10, b"x")], "doc_id long, filename string, length long, content binary")
+    got = {r.doc_id: r for r in engine.respond(requests, rasteriser=Odd(), recogniser=Counting(tmp_path / "a")).collect()}
+    assert {d: r.status for d, r in got.items()} == {1: 500, 2: 400}
+    said = json.loads(got[1].response)
+    assert said["success"] is False and said["error"].startswith("Error procesando documento: ") and said["processing_time"] >= 0

@@ -89,10 +89,18 @@ def test_reports(spark, tmp_path):
     summary = reports.batch_summary(df.withColumn("b", F.lit("b")), "b").first()
     assert (summary.total_files, summary.successful, summary.failed) == (2, 1, 1)
     assert [r.error for r in summary.results] == [None, "Processing failed"]
-    sinks.bundle(df, str(tmp_path / "b.zip"), "b")
-    with zipfile.ZipFile(tmp_path / "b.zip") as z:
+    assert sinks.bundle(df, str(tmp_path / "z"), "b") == "lote_procesado_b.zip"
+    with zipfile.ZipFile(tmp_path / "z" / "lote_procesado_b.zip") as z:
         assert sorted(z.namelist()) == ["f1.json", "f1.txt", "f2.json", "resumen_lote.json"]
         assert z.read("f1.txt").decode() == "ñ text" and json.loads(z.read("resumen_lote.json"))["failed"] == 1
+    sinks.bundle(df.limit(0), str(tmp_path / "z"), "none")
+    with zipfile.ZipFile(tmp_path / "z" / "lote_procesado_none.zip") as z:
+        assert z.namelist() == ["resumen_lote.json"] and json.loads(z.read("resumen_lote.json")) == {"batch_id": "none", "total_files": 0, "successful": 0, "failed": 0, "language": "spa", "force_ocr": False, "results": []}
+    many = df.crossJoin(spark.range(9).select((F.col("id") % 3).alias("batch_id"), (F.col("id") * 10).alias("n"))).withColumn("doc_id", F.col("doc_id") + F.col("n")).drop("n")
+    sinks.write_bundles(many.repartition(5), str(tmp_path / "m"))
+    assert sorted(p.name for p in (tmp_path / "m").iterdir()) == [f"lote_procesado_{i}.zip" for i in range(3)]
+    with zipfile.ZipFile(tmp_path / "m" / "lote_procesado_1.zip") as z:
+        assert len(z.namelist()) == 3 * 3 + 1 and {"f1_11.txt", "f1_41.txt", "f1_71.json", "f2_12.json"} <= set(z.namelist()) and json.loads(z.read("resumen_lote.json"))["total_files"] == 6
     sinks.write_texts(df.where("success"), str(tmp_path / "t"))
     assert sinks.read_texts(spark, str(tmp_path / "t")).first().text == "ñ text"
     sinks.write_text_files(df.where("success"), str(tmp_path / "f"))

@@ -32,8 +32,8 @@ HAND = {
 
 
 def python_correct(text):
-    for right, variants in corrections.TOKENS.items():
-        for v in variants:
+    for right in dict.fromkeys(corrections.TOKENS.values()):
+        for v in [right, *(wrong for wrong, to in corrections.TOKENS.items() if to == right)]:
             text = re.sub(rf"\b{re.escape(v)}\b", right, text, flags=re.I)
     for pattern, to in corrections.REWRITES.values():
         text = re.sub(pattern, to, text, flags=re.I)
