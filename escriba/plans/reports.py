@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import __version__
 from ..config import Options
-from ..functions.naming import EXTENSIONS, label
+from ..functions.naming import EXTENSIONS, allowed, is_pdf, label, size_mb
 
 # What a batch says of a failed file; the headings and labels of the Markdown report are a fixed format too.
 FAILED = "Processing failed"
@@ -93,13 +93,40 @@ def batch_summary(done: DataFrame, *keys: str) -> DataFrame:
     return done.groupBy(*keys).agg(F.count("*").alias("total_files"), F.count_if("success").alias("successful"), F.count_if(~F.col("success")).alias("failed"), F.array_sort(F.collect_list(result)).alias("results"))
 
 
-def health(spark: SparkSession, recogniser: object | None = None, options: Options = Options()) -> DataFrame:
-    """One row: healthy if a recogniser is plugged in, else degraded."""
-    row = ("healthy" if recogniser is not None else "degraded", __version__, getattr(recogniser, "version", "unavailable"), options.dpi, options.language, options.max_bytes // (1024 * 1024), options.page_confidence, sorted(EXTENSIONS))
-    return spark.createDataFrame([row], "status string, version string, recogniser_version string, dpi int, language string, max_file_size_mb int, confidence_threshold double, supported_formats array<string>").withColumn("timestamp", F.current_timestamp())
+def waiting(files: DataFrame, options: Options = Options()) -> DataFrame:
+    """One row: n_files, n_accepted (of a known format and size), n_pdf of those, n_refused, and accepted_mb, of files (filename, length) that wait to be worked on."""
+    good = allowed(F.col("filename")) & (F.col("length") <= options.max_bytes)
+    counts = files.agg(F.count("*").alias("n_files"), F.count_if(good).alias("n_accepted"), F.count_if(good & is_pdf(F.col("filename"))).alias("n_pdf"), F.sum(F.when(good, F.col("length")).otherwise(0)).alias("bytes"))
+    return counts.select("n_files", "n_accepted", "n_pdf", (F.col("n_files") - F.col("n_accepted")).alias("n_refused"), F.round(size_mb(F.coalesce("bytes", F.lit(0))), 2).alias("accepted_mb"))
 
 
-def describe(spark: SparkSession) -> DataFrame:
-    """The engine's entry points."""
-    rows = [("health", "state of the engine"), ("analyze", "how documents would be processed"), ("process", "documents to text and fields"), ("batch", "many documents with a summary")]
-    return spark.createDataFrame(rows, "name string, purpose string")
+def _facts(recogniser: object | None, options: Options) -> dict[str, Column]:
+    formats = F.array(*(F.lit(e) for e in sorted(EXTENSIONS)))
+    return {
+        "status": F.lit("healthy" if recogniser is not None else "degraded"),
+        "version": F.lit(__version__),
+        "recogniser_version": F.lit(getattr(recogniser, "version", "unavailable")),
+        "dpi": F.lit(options.dpi),
+        "language": F.lit(options.language),
+        "max_file_size_mb": F.lit(options.max_bytes // (1024 * 1024)),
+        "confidence_threshold": F.lit(options.page_confidence),
+        "supported_formats": formats,
+        "timestamp": F.current_timestamp(),
+    }
+
+
+def health(spark: SparkSession, recogniser: object | None = None, options: Options = Options(), files: DataFrame | None = None) -> DataFrame:
+    """One row: healthy if a recogniser is plugged in, else degraded; and what waits to be worked on, where files are given."""
+    return (spark.range(1).drop("id") if files is None else waiting(files, options)).withColumns(_facts(recogniser, options))
+
+
+ENTRY_POINTS = {"health": "state of the engine", "analyze": "how documents would be processed", "process": "documents to text and fields", "batch": "many documents with a summary"}
+
+
+def describe(spark: SparkSession, files: DataFrame | None = None) -> DataFrame:
+    """The engine's entry points and, where files are given, how many of them each would look at."""
+    points = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.lit(p).alias("purpose")) for n, p in ENTRY_POINTS.items())))
+    if files is None:
+        return spark.range(1).select(points.alias("p")).select("p.*")
+    looked_at = F.when(F.col("p.name") == "health", F.col("n_files")).otherwise(F.col("n_accepted")).alias("n_files")
+    return waiting(files).withColumn("p", points).select("p.*", looked_at)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import __version__
 from .config import Options
 from .functions import fields, naming
 from .functions.corrections import correct, correct_tokens, rewrite, sql_correct, sql_rewrite, sql_tokens
@@ -409,8 +410,18 @@ _add(
     lambda s, d: s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.concat(F.lit("Page: 1\nRotate: "), ((F.col("o_orderkey") % 5) * 90).cast("string"), F.lit("\n")).alias("osd")).select("o_orderkey", rasters.osd_rotation(F.col("osd")).alias("rotation"), rasters.needs_rotation(F.col("osd")).alias("rotate")),
     "select o_orderkey, cast((o_orderkey % 5) * 90 as int) as rotation, (o_orderkey % 5) * 90 % 360 <> 0 as rotate from orders",
 )
-_add("service_health", lambda s, d: reports.health(s).drop("timestamp"))
-_add("service_description", lambda s, d: reports.describe(s), "select * from (values ('health', 'state of the engine'), ('analyze', 'how documents would be processed'), ('process', 'documents to text and fields'), ('batch', 'many documents with a summary')) t(name, purpose)")
+_GOOD = f"{OK} and length <= {naming.MAX_BYTES}"
+WAITING_SQL = f"(select count(*) as n_files, cast(count_if({_GOOD}) as bigint) as n_accepted, cast(count_if({_GOOD} and lower(filename) like '%.pdf') as bigint) as n_pdf, cast(count_if(not ({_GOOD})) as bigint) as n_refused, round(coalesce(sum(case when {_GOOD} then length else 0 end), 0) / 1048576, 2) as accepted_mb from {UPLOADS} u)"
+_add(
+    "service_health",
+    lambda s, d: reports.health(s, files=table(s, d, fixtures.UPLOADS)).drop("timestamp", "recogniser_version").withColumn("supported_formats", F.array_join("supported_formats", ",")),
+    f"select 'degraded' as status, '{__version__}' as version, cast(400 as int) as dpi, 'spa' as language, cast(100 as int) as max_file_size_mb, 60.0::double as confidence_threshold, 'bmp,jpeg,jpg,pdf,png,tiff' as supported_formats, w.* from {WAITING_SQL} w",
+)
+_add(
+    "service_description",
+    lambda s, d: reports.describe(s, table(s, d, fixtures.UPLOADS)),
+    f"select name, purpose, case when name in ('analyze', 'process', 'batch') then n_accepted else n_files end as n_files from (values ('health', 'state of the engine'), ('analyze', 'how documents would be processed'), ('process', 'documents to text and fields'), ('batch', 'many documents with a summary')) t(name, purpose), {WAITING_SQL} w",
+)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

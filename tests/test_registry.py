@@ -9,7 +9,7 @@ from escriba import registry
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables aren't here")
-NAMES = ["process_arriving", "raster_clahe", "raster_edges", "sheet_clahe", "sheet_edges", "lines_skew", "raster_sharpen", "raster_adaptive_gaussian", "raster_threshold", "grayscale", "combine_max", "morphology", "correct_tokens", "correct_full", "extract_fields_map", "analyze_pages", "analyze_files", "file_names", "request_errors", "best_pass", "process_scanned", "process_text", "markdown_report", "batch_summary", "process_uploads", "adaptive_mean", "otsu", "skew_median", "raster_rotate", "service_description"]
+NAMES = ["process_arriving", "raster_clahe", "raster_edges", "sheet_clahe", "sheet_edges", "lines_skew", "raster_sharpen", "raster_adaptive_gaussian", "raster_threshold", "grayscale", "combine_max", "morphology", "correct_tokens", "correct_full", "extract_fields_map", "analyze_pages", "analyze_files", "file_names", "request_errors", "best_pass", "process_scanned", "process_text", "markdown_report", "batch_summary", "process_uploads", "adaptive_mean", "otsu", "skew_median", "raster_rotate", "service_description", "service_health"]
 
 
 @pytest.fixture(scope="module")
