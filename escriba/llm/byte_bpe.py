@@ -6,6 +6,9 @@ stored for each byte, so a piece is encoded in one pass from left to right, byte
 only the bytes from the edit on are computed again, until the stored tokens repeat. Encodings are read off backwards.
 
 As the tiktoken library does, a piece that is itself a vocabulary entry is that one token, whatever its merges would give.
+
+Defined results: null and empty texts have no ids; repeated rows, and rows without a doc_id, are answered each for itself. An empty table has no rows; other columns are neither
+read nor returned. A very long text is a slice by itself; a piece of any length (without a break in the text) is encoded in one pass, its prefix tokens held in memory.
 """
 
 from __future__ import annotations

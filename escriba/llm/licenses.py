@@ -11,6 +11,7 @@ the candidates found. A text is known by doc_id and a hash, so rows repeated und
 Defined results: words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after lower-casing A-Z; null and empty texts have no words, no
 place and a score of 0; score is the best verified similarity of a span to its template, 1 for a base phrase. A null doc_id is a
 doc_id like any other: its rows are answered each for itself. An empty table has no rows; other columns are neither read nor returned.
+A very long text has its k-grams in one row and is verified span by span; templates may be of any length.
 """
 
 from __future__ import annotations

@@ -20,7 +20,8 @@ from confirmed links.
 Defined results: words [^\\x20\\x09-\\x0D]+ after lower-casing A-Z; distinct shingles of 4 words, a shorter text is one
 shingle, null or wordless texts have none and stay alone; so does a row without a doc_id (its component_id is null, and it is kept). Rows repeated
 under one doc_id are answered each for itself; links of any text of a doc_id hold for it. An empty table has no rows; other columns, whatever
-their names, are neither read nor changed.
+their names, are neither read nor changed. A very long text is a slice by itself; its shingles are eight bytes each, and what is compared are its
+whole sets, one pair at a time.
 """
 
 from __future__ import annotations

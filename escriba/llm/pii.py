@@ -1,6 +1,6 @@
 """Personal data: base patterns, and a skip-chain conditional random field that adds what they miss.
 
-The field's nodes are the tokens (between white space) that hold a digit or @. Three kinds of edges: chain edges between neighbouring
+The field's nodes are the stretches of tokens (between white space, cut at characters that no kind may hold) with a digit or @. Three kinds of edges: chain edges between neighbouring
 tokens (a telephone number has several), skip edges between a token and its last occurrence before, and between tokens
 with the same last seven digits, at any distance; tokens that recur are joined one to the next, so edges grow as nodes do.
 Loopy sum-product message passing gives each token's label probabilities, so that what is plain in one place decides about
@@ -309,13 +309,14 @@ def train(docs: DataFrame, most: int = SAMPLE_DOCS) -> Field | None:
             for part in text.slices(batch):
                 values = part.column(1).to_pylist()
                 every = [ns if len(ns := nodes(t)) <= TEACH_NODES else [] for t in values]
+                joined = [edges(ns) for ns in every]
                 yield pa.record_batch(
                     {
                         "doc_id": part.column(0),
                         "label": [teaching_labels(ns, base_spans(t)) for ns, t in zip(every, values, strict=True)],
                         "on": pa.array([[features(n) for n in ns] for ns in every], pa.list_(pa.list_(pa.int32()))),
-                        "chain": pa.array([[x for e in edges(ns)[0] for x in e] for ns in every], pa.list_(pa.int32())),
-                        "skip": pa.array([[x for e in edges(ns)[1] for x in e] for ns in every], pa.list_(pa.int32())),
+                        "chain": pa.array([[x for e in chain for x in e] for chain, _ in joined], pa.list_(pa.int32())),
+                        "skip": pa.array([[x for e in skip for x in e] for _, skip in joined], pa.list_(pa.int32())),
                     },
                     schema=pa.schema([("doc_id", pa.int64()), ("label", pa.list_(pa.int32())), ("on", pa.list_(pa.list_(pa.int32()))), ("chain", pa.list_(pa.int32())), ("skip", pa.list_(pa.int32()))]),
                 )

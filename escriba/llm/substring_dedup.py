@@ -22,7 +22,8 @@ passage without sentences at most PIECE_WORDS - 1 at each end). Defined results:
 a document whose every sentence repeats an earlier one becomes empty; repeats within one document count too; a last span
 of a document may be shorter than RUN sentences only if a document has fewer. A text is known by doc_id and a hash of it (mark): rows of one
 doc_id and text count once and are answered each for itself, other texts of that doc_id are documents of their own. Rows without a
-doc_id lose nothing, and what others share with them doesn't count. An empty table has no rows; other columns are neither read nor returned.
+doc_id lose nothing, and what others share with them doesn't count. An empty table has no rows; other columns are neither read nor returned. A very long text is a slice by itself, its
+spans some forty bytes for each sentence or piece.
 """
 
 from __future__ import annotations

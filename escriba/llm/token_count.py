@@ -5,7 +5,8 @@ merges. Pre-tokens found among them count one without merging; only the rest is
 pass over the documents, no shuffle.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; special tokens' strings within a text count as the library
-counts them by default; repeated rows are answered each for itself.
+counts them by default; repeated rows, and rows without a doc_id, are answered each for itself. An empty table has no rows; other columns are neither read nor
+returned. A very long text is a slice by itself, worked on whole in memory of some tens of its bytes.
 """
 
 from __future__ import annotations

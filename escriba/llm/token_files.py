@@ -8,7 +8,9 @@ ids of the range stand before it; the ids before a range are a sum over ranges,
 metadata columns (one number for each range).
 
 Defined results: null and empty texts are documents of the end id alone; rows repeated under one doc_id are documents each
-for itself, ordered by text; an empty table writes no block.
+for itself, ordered by text; rows without a doc_id stand before all others, in the same way. An empty table writes no block; other columns are neither read nor written. A very
+long text is a block by itself where it has more than BLOCK_IDS ids; a task holds one block's ids at a time. All rows of one doc_id are one range, so ids that are no ids make
+one task long, but not large.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ most MOST_FEATURES features and the sample's sentences as lists of them. Scoring
 Defined results: null or empty text has no sentence and scores 0; without labels of both kinds every text scores 0;
 labels that are null, or of unknown documents, are ignored; of several labels of a document the largest counts; repeated
 rows of documents are scored each for itself, with or without a doc_id (without one, held_out is null). Columns lang, source and labels are
-never inputs of a score. An empty table has no rows; keep_clean returns all columns, whatever their names, as they are, and keeps texts without words.
+never inputs of a score. An empty table has no rows; keep_clean returns all columns, whatever their names, as they are, and keeps texts without words. A very long text is scored whole, as a slice by itself; no sentence or word of it is left out, and MOST_CHARS keeps it from
+filling the sample.
 """
 
 from __future__ import annotations
