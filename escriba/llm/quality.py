@@ -8,7 +8,8 @@ Line rules (a line is what \\n separates; lines without words are dropped and co
 - navigation: of its words, at least NAV_PERCENT in 100 are bare separators (| > » · / - *), and there are at least 4 words;
 - symbols: characters of #*$%&|<> number at least a tenth of the characters in words;
 - ending: at least LINE_WORDS words and no mark in _ENDS at its end;
-- notice: fewer than NOTICE_WORDS words, among them a phrase in _NOTICES (lower-cased, without punctuation);
+- notice: fewer than NOTICE_WORDS words, and phrases of _NOTICES (lower-cased, whatever stands between their words) are a quarter of them at least, so that prose that happens to
+  hold one stays;
 - shouting: at least 8 words that hold a letter, all letters upper-case;
 - repeats: at least 8 words of which fewer than a third are different.
 A document is rejected if its failing lines hold more than LOSS_PERCENT in 100 of its word characters.
@@ -34,7 +35,7 @@ LEAST_WORDS = 50
 LOSS_PERCENT = 50
 NAV_PERCENT = 25
 
-LINE_WORDS, NOTICE_WORDS = 4, 30
+LINE_WORDS, NOTICE_WORDS, NOTICE_SHARE = 4, 30, 4
 
 # Marks that end a sentence (closing quotes and brackets may follow), and phrases of sites' notices.
 _ENDS = tuple(".!?:;…。！？।؟")
@@ -42,10 +43,15 @@ _NOTICES = (
     "accept all cookies", "all rights reserved", "cookie policy", "click here", "enable javascript", "forgot your password", "javascript is disabled", "log in", "lorem ipsum",
     "privacy policy", "read more", "share on facebook", "share on twitter", "sign in", "sign up", "skip to content", "subscribe to our newsletter", "terms of service", "terms of use",
     "this site uses cookies", "use of cookies", "uses cookies", "we use cookies", "your cart",
+    "alle cookies akzeptieren", "alle rechte vorbehalten", "datenschutzerklärung", "jetzt anmelden", "mehr lesen", "nutzungsbedingungen", "weiterlesen",
+    "accepter les cookies", "conditions générales", "lire la suite", "mentions légales", "politique de confidentialité", "se connecter", "tous droits réservés",
+    "aceptar cookies", "iniciar sesión", "leer más", "política de privacidad", "términos de uso", "todos los derechos reservados",
 )
 _CLOSING = "\"'”’»)]}*_ \t\r"
 _NOTICE = re.compile(r"\b(?:" + "|".join(p.replace(" ", r"\W+") for p in _NOTICES) + r")\b", re.IGNORECASE)
 
+_PARTS = re.compile(r"\w+")
+
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SYMBOLS = str.maketrans("", "", "#*$%&|<>")
 _BARE = frozenset("| > » · / - * • < :".split())
@@ -73,7 +79,7 @@ def line_fails(words: list[str], chars: int) -> bool:
     if n >= LINE_WORDS and not words[-1].rstrip(_CLOSING).endswith(_ENDS):
         return True
     joined = "".join(words)
-    if n < NOTICE_WORDS and _NOTICE.search(" ".join(words)):
+    if n < NOTICE_WORDS and NOTICE_SHARE * sum(len(_PARTS.findall(m[0])) for m in _NOTICE.finditer(" ".join(words))) >= n:
         return True
     if 10 * (len(joined) - len(joined.translate(_SYMBOLS))) >= chars:
         return True

@@ -239,6 +239,15 @@ def test_added_spans_are_the_messages(spark, documents):
 # --- quality
 
 
+def notice_words(w):
+    """Words of phrases of notices, the leftmost first, those listed first before others."""
+    phrases, i, n = [p.split() for p in quality._NOTICES], 0, 0
+    while i < len(w):
+        k = next((len(p) for p in phrases if w[i : i + len(p)] == p), 0)
+        n, i = n + k, i + max(1, k)
+    return n
+
+
 def plain_kept(t):
     """The verdict by the rules as the module's docstring states them."""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
@@ -260,7 +269,7 @@ def plain_kept(t):
             len(own) >= 4 and sum(x in list("|>»·/-*•<:") for x in own) * 4 >= len(own),
             sum(c in "#*$%&|<>" for c in "".join(own)) * 10 >= chars,
             len(own) >= 4 and not re.search("[.!?:;…。！？।؟][\"'”’»)\\]}*_ \t\r]*$", own[-1]),
-            len(own) < 30 and any(f" {p} " in f" {plain} " for p in quality._NOTICES),
+            len(own) < 30 and 4 * notice_words(plain.split()) >= len(own),
             sum(any(c.isalpha() for c in x) for x in own) >= 8 and "".join(own).upper() == "".join(own) and not any(c.islower() for c in line),
             len(own) >= 8 and len(set(own)) * 3 < len(own),
         ]

@@ -134,6 +134,9 @@ def test_notices_and_ends_of_lines():
     notices = "We use cookies to make this site better.\nAll rights reserved 2024 by the owners.\nPlease sign in to your account.\nEnable JavaScript to go on.\n"
     kept = quality.judge(prose + "\n" + notices)
     assert kept.kept and "cookies" not in kept.cleaned and "river" in kept.cleaned and "JavaScript" not in kept.cleaned
+    some = prose + "\nPlease log in the logbook what item was taken out, and who took it with them that day.\nTous droits réservés.\nMehr lesen …\nAviso: política de privacidad.\n"
+    kept = quality.judge(some)
+    assert kept.kept and "logbook" in kept.cleaned and not any(x in kept.cleaned for x in ("droits", "Mehr", "privacidad"))
     menu = "\n".join(f"item number {words(random.Random(i), 6, 10**4)}" for i in range(20))
     assert not quality.judge(menu).kept and not quality.judge(menu).base_failed
 
