@@ -291,3 +291,37 @@ def test_quality_verdicts(spark, documents):
         assert r.kept == kept and lost in (None, r.lost_chars), dict(rows)[r.doc_id]
         seen.add((r.base_failed, r.kept))
     assert seen == {(True, False), (False, False), (False, True)}
+
+
+def plain_nodes(t):
+    """Stretches of characters that some kind may hold, with a digit or @, without the punctuation around them; character by character."""
+    held = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+@()-")
+    out, i = [], 0
+    while i < len(t):
+        j = i
+        while j < len(t) and t[j] in held:
+            j += 1
+        a, b = i, j
+        while b > a and t[b - 1] in "\"')]}>,;:!?.":
+            b -= 1
+        while a < b and t[a] in "\"'([{<,;:!?=":
+            a += 1
+        if a < b and any(c in "0123456789@" for c in t[i:j]):
+            out.append((a, b, t[a:b]))
+        i = max(j, i + 1)
+    return out
+
+
+def test_nodes_are_plain_stretches(documents):
+    texts = [*documents.values()] + ["(+1) 555-01.23, x@y.z;a=12.34.56.78|b", "9" * 400 + " " + "x" * 400 + "7", "@ . 1) (2 é3 ٣ ４", ""]
+    for t in texts:
+        got = [(n.start, n.end, n.body) for n in pii.nodes(t)]
+        assert got == plain_nodes(t)
+        chain, skip = pii.edges(pii.nodes(t))
+        assert chain == [(i, i + 1) for i in range(len(got) - 1) if got[i + 1][0] - got[i][1] <= 3]
+        bodies = [b for _, _, b in got]
+        # every token is joined to its last occurrence before
+        for i, b in enumerate(bodies):
+            if b.lower() in [x.lower() for x in bodies[:i]]:
+                before = max(j for j in range(i) if bodies[j].lower() == b.lower())
+                assert (before, i) in skip
