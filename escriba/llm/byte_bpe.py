@@ -27,6 +27,8 @@ from . import frames, text
 from .pretokens import CLASSES, LETTER, LIMIT, NUMBER, OTHER, SPACE, Memory, Points, merged, space_split
 
 MEMORY = 300_000
+#: Bytes from behind that tell how long a token can be.
+TAIL = 5
 # Fixed value: the split pattern that pretokens.space_split follows.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -87,6 +89,11 @@ class Bpe:
         #: tokens that merging their bytes really gives; others can only be whole pieces
         self.stable = {t: i for t, i in ranks.items() if len(t) == 1 or merge(ranks, t) == [t]}
         self.longest = max(map(len, self.stable), default=1)
+        #: of tokens of at least TAIL bytes, by those they end with, the length of the longest
+        self.reach: dict[bytes, int] = {}
+        for t in self.stable:
+            if len(t) >= TAIL:
+                self.reach[t[-TAIL:]] = max(len(t), self.reach.get(t[-TAIL:], 0))
         self.pairs: dict[tuple[int, int], bool] = {}
 
     def fits(self, a: int, b: int) -> bool:
@@ -102,13 +109,15 @@ class Bpe:
     def last_tokens(self, piece: bytes, known: list[int] | None = None) -> list[int]:
         """The last token of every prefix; known: those of the first prefixes."""
         last = list(known or ())
-        stable, fits, longest = self.stable, self.fits, self.longest
+        stable, fits, pairs, reach = self.stable.get, self.fits, self.pairs.get, self.reach.get
         for end in range(len(last) + 1, len(piece) + 1):
-            for start in range(max(0, end - longest), end):
-                t = stable.get(piece[start:end])
-                if t is not None and (not start or fits(last[start - 1], t)):
-                    last.append(t)
-                    break
+            for start in range(max(0, end - reach(piece[max(0, end - TAIL) : end], TAIL - 1)), end):
+                t = stable(piece[start:end])
+                if t is not None:
+                    good = pairs((last[start - 1], t)) if start else True
+                    if good or good is None and fits(last[start - 1], t):
+                        last.append(t)
+                        break
             else:
                 raise ValueError("the vocabulary lacks a byte")
         return last
@@ -124,6 +133,21 @@ class Bpe:
         whole = self.ranks.get(piece)
         return [whole] if whole is not None else self.walk(self.last_tokens(piece))
 
+    def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
+        """Of many pieces; in the order of their bytes, each goes on from the prefix that it shares with the one before."""
+        out: list[list[int]] = [[]] * len(pieces)
+        before, last = b"", []
+        for i in sorted(range(len(pieces)), key=pieces.__getitem__):
+            piece = pieces[i]
+            whole = self.ranks.get(piece)
+            if whole is not None:
+                out[i] = [whole]
+                continue
+            same = next((k for k, (x, y) in enumerate(zip(before, piece)) if x != y), min(len(before), len(piece)))
+            before, last = piece, self.last_tokens(piece, last[:same])
+            out[i] = self.walk(last)
+        return out
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.by_id.__getitem__, ids))
 
@@ -175,8 +199,8 @@ class Encoder:
         self.classes = PointClasses(pattern)
 
     def _encode(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        blob, encode = raw.tobytes(), self.bpe.encode_piece
-        ids = [encode(blob[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        blob = raw.tobytes()
+        ids = self.bpe.encode_pieces([blob[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)])
         return np.array([i for x in ids for i in x], dtype=np.int32), np.array([len(x) for x in ids], dtype=np.int64), np.zeros(len(ids), dtype=bool)
 
     def _hard(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
