@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from escriba.llm import byte_bpe, decontaminate, licenses, neardup, pii, quality, substring_dedup, text, token_count, token_files, toxicity
+from escriba.llm import byte_bpe, decontaminate, licenses, neardup, pii, quality, runs, substring_dedup, text, token_count, token_files, toxicity
 
 from .conftest import frame, words
 
@@ -32,6 +32,7 @@ REPORTS = {
     "op8": lambda d, l, b: byte_bpe.report(d, BYTE, public_tokenizers.PATTERN),
     "op9": lambda d, l, b: quality.report(d),
     "op10": lambda d, l, b: decontaminate.report(d, b),
+    "op12": lambda d, l, b: runs.report(d),
 }
 
 
