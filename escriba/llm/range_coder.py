@@ -42,13 +42,16 @@ _HASH_BITS = 18
 _TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
 _LOW32 = np.uint64((1 << 32) - 1)
 #: Order-0 frequencies are counted anew after these steps, and then every REBUILD steps.
-_EARLY, REBUILD = (1, 2, 4, 8), 16
+_EARLY, REBUILD = (1, 2, 4, 8, 16), 32
 
 #: stretch(p) = ln(p / (1 - p)) in 1/256, for 12-bit p; squash is its inverse, for -2047..2047, with 16-bit p.
 _STRETCH = np.array([round(256 * math.log((p + 0.5) / (4095.5 - p))) for p in range(4096)], dtype=np.int32)
 _SQUASH = np.array([min(_ONE - 32, max(32, round(_ONE / (1 + math.exp(-x / 256))))) for x in range(-2047, 2048)], dtype=np.uint64)
 
 
+#: What sureness 0 to 15 gains when the guess was wrong (an id of sureness 0 is replaced), and when it was right.
+_SURER = np.array([0, *[-1] * 15, *[1] * 15, 0], dtype=np.int32)
+
 #: 16 grades of sureness (or frequency), each with and without agreement of two orders.
 _CONTEXTS = 32
 
@@ -72,7 +75,7 @@ class _Counts:
 class _Mixer:
     """Logistic mixing of what orders 2, 1 and 0 say (_CONTEXTS contexts each); the order-2 context chooses the weights (1/65536).
 
-    Products of weights and inputs are kept in tables until the next update, so a prediction is three look-ups."""
+    Products of weights and inputs are kept in tables until the next update, so a prediction is two look-ups."""
 
     def __init__(self):
         self.counts = [_Counts(_CONTEXTS) for _ in range(3)]
@@ -81,19 +84,19 @@ class _Mixer:
 
     def _tables(self) -> None:
         self.inputs = [c.stretched() for c in self.counts]
-        self.of2 = self.weights[0] * self.inputs[0]
-        self.of1, self.of0 = (np.outer(w, x).ravel() for w, x in zip(self.weights[1:], self.inputs[1:], strict=True))
+        of1, of0 = (np.outer(w, x) for w, x in zip(self.weights[1:], self.inputs[1:], strict=True))
+        # orders 2 and 1 in one table, as the order-2 context is the row of both
+        self.of21 = ((self.weights[0] * self.inputs[0])[:, None] + of1).ravel()
+        self.of0 = of0.ravel()
 
     def p(self, x2: np.ndarray, x1: np.ndarray, x0: np.ndarray) -> np.ndarray:
         row = x2 * _CONTEXTS
-        total = self.of2[x2]
-        total += self.of1[row + x1]
-        total += self.of0[row + x0]
+        total = self.of21.take(row + x1)
+        total += self.of0.take(row + x0)
         total >>= 16
-        np.maximum(total, -2047, out=total)
-        np.minimum(total, 2047, out=total)
+        np.clip(total, -2047, 2047, out=total)
         total += 2047
-        return _SQUASH[total]
+        return _SQUASH.take(total)
 
     def update(self, x2: np.ndarray, x1: np.ndarray, x0: np.ndarray, p: np.ndarray, hit: np.ndarray) -> None:
         error = hit * np.int64(_ONE) - p.astype(np.int64)
@@ -147,24 +150,29 @@ class _Model:
         i2 += self.before.view(np.uint32) * np.uint32(0x85EBCA6B)
         i2 >>= np.uint32(32 - _HASH_BITS)
         self.i2 = i2
-        self.e2, self.e1 = self.after2[i2], self.after1[self.before]
+        self.e2, self.e1 = self.after2.take(i2), self.after1.take(self.before)
         self.c2, self.c1 = self.e2 & 15, self.e1 & 15
         self.a, self.b = self.e2 >> 4, self.e1 >> 4
         long, same = self.c2 > 0, self.a == self.b
         self.guess = np.where(long, self.a, self.b)
-        self.x2 = self.c2 * 2 + same
-        self.x1 = self.c1 * 2 + same
-        self.x0 = self.size[self.guess] + long
+        self.x2 = (self.c2 << 1) + same
+        self.x1 = (self.c1 << 1) + same
+        self.x0 = self.size.take(self.guess)
+        self.x0 += long
         self.p = self.mixer.p(self.x2, self.x1, self.x0)
         return self.p
 
     def update(self, ids: np.ndarray, hit: np.ndarray) -> None:
-        if self.step < 16 or self.step % 4 == 0:
+        if self.step < 16 or self.step % 16 == 0:
             self.mixer.update(self.x2, self.x1, self.x0, self.p, hit)
         fresh = ids << 4
         for after, at, guess, entry, sure in ((self.after2, self.i2, self.a, self.e2, self.c2), (self.after1, self.before, self.b, self.e1, self.c1)):
             # of lanes with one context, the last one writes
-            after[at] = np.where(ids == guess, entry + (sure < 15), np.where(sure > 0, entry - 1, fresh))
+            new = entry + _SURER.take(sure + ((ids == guess) << 4))
+            unsure = np.flatnonzero(sure == 0)
+            if len(unsure):
+                new[unsure] = np.where(ids[unsure] == guess[unsure], new[unsure], fresh[unsure])
+            after[at] = new
         self.seen.append(ids)
         self.before2, self.before = self.before, ids
         self.step += 1
@@ -190,11 +198,15 @@ def encode(ids: np.ndarray) -> bytes:
     table[:n] = coded
     table = np.ascontiguousarray(table.reshape(lanes, steps).T)
     low, size = np.zeros(lanes, dtype=np.uint64), np.full(lanes, (1 << 64) - 1, dtype=np.uint64)
-    out, filled = np.zeros((lanes, 2 * steps + 8), dtype=np.uint16), np.zeros(lanes, dtype=np.int64)
-
-    def put(where: np.ndarray, below: np.ndarray, width: np.ndarray, bits: int) -> None:
-        r = size[where] >> np.uint64(bits)
-        lo = low[where] + below * r
+    wide = 2 * steps + 40  # words of a lane, before more are needed
+    out, filled = np.zeros(lanes * wide, dtype=np.uint16), np.zeros(lanes, dtype=np.int64)
+    begin = np.arange(lanes) * wide
+
+    def put(where: np.ndarray | None, below: np.ndarray, width: np.ndarray, bits: int) -> None:
+        """where: the lanes that code something, None for all."""
+        r = (size if where is None else size.take(where)) >> np.uint64(bits)
+        lo = below * r
+        lo += low if where is None else low.take(where)
         r *= width
         go = np.flatnonzero(((lo ^ (lo + r)) < _TOP) | (r < _BOTTOM))
         while len(go):
@@ -202,15 +214,18 @@ def encode(ids: np.ndarray) -> bytes:
             tight = (x ^ (x + y)) >= _TOP  # no carry can be left open: the range is cut to what has settled
             if tight.any():
                 y = np.where(tight, (~x + np.uint64(1)) & _LOW32, y)
-            lane = where[go]
-            at = filled[lane]
-            out[lane, at] = x >> np.uint64(48)
+            lane = go if where is None else where[go]
+            at = filled.take(lane)
+            out[begin.take(lane) + at] = x >> np.uint64(48)
             filled[lane] = at + 1
             x <<= np.uint64(16)
             y <<= np.uint64(16)
             lo[go], r[go] = x, y
             go = go[((x ^ (x + y)) < _TOP) | (y < _BOTTOM)]
-        low[where], size[where] = lo, r
+        if where is None:
+            low[:], size[:] = lo, r
+        else:
+            low[where], size[where] = lo, r
 
     model, every = _Model(lanes, top), np.arange(lanes)
     one = np.uint64(_ONE)
@@ -218,14 +233,16 @@ def encode(ids: np.ndarray) -> bytes:
         now = table[t]
         p = model.predict()
         hit = now == model.guess
-        put(every, np.where(hit, np.uint64(0), p), np.where(hit, p, one - p), P_BITS)
+        put(None, np.where(hit, np.uint64(0), p), np.where(hit, p, one - p), P_BITS)
         deep = np.flatnonzero(~hit)
         if len(deep):
             own = now[deep]
             put(deep, model.below[own], model.frequency[own], model.bits)
         model.update(now, hit)
-        if filled.max(initial=0) + 8 > out.shape[1]:
-            out = np.concatenate([out, np.zeros((lanes, steps + 8), dtype=np.uint16)], axis=1)
+        if t % 8 == 7 and filled.max(initial=0) + 40 > wide:
+            out = np.concatenate([out.reshape(lanes, wide), np.zeros((lanes, steps + 40), dtype=np.uint16)], axis=1).ravel()
+            wide += steps + 40
+            begin = np.arange(lanes) * wide
     # the range is at least 2^32, so two words name a number within it; often one does
     for bits in (48, 32):
         mask = np.uint64((1 << bits) - 1)
@@ -234,13 +251,12 @@ def encode(ids: np.ndarray) -> bytes:
         if bits == 48:
             one_word, last_one = fits, last
     last = np.where(one_word, last_one, last)
-    out[every, filled] = (last >> np.uint64(48)).astype(np.uint16)
-    out[every, filled + 1] = ((last >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16)
+    out[begin + filled] = (last >> np.uint64(48)).astype(np.uint16)
+    out[begin + filled + 1] = ((last >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16)
     filled += np.where(one_word, 1, 2)
     width = 2 if filled.max(initial=0) < 1 << 16 else 4
     head = MAGIC + struct.pack("<HHIIIII", VERSION, lanes, n, zlib.crc32(ids.astype("<u4").tobytes()), top, width, len(listed)) + listed.astype("<u4").tobytes()
-    own = text.ragged(np.arange(lanes) * out.shape[1], filled)
-    return head + filled.astype(f"<u{width}").tobytes() + out.ravel()[own].astype("<u2").tobytes()
+    return head + filled.astype(f"<u{width}").tobytes() + out[text.ragged(begin, filled)].astype("<u2").tobytes()
 
 
 def decode(block: bytes) -> np.ndarray:
@@ -276,22 +292,26 @@ def decode(block: bytes) -> np.ndarray:
     for _ in range(4):
         code = (code << np.uint64(16)) | word(every)
 
-    def take(where: np.ndarray, r: np.ndarray, below: np.ndarray, width: np.ndarray) -> None:
-        lo = low[where] + below * r
+    def take(where: np.ndarray | None, r: np.ndarray, below: np.ndarray, width: np.ndarray) -> None:
+        lo = below * r
+        lo += low if where is None else low.take(where)
         r *= width
         go = np.flatnonzero(((lo ^ (lo + r)) < _TOP) | (r < _BOTTOM))
-        c = code[where]
+        c = code if where is None else code.take(where)
         while len(go):
             x, y = lo[go], r[go]
             tight = (x ^ (x + y)) >= _TOP
             if tight.any():
                 y = np.where(tight, (~x + np.uint64(1)) & _LOW32, y)
-            c[go] = (c[go] << np.uint64(16)) | word(where[go])
+            c[go] = (c[go] << np.uint64(16)) | word(go if where is None else where[go])
             x <<= np.uint64(16)
             y <<= np.uint64(16)
             lo[go], r[go] = x, y
             go = go[((x ^ (x + y)) < _TOP) | (y < _BOTTOM)]
-        low[where], size[where], code[where] = lo, r, c
+        if where is None:
+            low[:], size[:] = lo, r  # code is changed in place
+        else:
+            low[where], size[where], code[where] = lo, r, c
 
     table = np.zeros((steps, lanes), dtype=np.int32)
     model, one = _Model(lanes, top), np.uint64(_ONE)
@@ -299,7 +319,7 @@ def decode(block: bytes) -> np.ndarray:
         p = model.predict()
         r = size >> np.uint64(P_BITS)
         hit = code - low < r * p
-        take(every, r, np.where(hit, np.uint64(0), p), np.where(hit, p, one - p))
+        take(None, r, np.where(hit, np.uint64(0), p), np.where(hit, p, one - p))
         now = model.guess
         deep = np.flatnonzero(~hit)
         if len(deep):
