@@ -114,3 +114,10 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], PAGES)
     assert analysis.analyze(none).count() == 0
     assert drivers.process_text(none.withColumn("error", F.lit(None).cast("string"))).count() == 0
+
+
+def test_sizes_of_refused_files_take_halves_to_the_even_digit(spark):
+    sizes = {8192 * 100000: "781.2", 3 * 8192 * 100000: "2343.8", 104962458: "100.1", 1048576 * 199 + 996148: "200.0", 110000000: "104.9"}
+    rows = spark.createDataFrame([(n,) for n in sizes], "length long").select("length", naming.request_error(F.lit(True), F.lit("a.pdf"), F.col("length")).alias("e")).collect()
+    assert {r.length: r.e for r in rows} == {n: f"Archivo muy grande: {x}MB" for n, x in sizes.items()}
+    assert all(f"{n / 1048576:.1f}" == x for n, x in sizes.items())
