@@ -83,3 +83,22 @@ def test_gray_of_colours(spark):
     page = rng.integers(0, 256, (5, 7, 3), dtype=np.uint8)
     rows = points.colours_of(spark.createDataFrame([(1, 5, 7, page.ravel().tolist())], RASTERS))
     assert (together(points.grayscale(rows))[1] == image.grayscale(page)).all()
+
+
+def test_resize_rounds_exact_ties_as_its_sql():
+    """Products and sums in the order of the query's SQL, in plain Python."""
+    import math
+
+    near, far = (lambda d: 1.25 * d * d * d - 2.25 * d * d + 1), (lambda d: -0.75 * d * d * d + 3.75 * d * d - 6 * d + 3)
+    weights = lambda t: [far(t + 1), near(t), near(1 - t), far(2 - t)]
+    for page in np.random.default_rng(11).integers(0, 256, (400, 8, 8)).astype(np.uint8):
+        got, v = image.resize(page, 2.5), page.tolist()
+        for y in range(2, 20, 5):  # halfway between two lines, so that ties are common
+            for x in range(20):
+                sy, sx = (y + 0.5) / 2.5 - 0.5, (x + 0.5) / 2.5 - 0.5
+                by, bx, total = math.floor(sy), math.floor(sx), 0.0
+                wy, wx = weights(sy - by), weights(sx - bx)
+                for i in range(4):
+                    for j in range(4):
+                        total += v[max(0, min(7, by + i - 1))][max(0, min(7, bx + j - 1))] * wy[i] * wx[j]
+                assert got[y, x] == max(0, min(255, round(total)))
