@@ -102,3 +102,16 @@ def test_resize_rounds_exact_ties_as_its_sql():
                     for j in range(4):
                         total += v[max(0, min(7, by + i - 1))][max(0, min(7, bx + j - 1))] * wy[i] * wx[j]
                 assert got[y, x] == max(0, min(255, round(total)))
+
+
+def test_contrast_makes_no_rows_for_levels_that_no_pixel_has(rows):
+    plan = points.clahe(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(sequence(0, 255" not in plan and "[0,1,2,3,4" not in plan and plan.count("Join") == 1
+
+
+@pytest.mark.parametrize("step", [points.otsu, points.clahe, points.edges])
+def test_no_pixels_go_through_the_driver(rows, step):
+    """Small tables of pixels, too, are shuffled: their files say little of their rows."""
+    done = step(rows)
+    done.collect()
+    assert "Broadcast" not in done._jdf.queryExecution().executedPlan().toString()
