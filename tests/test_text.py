@@ -2,12 +2,14 @@
 
 import re
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from escriba.functions import corrections, fields
-from escriba.functions.regex import java, re2
+from escriba.functions.regex import java, re2, spelt, strip
+from escriba.plans import fixtures
 
 HAND = {
     "Ministerio Público": "MINISTERIO PÚBLICO",
@@ -105,3 +107,25 @@ def test_null_text_stays_null(spark):
 def test_dialects():
     assert java(r"\d[\s,]") == r"(?iud)[\p{Nd}][\t-\r\x1c-\x20\x85\p{Z},]"
     assert re2(r"a(?:b|$)") == r"(?i)a(?:b|\n?$)"
+
+
+@pytest.mark.parametrize("broadcast", ["4k", "10m"])  # at 4k only nations are sent to all tasks
+def test_tasks_of_legal_documents_stay_small(spark, monkeypatch, broadcast):
+    """Their number follows the rows."""
+    monkeypatch.setattr(fixtures, "ROWS_A_TASK", 100, raising=False)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        n = [r["count"] for r in fixtures.table(spark, "/root/testdata/sf0.001", fixtures.LEGAL_DOCS).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sum(n) == 1500 and max(n) < 250
+
+
+def test_spelt_patterns_match_the_same_characters(spark):
+    """Every character of the basic plane, against Java's own way of ignoring case."""
+    every = spark.createDataFrame([(chr(i),) for i in [*range(1, 0xD800), *range(0xE000, 0x10000)]], "c string")
+    atoms = ["s", "k", "I", "e", "Í", "Л", r"\s", r"\w", r"\d", r"[A-ZÁÉÍÓÚÑ\s,]", "[ZS]", r"[-\s]", "[°º]", r"[:\s]"]
+    whole = [F.count_if(F.col("c").rlike(f"^(?:{java(a)})\\z") != F.col("c").rlike(f"^(?:{spelt(a)})\\z")) for a in atoms]
+    stripped = F.count_if((strip(F.col("c")) == "") != F.col("c").rlike(java(r"^\s\z")))
+    assert list(every.agg(*whole, stripped).first()) == [0] * (len(atoms) + 1)
